@@ -12,6 +12,7 @@ from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, block_window, blocked, core, prefix
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
+from tickloom.session import cut
 
 # Horizons of the basic pack and the column lists of the named sets.
 WINDOWS = [3, 6, 12, 24, 48, 96]
@@ -200,6 +201,7 @@ def winsorise(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
     Quantiles come from ``fit`` (default: the frame itself); pass the training
     part to keep later rows out of the statistics.
     """
+    df = cut(df)
     src = df if fit is None else fit
     med = quantile_columns(exact_quantiles(src, cols, [0.5]), {(c, 0.5): f"_m_{c}" for c in cols})
     filled = df.join(med, "symbol", "left").withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols})
@@ -220,29 +222,27 @@ def winsorise(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
 
 
 def stationary(df: DataFrame, cols: Sequence[str], gain: float = 0.8) -> DataFrame:
-    """Per column: first difference where it cuts the lag-1 autocorrelation, else log1p of positive columns.
+    """Make columns stationary, decided per symbol and column.
 
-    Statistics of all columns come from one aggregate; they decide the plan of the
-    second pass.  Columns with at most two distinct values stay as they are.
+    A first difference where it cuts the lag-1 autocorrelation by a fifth, then
+    log1p where the minimum is positive; columns with at most two distinct values
+    stay as they are.  The decision is one small row of flags per symbol, joined
+    back, so the plan does not depend on the data.
     """
     w = block_window()
     d = blocked(df.select("symbol", "bar", *cols), back=2)
     d = d.withColumns({f"_p_{c}": F.lag(c).over(w) for c in cols})
     d = d.withColumns({f"_d_{c}": F.col(c) - F.col(f"_p_{c}") for c in cols})
     d = d.withColumns({f"_e_{c}": F.lag(f"_d_{c}").over(w) for c in cols}).filter("_core")
-    aggs = []
+    flags = []
     for c in cols:
-        aggs += [F.corr(c, f"_p_{c}").alias(f"a_{c}"), F.corr(f"_d_{c}", f"_e_{c}").alias(f"b_{c}"),
-                 F.min(c).alias(f"m_{c}"), F.approx_count_distinct(c).alias(f"n_{c}")]
-    stats = d.agg(*aggs).first()
-    out = blocked(df, back=1)
-    changes = {}
-    for c in cols:
-        a, b, m, n = (stats[f"{p}_{c}"] for p in "abmn")
-        if n is None or n <= 2:
-            continue
-        if a is not None and b is not None and abs(b) < abs(a) * gain:
-            changes[c] = F.col(c) - F.lag(c).over(w)
-        elif m is not None and m > 0:
-            changes[c] = F.log1p(c)
-    return core(out.withColumns(changes)) if changes else df
+        varied = F.approx_count_distinct(c, 0.01) > 2
+        diff = F.abs(F.corr(f"_d_{c}", f"_e_{c}")) < F.abs(F.corr(c, f"_p_{c}")) * gain
+        diff = F.coalesce(varied & diff, F.lit(False))
+        low = F.when(diff, F.min(f"_d_{c}")).otherwise(F.min(c))
+        flags += [diff.alias(f"_diff_{c}"), F.coalesce(varied & (low > 0), F.lit(False)).alias(f"_log_{c}")]
+    out = blocked(df, back=1).withColumns({f"_dd_{c}": F.col(c) - F.lag(c).over(w) for c in cols}).filter("_core")
+    out = out.join(d.groupBy("symbol").agg(*flags), "symbol")
+    out = out.withColumns({c: F.when(F.col(f"_diff_{c}"), F.col(f"_dd_{c}")).otherwise(F.col(c)) for c in cols})
+    out = out.withColumns({c: F.when(F.col(f"_log_{c}"), F.log1p(c)).otherwise(F.col(c)) for c in cols})
+    return core(out)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.blocks import KEYS
+from tickloom.session import cut
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = KEYS,
@@ -31,6 +32,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         .groupBy(*group, "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    long = cut(long)  # read by the sketch, the counts and the final pick
     grid = [i / slices for i in range(1, slices)]
     edges = long.groupBy(*group).agg(
         F.percentile_approx("x", grid, accuracy).alias("edges"), F.sum("n").alias("total")

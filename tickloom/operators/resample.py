@@ -125,6 +125,7 @@ def dense_grid(bars: DataFrame, interval: str | int, slice_days: int = 30) -> Da
     start = F.greatest(F.col("lo"), F.ceil(F.col("sl") * width / n) * n)
     stop = F.least(F.col("hi"), (F.ceil((F.col("sl") + 1) * width / n) - 1) * n)
     slots = slices.withColumn("start", start).withColumn("stop", stop).filter("start <= stop").select(
-        "symbol", F.timestamp_seconds(F.explode(F.sequence("start", "stop", F.lit(n).cast("long")))).alias("ts")
+        "symbol", F.explode(F.sequence("start", "stop", F.lit(n).cast("long"))).alias("_s")
     )
+    slots = slots.select("symbol", F.timestamp_seconds("_s").alias("ts"))
     return slots.join(bars, ["symbol", "ts"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
