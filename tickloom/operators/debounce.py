@@ -20,7 +20,7 @@ from tickloom.session import cut
 SIGNAL_BLOCK = 8192
 
 
-def _step(state: Column, run: Column, gap: int) -> Column:
+def _step(state: Column, run: Column, gap: Column) -> Column:
     """State after a run (beg, end, dir) of equal raw direction."""
     at = F.greatest(run["beg"], state["free"])
     flips = (run["dir"] != state["dir"]) & (at <= run["end"])
@@ -30,36 +30,40 @@ def _step(state: Column, run: Column, gap: int) -> Column:
     )
 
 
-def debounce(df: DataFrame, gap: int, raw: str = "raw_dir", out: str = "signal", keys: Sequence[str] = KEYS,
+def debounce(df: DataFrame, gap: int | str, raw: str = "raw_dir", out: str = "signal", keys: Sequence[str] = KEYS,
              size: int = SIGNAL_BLOCK) -> DataFrame:
     """Add ``out``: the raw direction with at least ``gap`` bars between changes.
 
-    Needs the position ``bar``; null raw directions count as 0.
+    Needs the position ``bar``; null raw directions count as 0.  ``gap`` is a number
+    or the name of a column that is constant per key (parameter sweeps).
     """
     keys = list(keys)
-    if gap <= 1:
+    if isinstance(gap, int) and gap <= 1:
         return df.withColumn(out, F.coalesce(F.col(raw), F.lit(0)).cast("int"))
     blk = [*keys, "_blk"]
     d = df.withColumn("_blk", F.floor(F.col("bar") / size).cast("long"))
     w = Window.partitionBy(*blk).orderBy("bar")
-    r = d.select(*blk, F.col("bar"), F.coalesce(F.col(raw), F.lit(0)).cast("int").alias("dir"))
+    wait = F.greatest(F.col(gap), F.lit(1)).cast("int") if isinstance(gap, str) else F.lit(gap)
+    r = d.select(*blk, F.col("bar"), F.coalesce(F.col(raw), F.lit(0)).cast("int").alias("dir"), wait.alias("gap"))
     last = F.max("bar").over(Window.partitionBy(*blk))
     r = r.withColumn("_p", F.lag("dir").over(w)).withColumn("_last", last)
     r = r.filter(F.col("_p").isNull() | (F.col("_p") != F.col("dir")))
     r = r.withColumn("end", F.coalesce(F.lead("bar").over(w) - 1, F.col("_last")))
     runs = r.groupBy(*blk).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("bar").alias("beg"), "end", "dir"))).alias("runs")
+        F.sort_array(F.collect_list(F.struct(F.col("bar").alias("beg"), "end", "dir"))).alias("runs"),
+        F.first("gap").alias("gap"),
     )
     runs = cut(runs)  # read twice below: once for the maps, once for the final run
-    entries = _block_entries(runs, gap, keys, size)
+    entries = _block_entries(runs, keys, size)
+    g = F.col("gap")
 
     start = F.struct(F.col("e_dir").alias("dir"), (F.col("e_wait") + F.col("_blk") * size).alias("free"),
                      F.array().cast("array<struct<bar:bigint,dir:int>>").alias("flips"))
 
     def play(acc: Column, run: Column) -> Column:
-        nxt = _step(acc, run, gap)
+        nxt = _step(acc, run, g)
         changed = nxt["dir"] != acc["dir"]
-        flip = F.struct((nxt["free"] - gap).alias("bar"), nxt["dir"].alias("dir"))
+        flip = F.struct((nxt["free"] - g).alias("bar"), nxt["dir"].alias("dir"))
         return F.struct(nxt["dir"].alias("dir"), nxt["free"].alias("free"),
                         F.when(changed, F.array_append(acc["flips"], flip)).otherwise(acc["flips"]).alias("flips"))
 
@@ -75,13 +79,14 @@ def debounce(df: DataFrame, gap: int, raw: str = "raw_dir", out: str = "signal",
     return full.withColumn(out, F.last("_m", ignorenulls=True).over(run_w)).drop("_m", "_blk")
 
 
-def _block_entries(runs: DataFrame, gap: int, keys: list[str], size: int) -> DataFrame:
+def _block_entries(runs: DataFrame, keys: list[str], size: int) -> DataFrame:
     """State (e_dir, e_wait) with which every block is entered."""
     blk = [*keys, "_blk"]
+    gap = F.col("gap")
     base = F.col("_blk") * size
     states = F.flatten(F.transform(
         F.array(F.lit(-1), F.lit(0), F.lit(1)),
-        lambda d: F.transform(F.sequence(F.lit(0), F.lit(gap - 1)),
+        lambda d: F.transform(F.sequence(F.lit(0), gap - 1),
                               lambda k: F.struct(d.alias("dir"), (base + k).alias("free"))),
     ))
 
@@ -93,7 +98,7 @@ def _block_entries(runs: DataFrame, gap: int, keys: list[str], size: int) -> Dat
     ends = F.aggregate("runs", states, advance)
     after = base + size
     rel = F.transform(ends, lambda s: F.struct(s["dir"].alias("dir"), F.greatest(s["free"] - after, F.lit(0)).cast("int").alias("wait")))
-    maps = runs.select(*blk, rel.alias("m")).withColumn(
+    maps = runs.select(*blk, "gap", rel.alias("m")).withColumn(
         "m", F.when(F.size(F.array_distinct("m")) == 1, F.slice("m", 1, 1)).otherwise(F.col("m"))
     )
     w = Window.partitionBy(*keys).orderBy("_blk")
@@ -105,7 +110,7 @@ def _block_entries(runs: DataFrame, gap: int, keys: list[str], size: int) -> Dat
     seed = F.struct(F.lit(0).alias("dir"), F.lit(0).alias("wait"))
     chain = maps.groupBy(*keys, "_seg").agg(
         F.sort_array(F.collect_list(F.struct("_blk", "m"))).alias("bs"),
-        F.min_by(F.coalesce(F.col("_p")[0], seed), "_blk").alias("s0"),
+        F.min_by(F.coalesce(F.col("_p")[0], seed), "_blk").alias("s0"), F.first("gap").alias("gap"),
     )
 
     def follow(acc: Column, b: Column) -> Column:
