@@ -57,7 +57,7 @@ def resolve_time(df: DataFrame, out: str = "ts") -> DataFrame:
         t = F.trim(F.col(lower[clock]).cast("string"))
         both = lambda x: parse_text(F.concat_ws(" ", d, x))
         cands.append(("combined", F.coalesce(both(t), both(F.lpad(t, 8, "0"))), 0.0))
-    named = [c for c in TIME_COLUMNS if c in lower]
+    named = [c for c in ["ts", *TIME_COLUMNS] if c in lower]
     loose = [c for c in lower if c not in named and any(k in c for k in ("time", "date", "dt"))]
     cands += [(c, parse_time(df, lower[c]), 0.5) for c in named + loose]
     if not cands:

@@ -192,6 +192,7 @@ S["s5_epoch_magnitude"] = "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THE
 def s6(s, sf):
     path = scratch(s, "cp1251")
     p = table(s, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("акция "), F.col("p_brand")).alias("name"))
+    files.allow_encoding(s, "windows-1251")
     p.write.option("header", True).option("encoding", "windows-1251").csv(path)
     d = files.read_bar_csv(s, path, encoding="windows-1251", pattern=r"(part-\d)")
     return d.select(F.col("id").cast("long").alias("id"), "name")

@@ -46,6 +46,16 @@ def symbol_from_path(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
+# Encodings Spark accepts without further settings.
+STANDARD_ENCODINGS = {"us-ascii", "iso-8859-1", "utf-8", "utf-16be", "utf-16le", "utf-16", "utf-32"}
+
+
+def allow_encoding(spark: SparkSession, encoding: str) -> None:
+    """Let the session use Java charsets such as windows-1251 when one is asked for."""
+    if encoding.lower() not in STANDARD_ENCODINGS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_bar_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: T.StructType | None = None,
                  pattern: str = r"([^/]+)\.csv(?:/[^/]*)?$") -> DataFrame:
     """All per-symbol CSV files of a folder in one scan; the symbol is the file (or folder) name.
@@ -53,6 +63,7 @@ def read_bar_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema
     Without ``schema`` every column is read as text: nothing is guessed twice over
     the data, ``normalize_bars`` casts what it needs.
     """
+    allow_encoding(spark, encoding)
     reader = spark.read.option("header", True).option("encoding", encoding)
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.select("*", symbol_from_path(pattern).alias("symbol")) if "symbol" not in df.columns else df
