@@ -248,8 +248,8 @@ S["d16_label_quality"] = f"WITH {B}, {LAB} SELECT symbol, ya AS y_adaptive, coun
 
 
 def d17(s, sf):
-    d = lg.portfolio_value(trades(s, sf), orders_daily(s, sf), 1e9)
-    return d.select("ts", "bar", *[(F.col(c) / 1e9).alias(c) for c in ("holdings", "cash", "equity")])
+    d = lg.portfolio_value(trades(s, sf), orders_daily(s, sf), 7e8)
+    return d.select("ts", "bar", *[(F.col(c) / 7e8).alias(c) for c in ("holdings", "cash", "equity")])
 
 
 D17 = f"""{ORD}, ax AS (SELECT DISTINCT o_orderdate AS ts FROM orders), sy AS (SELECT DISTINCT o_orderpriority AS symbol FROM orders),
@@ -260,7 +260,7 @@ dv AS (SELECT ts, symbol, sum(coalesce(q, 0)) OVER w AS pos, last_value(close IG
 pf0 AS (SELECT ts, sum(pos * coalesce(px, 0)) AS holdings, sum(cf) AS cf FROM dv GROUP BY 1),
 pf AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar, holdings, 1e9 + sum(cf) OVER (ORDER BY ts) AS cash FROM pf0)"""
 Q["d17_portfolio_value"] = d17
-S["d17_portfolio_value"] = f"WITH {D17} SELECT ts, bar, {r('holdings / 1e9', 'holdings')}, {r('cash / 1e9', 'cash')}, {r('(holdings + cash) / 1e9', 'equity')} FROM pf"
+S["d17_portfolio_value"] = f"WITH {D17} SELECT ts, bar, {r('holdings / 7e8', 'holdings')}, {r('(cash - 3e8) / 7e8', 'cash')}, {r('(holdings + cash - 3e8) / 7e8', 'equity')} FROM pf"
 
 
 def d18(s, sf):
