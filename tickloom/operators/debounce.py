@@ -9,7 +9,7 @@ with its true entry state.  No step sees more than one block of a symbol.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,46 +37,63 @@ def debounce(df: DataFrame, gap: int | str, raw: str = "raw_dir", out: str = "si
     Needs the position ``bar``; null raw directions count as 0.  ``gap`` is a number
     or the name of a column that is constant per key (parameter sweeps).
     """
+    return debounce_many(df, {out: (raw, gap)}, keys, size)
+
+
+def debounce_many(df: DataFrame, signals: Mapping[str, tuple[str, int | str]], keys: Sequence[str] = KEYS,
+                  size: int = SIGNAL_BLOCK) -> DataFrame:
+    """Several held signals, ``{out: (raw, gap)}``, in one pass over the bars."""
     keys = list(keys)
-    if isinstance(gap, int) and gap <= 1:
-        return df.withColumn(out, F.coalesce(F.col(raw), F.lit(0)).cast("int"))
-    blk = [*keys, "_blk"]
+    plain = {o: r for o, (r, g) in signals.items() if isinstance(g, int) and g <= 1}
+    held = {o: rg for o, rg in signals.items() if o not in plain}
+    df = df.withColumns({o: F.coalesce(F.col(r), F.lit(0)).cast("int") for o, r in plain.items()}) if plain else df
+    if not held:
+        return df
+    blk, sid = [*keys, "_blk"], [*keys, "_sid", "_blk"]
     d = df.withColumn("_blk", F.floor(F.col("bar") / size).cast("long"))
+
+    # runs of equal raw direction inside a block, per signal
+    def entry(i: int, raw: str, gap: int | str) -> Column:
+        wait = F.greatest(F.col(gap), F.lit(1)).cast("int") if isinstance(gap, str) else F.lit(gap)
+        return F.struct(F.lit(i).alias("sid"), F.coalesce(F.col(raw), F.lit(0)).cast("int").alias("dir"), wait.alias("gap"))
+
     w = Window.partitionBy(*blk).orderBy("bar")
-    wait = F.greatest(F.col(gap), F.lit(1)).cast("int") if isinstance(gap, str) else F.lit(gap)
-    r = d.select(*blk, F.col("bar"), F.coalesce(F.col(raw), F.lit(0)).cast("int").alias("dir"), wait.alias("gap"))
-    last = F.max("bar").over(Window.partitionBy(*blk))
-    r = r.withColumn("_p", F.lag("dir").over(w)).withColumn("_last", last)
-    r = r.filter(F.col("_p").isNull() | (F.col("_p") != F.col("dir")))
-    r = r.withColumn("end", F.coalesce(F.lead("bar").over(w) - 1, F.col("_last")))
-    runs = r.groupBy(*blk).agg(
+    now = [entry(i, raw, gap) for i, (raw, gap) in enumerate(held.values())]
+    r = d.select(*blk, "bar", F.array(*now).alias("_now"))
+    r = r.withColumns({"_old": F.lag("_now").over(w), "_last": F.max("bar").over(Window.partitionBy(*blk))})
+    changed = F.filter("_now", lambda x: F.col("_old").isNull() | (F.get("_old", x["sid"])["dir"] != x["dir"]))
+    r = r.select(*blk, "bar", "_last", F.explode(changed).alias("x"))
+    r = r.select(*blk, "bar", "_last", F.col("x.sid").alias("_sid"), F.col("x.dir").alias("dir"), F.col("x.gap").alias("gap"))
+    nxt = F.lead("bar").over(Window.partitionBy(*sid).orderBy("bar"))
+    r = r.withColumn("end", F.coalesce(nxt - 1, F.col("_last")))
+    runs = r.groupBy(*sid).agg(
         F.sort_array(F.collect_list(F.struct(F.col("bar").alias("beg"), "end", "dir"))).alias("runs"),
         F.first("gap").alias("gap"),
     )
-    runs = cut(runs)  # read twice below: once for the maps, once for the final run
-    entries = _block_entries(runs, keys, size)
+    runs = cut(runs)  # read twice: once for the maps, once for the final run
+    entries = _block_entries(runs, [*keys, "_sid"], size)
     g = F.col("gap")
-
     start = F.struct(F.col("e_dir").alias("dir"), (F.col("e_wait") + F.col("_blk") * size).alias("free"),
                      F.array().cast("array<struct<bar:bigint,dir:int>>").alias("flips"))
 
     def play(acc: Column, run: Column) -> Column:
-        nxt = _step(acc, run, g)
-        changed = nxt["dir"] != acc["dir"]
-        flip = F.struct((nxt["free"] - g).alias("bar"), nxt["dir"].alias("dir"))
-        return F.struct(nxt["dir"].alias("dir"), nxt["free"].alias("free"),
-                        F.when(changed, F.array_append(acc["flips"], flip)).otherwise(acc["flips"]).alias("flips"))
+        after = _step(acc, run, g)
+        flip = F.struct((after["free"] - g).alias("bar"), after["dir"].alias("dir"))
+        more = F.when(after["dir"] != acc["dir"], F.array_append(acc["flips"], flip)).otherwise(acc["flips"])
+        return F.struct(after["dir"].alias("dir"), after["free"].alias("free"), more.alias("flips"))
 
     flips = F.aggregate("runs", start, play)["flips"]
     # the entry direction holds from the first bar of the block unless that bar changes it
-    entry = F.struct((F.col("_blk") * size).alias("bar"), F.col("e_dir").alias("dir"))
-    flips = F.when(F.get(flips, 0)["bar"] == F.col("_blk") * size, flips).otherwise(F.array_prepend(flips, entry))
-    marks = runs.join(entries, blk).select(*blk, F.explode(flips).alias("f")).select(
-        *blk, F.col("f.bar").alias("bar"), F.col("f.dir").alias("_m")
+    first = F.struct((F.col("_blk") * size).alias("bar"), F.col("e_dir").alias("dir"))
+    flips = F.when(F.get(flips, 0)["bar"] == F.col("_blk") * size, flips).otherwise(F.array_prepend(flips, first))
+    marks = runs.join(entries, sid).select(*sid, F.explode(flips).alias("f"))
+    marks = marks.groupBy(*blk, F.col("f.bar").alias("bar")).agg(
+        *[F.max(F.when(F.col("_sid") == i, F.col("f.dir"))).alias(f"_m_{o}") for i, o in enumerate(held)]
     )
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     full = d.join(marks, [*blk, "bar"], "left")
-    run_w = w.rowsBetween(Window.unboundedPreceding, 0)
-    return full.withColumn(out, F.last("_m", ignorenulls=True).over(run_w)).drop("_m", "_blk")
+    full = full.withColumns({o: F.last(f"_m_{o}", ignorenulls=True).over(upto) for o in held})
+    return full.drop("_blk", *[f"_m_{o}" for o in held])
 
 
 def _block_entries(runs: DataFrame, keys: list[str], size: int) -> DataFrame:

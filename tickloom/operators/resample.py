@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Interval names accepted by bar builders, in seconds.
 INTERVAL_SECONDS = {
@@ -53,9 +54,20 @@ def _ohlcv(order: Column, price: Column | None) -> list[Column]:
     ]
 
 
-def _order(cols: Sequence[str]) -> Column:
-    # a single orderable column keeps the hash aggregate; a struct needs the sort aggregate
-    return F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
+def _order(df: DataFrame, cols: Sequence[str]) -> Column:
+    """One comparable value for an ordering by several columns.
+
+    A plain column or a decimal keeps the hash aggregate; a struct would need a sort
+    of the raw rows before they are combined.  (time, integer) therefore becomes
+    ``micros * 10^20 + integer + 2^63``, which orders the same way and is exact.
+    """
+    if len(cols) == 1:
+        return F.col(cols[0])
+    kinds = [df.schema[c].dataType for c in cols]
+    if len(cols) == 2 and isinstance(kinds[0], T.TimestampType) and isinstance(kinds[1], (T.LongType, T.IntegerType)):
+        scale, shift = F.expr("cast('100000000000000000000' as decimal(21,0))"), F.expr("cast('9223372036854775808' as decimal(20,0))")
+        return F.unix_micros(cols[0]).cast("decimal(18,0)") * scale + (F.col(cols[1]).cast("decimal(20,0)") + shift)
+    return F.struct(*cols)
 
 
 def resample(df: DataFrame, interval: str | int, order: Sequence[str] = ("ts",), price: str | None = None,
@@ -68,7 +80,7 @@ def resample(df: DataFrame, interval: str | int, order: Sequence[str] = ("ts",),
     shuffle to one row per interval and input partition.
     """
     label = slot(F.col("ts"), interval_seconds(interval), closed)
-    aggs = _ohlcv(_order(order), F.col(price) if price else None)
+    aggs = _ohlcv(_order(df, order), F.col(price) if price else None)
     return df.groupBy(*keys, label.alias("_slot")).agg(*aggs).withColumnRenamed("_slot", "ts").select(
         *keys, "ts", "open", "high", "low", "close", "volume"
     )

@@ -10,11 +10,12 @@ from tickloom.operators import indicators as I
 from tickloom.operators import regimes as rg
 from tickloom.operators import signals as sg
 from tickloom.operators.blocks import blocked, core
-from tickloom.operators.debounce import debounce
+from tickloom.operators.debounce import debounce, debounce_many
 from tickloom.operators.ema import span
 from tickloom.plans.inputs import bars, daily, event_signals, price_probability
 from tickloom.plans.queries.indicators import LR, MACDH, RSI0, eff, z
 from tickloom.plans.queries.sqlbase import DAILY, bars_cte, debounce_cte, ema_cte, frame, lag, r
+from tickloom.session import cut
 
 B = bars_cte()
 Q, S = {}, {}
@@ -189,10 +190,9 @@ def routed(s, sf):
     back = max(sg.TREND_BACK(TREND), sg.MEANREV_BACK(MEANREV), sg.BREAKOUT_BACK(BREAK), rg.regime_back(RP))
     d = blocked(b, back=back)
     d = sg.breakout_raw(sg.meanrev_raw(sg.trend_raw(d, TREND, "r_t"), MEANREV, "r_m"), BREAK, "r_b")
-    d = core(rg.regime_raw(d, RP))
-    d = debounce(d, TREND.gap, "r_t", "signal_trend")
-    d = debounce(d, MEANREV.gap, "r_m", "signal_meanrev")
-    d = debounce(d, BREAK.gap, "r_b", "signal_breakout")
+    d = cut(core(rg.regime_raw(d, RP)))  # read for the runs and again for the bars
+    d = debounce_many(d, {"signal_trend": ("r_t", TREND.gap), "signal_meanrev": ("r_m", MEANREV.gap),
+                          "signal_breakout": ("r_b", BREAK.gap)})
     return sg.route_by_regime(d, use_breakout=True)
 
 

@@ -75,21 +75,22 @@ Q["r5_upsert_newest"] = r5
 S["r5_upsert_newest"] = f"SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, {r('arg_max(value, event_id)', 'price')}, max(event_id) AS seq FROM events GROUP BY 1, 2"
 
 
-def bar_stream(s, sf):
-    """Bars landed as files of consecutive days, read one file per micro-batch."""
-    path = place(s, "bar-landing")
+def in_two_arrivals(s, sf, build, name):
+    """Land the earlier half of the bars, run, land the later half, run again on the same checkpoint."""
+    landing, out, cp = place(s, "landing"), place(s, name), place(s, name + "-cp")
     d = cut(bars(s, sf).drop("bar"))
     edges = d.agg(F.min("ts"), F.max("ts")).first()
     mid = edges[0] + (edges[1] - edges[0]) / 2
-    for k, part in enumerate((d.filter(F.col("ts") < mid), d.filter(F.col("ts") >= mid))):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/{k}")
-    return sb.file_stream(s, f"{path}/*", d.schema, files_per_batch=1)
+    for half in (F.col("ts") < mid, F.col("ts") >= mid):
+        d.filter(half).write.mode("append").parquet(landing)
+        result = sb.run_available(build(sb.file_stream(s, landing, d.schema)), out, cp)
+    return result
 
 
-Q["r6_stateful_signals"] = lambda s, sf: finish(s, stateful_signals(bar_stream(s, sf), TREND), "r6").select("symbol", "ts", "raw_dir", "signal", "late")
+Q["r6_stateful_signals"] = lambda s, sf: in_two_arrivals(s, sf, lambda b: stateful_signals(b, TREND), "r6").select("symbol", "ts", "raw_dir", "signal", "late")
 S["r6_stateful_signals"] = f"""WITH RECURSIVE {B}, {TREND_SQL} SELECT b.symbol, b.ts, tr.raw_dir, td.dir AS signal, false AS late FROM b JOIN tr USING (symbol, bar) JOIN td USING (symbol, bar)"""
 
-Q["r7_drawdown_alert"] = lambda s, sf: finish(s, stateful_signals(bar_stream(s, sf), TREND, limit=0.9), "r7").select("symbol", "ts", "peak", "drawdown", "alert")
+Q["r7_drawdown_alert"] = lambda s, sf: in_two_arrivals(s, sf, lambda b: stateful_signals(b, TREND, limit=0.9), "r7").select("symbol", "ts", "peak", "drawdown", "alert")
 S["r7_drawdown_alert"] = f"""WITH {B}, x AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY bar) AS pk FROM b)
 SELECT symbol, ts, {r('pk', 'peak')}, {r('close / pk - 1', 'drawdown')}, close / pk - 1 < -0.9 AS alert FROM x"""
 
