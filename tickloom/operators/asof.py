@@ -43,7 +43,7 @@ def _asof(left: DataFrame, right: DataFrame, cols: Sequence[str], keys: Sequence
 
 
 def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, ts: str = "ts",
-                  width_s: int = 86400 * 7, defaults: dict[str, float] | None = None) -> DataFrame:
+                  width_s: int = 21600, defaults: dict[str, float] | None = None) -> DataFrame:
     """For each left row the last right row at or before it, plus its time ``match_ts``.
 
     Right rows must be unique per (keys, ts).  Work is split into time slices of
@@ -54,12 +54,12 @@ def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], keys:
 
 
 def asof_forward(left: DataFrame, right: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS, ts: str = "ts",
-                 width_s: int = 86400 * 7) -> DataFrame:
+                 width_s: int = 21600) -> DataFrame:
     """For each left row the first right row at or after it (signal to next bar)."""
     return _asof(left, right, cols, keys, ts, width_s, forward=True)
 
 
-def union_axis(df: DataFrame, symbols: Sequence[str], cols: Sequence[str], width_s: int = 86400 * 7) -> DataFrame:
+def union_axis(df: DataFrame, symbols: Sequence[str], cols: Sequence[str], width_s: int = 21600) -> DataFrame:
     """Every listed symbol on the union of all times, values carried forward.
 
     The symbol list is given (a fixed universe), so each distinct time expands to

@@ -72,13 +72,13 @@ def portfolio_value(trades: DataFrame, prices: DataFrame, cash0: float = 1_000_0
     tr = trades.select("symbol", "ts", F.lit(1).alias("_kind"), *[F.col(t).cast("long").alias(t) for t in tie],
                        F.lit(None).cast("double").alias("_px"), q.alias("_q"),
                        (-q * F.col("price") - F.coalesce("commission", F.lit(0.0))).alias("_cash"))
-    ev = cut(index_bars(ev.unionByName(tr), order=["ts", "_kind", *tie]))
+    ev = cut(index_bars(ev.unionByName(tr), every_days=1, order=["ts", "_kind", *tie]))
     ev = prefix(ev, {"pos": ("sum", F.col("_q")), "px": ("last", F.col("_px"))})
     ev = ev.withColumn("value", F.col("pos") * F.coalesce("px", F.lit(0.0)))
     ev = blocked(ev.select("symbol", "ts", "bar", "value", F.col("_cash").alias("flow")), back=1)
     ev = core(ev.withColumn("change", F.col("value") - F.coalesce(I.lag("value"), F.lit(0.0))))
     per = ev.groupBy("ts").agg(F.sum("change").alias("dv"), F.sum("flow").alias("dc"), F.count(F.lit(1)).alias("events"))
-    per = cut(index_bars(per.withColumn("portfolio", F.lit("all")), keys=["portfolio"]))
+    per = cut(index_bars(per.withColumn("portfolio", F.lit("all")), keys=["portfolio"], every_days=1))
     out = prefix(per, {"holdings": ("sum", F.col("dv")), "cash": ("sum", F.col("dc"))}, keys=["portfolio"])
     out = out.withColumn("cash", F.col("cash") + F.lit(cash0))
     return out.withColumn("equity", F.col("cash") + F.col("holdings")).select("ts", "bar", "events", "holdings", "cash", "equity")

@@ -12,7 +12,7 @@ from tickloom.functions.scalars import finite, safe_divide
 from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, blocked, core, prefix
 from tickloom.operators.episodes import streaks
-from tickloom.operators.quantiles import exact_quantiles, quantile_columns
+from tickloom.operators.quantiles import SLICE_ROWS, exact_quantiles, quantile_columns, value_slices
 from tickloom.session import cut
 
 EPS = 1e-12
@@ -176,22 +176,24 @@ def extended_pack(led: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return out.na.fill(0)
 
 
-def auc(df: DataFrame, score: str = "p", label: str = "label", keys: Sequence[str] = (), bins: int = 4096) -> DataFrame:
+def auc(df: DataFrame, score: str = "p", label: str = "label", keys: Sequence[str] = (),
+        rows_per_slice: int = SLICE_ROWS) -> DataFrame:
     """Exact rank AUC with half credit for ties.
 
-    Counts per distinct score (map-side combined), then a two-level running count:
-    over fixed score bins, and inside each bin.  Scores must lie in [0, 1].
+    Counts per distinct score (map-side combined), then a two-level running count of
+    the negatives: over slices of the score, and inside each slice.
     """
     keys = list(keys)
     d = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     pos, neg = F.col(label) > 0.5, F.col(label) <= 0.5
-    d = d.groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(pos).alias("_p"), F.count_if(neg).alias("_q"))
-    d = d.withColumn("_b", F.floor(F.col("_s") * bins)).withColumn("_g", F.lit(0))
-    tot = d.groupBy("_g", *keys, "_b").agg(F.sum("_q").alias("_bq"))
-    before = Window.partitionBy("_g", *keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.groupBy(*keys, F.col(score).alias("_x")).agg(F.count_if(pos).alias("_p"), F.count_if(neg).alias("_q"))
+    group = [*keys, "_g"]
+    d = value_slices(d.withColumn("_g", F.lit(0)), group, "_x", rows_per_slice)
+    tot = d.groupBy(*group, "_s").agg(F.sum("_q").alias("_bq"))
+    before = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_base", F.coalesce(F.sum("_bq").over(before), F.lit(0))).drop("_bq")
-    inner = Window.partitionBy("_g", *keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_q").over(inner), F.lit(0))).join(tot, ["_g", *keys, "_b"])
+    inner = Window.partitionBy(*group, "_s").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("_q").over(inner), F.lit(0))).join(tot, [*group, "_s"])
     below = F.col("_base") + F.col("_in")
     g = d.groupBy(*keys).agg(
         F.sum(F.col("_p") * (below + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg")

@@ -1,9 +1,10 @@
-"""Exact quantiles of large groups.
+"""Exact order statistics of large groups.
 
-``percentile`` keeps every distinct value of a group in one task's memory.  Here a
-mergeable sketch first proposes value edges, rows are counted between the edges,
-and only the slices that hold the wanted ranks are sorted.  The sketch steers the
-work, not the result: the order statistics are exact.
+``percentile`` keeps every distinct value of a group in one task's memory, and a
+window over a group sorts it in one task.  Here a mergeable sketch first proposes
+value edges, which cut a group into thousands of slices of similar size; only the
+slices that hold the wanted ranks are sorted.  The sketch steers the work, not the
+result: the order statistics are exact.
 """
 
 from __future__ import annotations
@@ -16,9 +17,36 @@ from pyspark.sql import functions as F
 from tickloom.operators.blocks import KEYS
 from tickloom.session import cut
 
+COARSE = 64
+SLICE_ROWS = 1 << 18
+
+
+def value_slices(counts: DataFrame, group: Sequence[str], x: str, rows_per_slice: int = SLICE_ROWS,
+                 accuracy: int = 10000) -> DataFrame:
+    """Add ``_s``, a slice number that grows with ``x``, to rows that are distinct in (group, x).
+
+    ``counts`` is written once and its rows are counted (from the file footers).  A
+    table that fits one slice stays whole; else a group is cut at 64 quantile edges,
+    and a large table at 64 x 64, where a value finds its slice by two short searches.
+    """
+    counts = cut(counts)
+    n = counts.count()
+    if n <= rows_per_slice:
+        return counts.withColumn("_s", F.lit(0))
+    slices = COARSE if n <= rows_per_slice * COARSE else COARSE * COARSE
+    grid = F.expr("array(" + ",".join(f"{i / slices}D" for i in range(1, slices)) + ")")
+    edges = counts.groupBy(*group).agg(F.percentile_approx(x, grid, accuracy).alias("_fine"))
+    below = lambda edge_list: F.size(F.filter(edge_list, lambda e: e < F.col(x)))
+    if slices == COARSE:
+        return counts.join(edges, list(group)).withColumn("_s", below("_fine")).drop("_fine")
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.get("_fine", i * COARSE - 1))
+    placed = counts.join(edges.withColumn("_coarse", coarse), list(group)).withColumn("_c", below("_coarse"))
+    inner = F.slice("_fine", F.col("_c") * COARSE + 1, COARSE - 1)
+    return placed.withColumn("_s", F.col("_c") * COARSE + below(inner)).drop("_fine", "_coarse", "_c")
+
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = KEYS,
-                    slices: int = 64, accuracy: int = 10000) -> DataFrame:
+                    rows_per_slice: int = SLICE_ROWS) -> DataFrame:
     """Linear-interpolated quantiles per key and column, ignoring nulls.
 
     Result in long form: keys, ``feature``, ``q`` (the probability), ``value``.
@@ -32,17 +60,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         .groupBy(*group, "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    long = cut(long)  # read by the sketch, the counts and the final pick
-    grid = [i / slices for i in range(1, slices)]
-    edges = long.groupBy(*group).agg(
-        F.percentile_approx("x", grid, accuracy).alias("edges"), F.sum("n").alias("total")
-    )
-    placed = long.join(edges, group).withColumn(
-        "_s", F.size(F.filter("edges", lambda e: e < F.col("x")))
-    ).drop("edges")
-    counts = placed.groupBy(*group, "_s", "total").agg(F.sum("n").alias("m"))
-    before = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    placed = value_slices(long, group, "x", rows_per_slice)
+    counts = placed.groupBy(*group, "_s").agg(F.sum("n").alias("m"))
+    by_group = Window.partitionBy(*group)  # over the slices of a group, at most a few thousand
+    before = by_group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"start": F.coalesce(F.sum("m").over(before), F.lit(0)), "total": F.sum("m").over(by_group)})
     want = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")
     want = counts.select(*group, "_s", "start", "m", "total", want)
     pos = F.col("q") * (F.col("total") - 1)

@@ -14,6 +14,7 @@ from tickloom.operators.blocks import KEYS, blocked, core, prefix
 from tickloom.operators.debounce import debounce
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
 from tickloom.schema import require_columns
+from tickloom.session import cut
 
 
 # Default parameters of the rule signals.
@@ -86,19 +87,19 @@ BREAKOUT_BACK = lambda p: p.channel + p.confirm_bars
 
 def trend_signal(bars: DataFrame, p: Trend = Trend(), out: str = "signal") -> DataFrame:
     require_columns(bars, ["symbol", "bar", "close", "high", "low"], "trend signal")
-    raw = core(trend_raw(blocked(bars, back=TREND_BACK(p)), p))
+    raw = cut(core(trend_raw(blocked(bars, back=TREND_BACK(p)), p)))
     return debounce(raw, p.gap, out=out)
 
 
 def meanrev_signal(bars: DataFrame, p: MeanReversion = MeanReversion(), out: str = "signal") -> DataFrame:
     require_columns(bars, ["symbol", "bar", "close"], "mean-reversion signal")
-    raw = core(meanrev_raw(blocked(bars, back=MEANREV_BACK(p)), p))
+    raw = cut(core(meanrev_raw(blocked(bars, back=MEANREV_BACK(p)), p)))
     return debounce(raw, p.gap, out=out)
 
 
 def breakout_signal(bars: DataFrame, p: Breakout = Breakout(), out: str = "signal") -> DataFrame:
     require_columns(bars, ["symbol", "bar", "close", "high", "low"], "breakout signal")
-    raw = core(breakout_raw(blocked(bars, back=BREAKOUT_BACK(p)), p))
+    raw = cut(core(breakout_raw(blocked(bars, back=BREAKOUT_BACK(p)), p)))
     return debounce(raw, p.gap, out=out)
 
 

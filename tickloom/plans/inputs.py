@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tickloom.operators.blocks import index_bars
 from tickloom.operators.resample import resample
+from tickloom.session import cut
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -27,8 +28,8 @@ def ticks(spark: SparkSession, sf_dir: str, by: str = "type") -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, interval: str | int = "30min", by: str = "type") -> DataFrame:
-    """Indexed bars of the events."""
-    return index_bars(resample(ticks(spark, sf_dir, by), interval, order=["ts", "seq"], price="price"))
+    """Indexed bars of the events; the bars are written once, the raw ticks are read once."""
+    return index_bars(cut(resample(ticks(spark, sf_dir, by), interval, order=["ts", "seq"], price="price")))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     t = li.join(part, li.l_partkey == part.p_partkey)
     d = resample(t, "1d", order=["ts", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price"], price="price")
-    return index_bars(d, every_days=3650)
+    return index_bars(cut(d), every_days=3650)
 
 
 def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"), F.col("o_orderkey").alias("seq"),
     )
-    return index_bars(resample(o, "1d", order=["ts", "seq"], price="price"), every_days=3650)
+    return index_bars(cut(resample(o, "1d", order=["ts", "seq"], price="price")), every_days=3650)
 
 
 def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,7 +181,7 @@ def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS)
     return out.withColumn("score", feature_set_score())
 
 
-def permute(df: DataFrame, col: str, seed: int, key: Sequence[str] = ("symbol", "bar"), groups: int = 64) -> DataFrame:
+def permute(df: DataFrame, col: str, seed: int, key: Sequence[str] = ("symbol", "bar"), groups: int = 4096) -> DataFrame:
     """Permute one column among random groups of rows.
 
     Rows fall into groups by a hash; inside a group, in another random order, each row

@@ -32,7 +32,7 @@ def scored(s, sf):
 
 SC = f"sc AS (SELECT symbol, bar, round(close / (close + open), 3) AS p, (lead(close) OVER w > close)::INT AS label, close / lag(close) OVER w - 1 AS ret FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar))"
 
-Q["a22_auc"] = lambda s, sf: mx.auc(scored(s, sf), keys=["symbol"], bins=64)
+Q["a22_auc"] = lambda s, sf: mx.auc(scored(s, sf), keys=["symbol"])
 S["a22_auc"] = f"""WITH {B}, {SC}, k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY p) + (count(*) OVER (PARTITION BY symbol, p) - 1) / 2 AS rk FROM sc WHERE label IS NOT NULL)
 SELECT symbol, sum(label)::BIGINT AS n_pos, count(*) - sum(label)::BIGINT AS n_neg, {r('(sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label)))', 'auc')} FROM k GROUP BY 1"""
 Q["a22_auc_overall"] = lambda s, sf: mx.auc(scored(s, sf))
