@@ -11,8 +11,13 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("4", shuffle_partitions=4, memory="6g")
+def checkpoint_dir(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(checkpoint_dir):
+    s = local_session("4", shuffle_partitions=4, memory="6g", checkpoint_dir=checkpoint_dir)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -181,12 +181,12 @@ def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS)
     return out.withColumn("score", feature_set_score())
 
 
-def permute(df: DataFrame, col: str, seed: int, key: Sequence[str] = ("symbol", "bar"), groups: int = 4096) -> DataFrame:
+def permute(df: DataFrame, col: str, seed: int, key: Sequence[str] = ("symbol", "bar"), groups: int = 1) -> DataFrame:
     """Permute one column among random groups of rows.
 
     Rows fall into groups by a hash; inside a group, in another random order, each row
     takes the value of the row before it (the first takes the last).  One shuffle,
-    no table-wide numbering; raise ``groups`` with the data.
+    no table-wide numbering; choose ``groups`` so that a group fits a task.
     """
     g = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(groups))
     w = Window.partitionBy("_g")
@@ -201,11 +201,12 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
                            top: int = 30) -> DataFrame:
     """Loss of AUC when a feature is permuted (mean of n permutations), largest first."""
     d = cut(df)
+    groups = max(1, d.count() // 65536)  # rows come from the file footers
     base = auc(probability(model, d, "p").select("p", "label")).select(F.col("auc").alias("_base"), F.lit(1).alias("_one"))
     rows = None
     for c in features:
         for i in range(n):
-            a = auc(probability(model, permute(d, c, seed + 101 * i), "p").select("p", "label"))
+            a = auc(probability(model, permute(d, c, seed + 101 * i, groups=groups), "p").select("p", "label"))
             a = a.select(F.lit(c).alias("feature"), "auc", F.lit(1).alias("_one"))
             rows = a if rows is None else rows.unionByName(a)
     g = rows.groupBy("feature", "_one").agg(F.avg("auc").alias("_m")).join(base, "_one")

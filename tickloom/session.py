@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g",
+                  checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and the bench; on a cluster bring your own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tickloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +20,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
