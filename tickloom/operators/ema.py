@@ -68,33 +68,24 @@ def add_emas(df: DataFrame, specs: Sequence[Ema], keys: Sequence[str] = KEYS) ->
         if length == 1:
             df = df.withColumns({s.out: F.when(F.col("bar") >= s.first, F.col(s.x)) for s in group})
             continue
-        sub, off = f"_s{length}", F.col("bar") % length
-        df = df.withColumn(sub, F.floor(F.col("bar") / length).cast("long"))
+        sub, off = F.floor(F.col("bar") / length).cast("long"), F.col("bar") % length
         local = Window.partitionBy(*keys, "_blk", sub).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-        locs = {}
+        prev = Window.partitionBy(*keys, "_blk").orderBy(sub).rangeBetween(-1, -1)
+        locs, carries, outs = {}, {}, []
         for s in group:
-            d = F.lit(1.0 - s.alpha)
-            seed = F.col(s.x)
-            c = F.when(F.col("bar") < s.first, 0.0)
+            d, x = F.lit(1.0 - s.alpha), F.col(s.x)
             if s.adjust:
-                c = c.otherwise(seed)
+                c = F.when(F.col("bar") < s.first, 0.0).otherwise(x)
             else:
-                c = c.when(F.col("bar") == s.first, seed).otherwise(seed * F.lit(s.alpha))
-            locs[f"_loc_{s.out}"] = F.pow(d, off) * F.sum(c * F.pow(d, -off)).over(local)
-        df = df.withColumns(locs)
-        prev = Window.partitionBy(*keys, "_blk").orderBy(sub).rangeBetween(-1, -1)
-        df = df.withColumns(
-            {
-                f"_car_{s.out}": F.last(F.when(off == length - 1, F.col(f"_loc_{s.out}")), ignorenulls=True).over(prev)
-                for s in group
-            }
-        )
-        outs = {}
-        for s in group:
-            d = F.lit(1.0 - s.alpha)
-            e = F.col(f"_loc_{s.out}") + F.coalesce(F.col(f"_car_{s.out}"), F.lit(0.0)) * F.pow(d, off + 1)
+                c = F.when(F.col("bar") < s.first, 0.0).when(F.col("bar") == s.first, x).otherwise(x * F.lit(s.alpha))
+            loc, car = f"_loc_{s.out}", f"_car_{s.out}"
+            locs[loc] = F.pow(d, off) * F.sum(c * F.pow(d, -off)).over(local)
+            carries[car] = F.last(F.when(off == length - 1, F.col(loc)), ignorenulls=True).over(prev)
+            e = F.col(loc) + F.coalesce(F.col(car), F.lit(0.0)) * F.pow(d, off + 1)
             if s.adjust:
                 e = e * s.alpha / (1.0 - F.pow(d, F.col("bar") - s.first + 1))
-            outs[s.out] = F.when(F.col("bar") >= s.first, e)
-        df = df.withColumns(outs).drop(*[f"_{p}_{s.out}" for s in group for p in ("loc", "car")])
+            outs.append(F.when(F.col("bar") >= s.first, e).alias(s.out))
+        new = {s.out for s in group}
+        keep = [F.col(c) for c in df.columns if c not in new]
+        df = df.withColumns(locs).withColumns(carries).select(*keep, *outs)
     return df

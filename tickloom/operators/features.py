@@ -59,8 +59,11 @@ def _zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in cols})
 
 
-def _basic(df: DataFrame) -> DataFrame:
-    """The 26 return/average/range/volume features on a blocked frame."""
+MACD = [Ema("_mf", "close", span(12), adjust=True), Ema("_ms", "close", span(26), adjust=True)]
+
+
+def _basic(df: DataFrame, more: Sequence[Ema] = ()) -> DataFrame:
+    """The 26 return/average/range/volume features on a blocked frame; ``more`` averages join the same pass."""
     c = F.col("close")
     df = I.rsi_inputs(df).withColumns(
         {
@@ -75,19 +78,19 @@ def _basic(df: DataFrame) -> DataFrame:
     emas = [Ema("_up", "_gain", 1 / 14, 1), Ema("_dn", "_loss", 1 / 14, 1)]
     for w in WINDOWS:
         emas += [Ema(f"_ce{w}", "close", span(w)), Ema(f"_he{w}", "_hl", span(w)), Ema(f"vol_ema_{w}", "_v", span(w))]
-    df = add_emas(df, emas)
+    df = add_emas(df, [*emas, *more])
     out = {f"ema_{w}": F.try_divide(F.col(f"_ce{w}"), c) - 1 for w in WINDOWS}
     out |= {f"atr_{w}": F.try_divide(F.col(f"_he{w}"), c) for w in WINDOWS}
     out["rsi_14"] = I.rsi_of("_up", "_dn")
-    drop = ["_gain", "_loss", "_hl", "_v", "_up", "_dn"] + [f"_{p}{w}" for p in ("ce", "he") for w in WINDOWS]
-    return df.withColumns(out).drop(*drop)
+    return df.withColumns(out)
 
 
 def _momentum(df: DataFrame) -> DataFrame:
-    """The bounded-memory part of the momentum features on a blocked frame."""
+    """The bounded-memory part of the momentum features on a blocked frame that has the ``MACD`` averages."""
     k, r = I.stochastic(14)
-    df = I.add_macd(I.add_cci(I.add_adx(df, 14, "adx_14"), 20, "cci_20"), out="macd")
-    return df.withColumns({"stoch_k": k, "williams_r": r, "prev_close": F.lag("close").over(block_window())})
+    df = I.add_cci(I.add_adx(df, 14, "adx_14"), 20, "cci_20")
+    return df.withColumns({"stoch_k": k, "williams_r": r, "macd": F.col("_mf") - F.col("_ms"),
+                           "prev_close": F.lag("close").over(block_window())})
 
 
 BASIC_BACK = ema_back([span(w) for w in WINDOWS] + [1 / 14])
@@ -108,13 +111,13 @@ def _cumulative(df: DataFrame) -> DataFrame:
 
 def momentum_pack(bars: DataFrame, fill: bool = True) -> DataFrame:
     """ADX, MACD, stochastic, CCI, Williams %R, on-balance volume and cumulative VWAP."""
-    out = _cumulative(core(_momentum(blocked(bars, back=MOMENTUM_BACK))))
+    out = _cumulative(core(_momentum(add_emas(blocked(bars, back=MOMENTUM_BACK), MACD))))
     return _zero_fill(out, MOMENTUM) if fill else out
 
 
 def full_pack(bars: DataFrame, fill: bool = True) -> DataFrame:
     """Basic and momentum features (33 columns) from one shuffle of the bars plus one prefix scan."""
-    out = _cumulative(core(_momentum(_basic(blocked(bars, back=max(BASIC_BACK, MOMENTUM_BACK))))))
+    out = _cumulative(core(_momentum(_basic(blocked(bars, back=max(BASIC_BACK, MOMENTUM_BACK)), MACD))))
     return _zero_fill(out, BASIC + MOMENTUM) if fill else out
 
 

@@ -1,7 +1,8 @@
 """Rolling, exponential and cumulative indicators.
 
 Functions that take a frame expect it to be ``blocked`` with enough rows before
-each block (the ``*_BACK`` helpers); column helpers only build expressions.
+each block (the ``*_BACK`` helpers) and leave working columns (leading underscore)
+to ``core``; column helpers only build expressions.
 """
 
 from __future__ import annotations
@@ -85,10 +86,10 @@ def add_atr(df: DataFrame, n: int = 14, variant: str = "mean", out: str = "atr",
     if variant in ("wilder", "span"):
         wilder = variant == "wilder"
         df = df.withColumn("_tr", true_range(keys, "null" if wilder else "fill"))
-        return add_emas(df, [Ema(out, "_tr", 1.0 / n if wilder else span(n), first=1 if wilder else 0)], keys).drop("_tr")
+        return add_emas(df, [Ema(out, "_tr", 1.0 / n if wilder else span(n), first=1 if wilder else 0)], keys)
     need = {"mean1": 1, "half": max(2, n // 2), "mean": n}[variant]
     df = df.withColumn("_tr", true_range(keys))
-    return df.withColumn(out, rolling("_tr", n, "mean", need, keys)).drop("_tr")
+    return df.withColumn(out, rolling("_tr", n, "mean", need, keys))
 
 
 def rsi_inputs(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -107,7 +108,7 @@ def add_rsi(df: DataFrame, n: int = 14, out: str = "rsi", keys: Sequence[str] =
         {"_gain": F.greatest(F.coalesce("_gain", F.lit(0.0)), F.lit(0.0)), "_loss": F.coalesce("_loss", F.lit(0.0))}
     )
     df = add_emas(df, [Ema("_up", "_gain", 1.0 / n, 1), Ema("_dn", "_loss", 1.0 / n, 1)], keys)
-    return df.withColumn(out, rsi_of("_up", "_dn")).drop("_gain", "_loss", "_up", "_dn")
+    return df.withColumn(out, rsi_of("_up", "_dn"))
 
 
 def rsi_simple(df: DataFrame, n: int = 14, out: str = "rsi", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -118,7 +119,7 @@ def rsi_simple(df: DataFrame, n: int = 14, out: str = "rsi", keys: Sequence[str]
     l = rolling(F.greatest(-F.col("_d"), F.lit(0.0)), n, "mean", keys=keys)
     df = df.withColumn("_g", g).withColumn("_l", l)
     value = F.when(F.col("_l") > 0, 100.0 - 100.0 / (1.0 + F.col("_g") / F.col("_l"))).when(F.col("_g") > 0, 100.0)
-    return df.withColumn(out, value).drop("_d", "_g", "_l")
+    return df.withColumn(out, value)
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -126,7 +127,7 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, keys: Sequence[str] =
     df = df.withColumns({"bb_mid": rolling("close", n, "mean", keys=keys), "_sd": rolling("close", n, "std_pop", keys=keys)})
     df = df.withColumns({"bb_up": F.col("bb_mid") + k * F.col("_sd"), "bb_dn": F.col("bb_mid") - k * F.col("_sd")})
     pos = F.try_divide(F.col("close") - F.col("bb_dn"), F.col("bb_up") - F.col("bb_dn"))
-    return df.withColumn("bb_pos", pos).drop("_sd")
+    return df.withColumn("bb_pos", pos)
 
 
 def prior_channel(n: int = 30, keys: Sequence[str] = KEYS) -> tuple[Column, Column]:
@@ -152,14 +153,13 @@ def add_adx(df: DataFrame, n: int = 14, out: str = "adx", keys: Sequence[str] =
         {"_pdi": 100.0 * F.try_divide(F.col("_a_pdm"), F.col("_a_tr")), "_mdi": 100.0 * F.try_divide(F.col("_a_mdm"), F.col("_a_tr"))}
     )
     df = df.withColumn("_dx", 100.0 * F.abs(F.col("_pdi") - F.col("_mdi")) / (F.col("_pdi") + F.col("_mdi") + 1e-9))
-    df = df.withColumn(out, rolling("_dx", n, "mean", keys=keys))
-    return df.drop("_tr", "_pdm", "_mdm", "_a_tr", "_a_pdm", "_a_mdm", "_pdi", "_mdi", "_dx")
+    return df.withColumn(out, rolling("_dx", n, "mean", keys=keys))
 
 
 def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, out: str = "macd", adjust: bool = True,
              keys: Sequence[str] = KEYS) -> DataFrame:
     df = add_emas(df, [Ema("_mf", "close", span(fast), adjust=adjust), Ema("_ms", "close", span(slow), adjust=adjust)], keys)
-    return df.withColumn(out, F.col("_mf") - F.col("_ms")).drop("_mf", "_ms")
+    return df.withColumn(out, F.col("_mf") - F.col("_ms"))
 
 
 def add_macd_histogram(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, out: str = "macd_hist",
@@ -172,7 +172,7 @@ def add_macd_histogram(df: DataFrame, fast: int = 12, slow: int = 26, signal: in
     df = add_macd(df, fast, slow, "_line", adjust=False, keys=keys)
     df = add_emas(df, [Ema("_sig", "_line", span(signal), first=slow - 1)], keys)
     ok = F.col("bar") >= slow + signal - 2
-    return df.withColumn(out, F.when(ok, F.col("_line") - F.col("_sig"))).drop("_line", "_sig")
+    return df.withColumn(out, F.when(ok, F.col("_line") - F.col("_sig")))
 
 
 def stochastic(n: int = 14, keys: Sequence[str] = KEYS) -> tuple[Column, Column]:
@@ -187,7 +187,7 @@ def add_cci(df: DataFrame, n: int = 20, out: str = "cci", keys: Sequence[str] =
     df = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3.0)
     df = df.withColumns({"_m": rolling("_tp", n, "mean", keys=keys), "_win": F.collect_list("_tp").over(trailing(n, keys))})
     mad = F.aggregate("_win", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_m"))) / n
-    return df.withColumn(out, (F.col("_tp") - F.col("_m")) / (0.015 * mad + 1e-9)).drop("_tp", "_m", "_win")
+    return df.withColumn(out, (F.col("_tp") - F.col("_m")) / (0.015 * mad + 1e-9))
 
 
 def price_efficiency(r: Column | str, n: int = 8, min_rows: int = 4, keys: Sequence[str] = KEYS) -> Column:

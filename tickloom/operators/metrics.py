@@ -162,6 +162,7 @@ def core_pack(led: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def extended_pack(led: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``core_pack`` plus holding lengths, win/loss streaks and the median trade."""
     keys = list(keys)
+    led = cut(led.select(*keys, "bar", "side", "pnl", "equity", "drawdown", "traded", "turnover", "cost"))
     base = core_pack(led, keys)
     hold = streaks(led, F.col("side") != 0, keys, "hold_bars")
     # trades in order: the non-zero profits, numbered densely by a running count

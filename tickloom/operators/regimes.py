@@ -39,7 +39,7 @@ def regime_raw(df: DataFrame, p: RegimeParams = RegimeParams(), out: str = "regi
     df = add_emas(df, [Ema("_f", "close", span(p.fast)), Ema("_s", "close", span(p.slow))], keys)
     strength = F.abs(F.col("_f") - F.col("_s")) / (F.col("_rng") + 1e-8)
     label = F.when(F.col("_pct") > F.col("_thr"), "high_vol").when(strength > p.trend_threshold, "trend").otherwise("range")
-    return df.withColumn(out, label).drop("_rng", "_pct", "_thr0", "_thr", "_f", "_s")
+    return df.withColumn(out, label)
 
 
 def regime_back(p: RegimeParams = RegimeParams()) -> int:

@@ -57,7 +57,7 @@ def trend_raw(df: DataFrame, p: Trend = Trend(), out: str = "raw_dir", keys: Seq
     c, s = F.col("close"), F.col("_s")
     return df.withColumn(
         out, _direction((strength > p.threshold) & (c > s), (strength < -p.threshold) & (c < s))
-    ).drop("_tr", "_f", "_s", "_a")
+    )
 
 
 def meanrev_raw(df: DataFrame, p: MeanReversion = MeanReversion(), out: str = "raw_dir", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -67,7 +67,7 @@ def meanrev_raw(df: DataFrame, p: MeanReversion = MeanReversion(), out: str = "r
     c, r = F.col("close"), F.col("_rsi")
     long = (r < p.rsi_low) & (c <= F.col("_m") - p.bb_k * F.col("_sd"))
     short = (r > p.rsi_high) & (c >= F.col("_m") + p.bb_k * F.col("_sd"))
-    return df.withColumn(out, _direction(long, short)).drop("_rsi", "_m", "_sd")
+    return df.withColumn(out, _direction(long, short))
 
 
 def breakout_raw(df: DataFrame, p: Breakout = Breakout(), out: str = "raw_dir", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -77,7 +77,7 @@ def breakout_raw(df: DataFrame, p: Breakout = Breakout(), out: str = "raw_dir",
     value = F.col("_raw")
     for k in range(1, p.confirm_bars):
         value = F.when(I.lag("_raw", k, keys) == F.col("_raw"), value).otherwise(0)
-    return df.withColumn(out, value).drop("_raw")
+    return df.withColumn(out, value)
 
 
 TREND_BACK = lambda p: ema_back([span(p.fast), span(p.slow), span(p.atr_len)], 1)
@@ -151,7 +151,7 @@ class Risk:
 def add_realized_vol(df: DataFrame, n: int = 48, out: str = "vol", keys: Sequence[str] = KEYS) -> DataFrame:
     """Deviation of one-bar returns over n bars; zero counts as missing. Warm-up rows are null."""
     df = df.withColumn("_rr", I.pct_change("close", 1, keys))
-    return df.withColumn(out, F.nullif(I.rolling("_rr", n, "std", keys=keys), F.lit(0.0))).drop("_rr")
+    return df.withColumn(out, F.nullif(I.rolling("_rr", n, "std", keys=keys), F.lit(0.0)))
 
 
 def thresholds(th_long: float | None, th_short: float | None, default_long: float = 0.55) -> tuple[float, float]:
