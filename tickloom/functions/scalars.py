@@ -16,7 +16,8 @@ def col(c: Column | str) -> Column:
 def finite(x: Column | str) -> Column:
     """``x`` when it is a finite number, else null."""
     x = col(x)
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x)
+    # NaN sorts above infinity, so one comparison rules out both
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def safe_divide(a: Column | str, b: Column | str, default: float | None = None, eps: float = 0.0) -> Column:

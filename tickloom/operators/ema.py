@@ -68,23 +68,21 @@ def add_emas(df: DataFrame, specs: Sequence[Ema], keys: Sequence[str] = KEYS) ->
         if length == 1:
             df = df.withColumns({s.out: F.when(F.col("bar") >= s.first, F.col(s.x)) for s in group})
             continue
-        sub, off = F.floor(F.col("bar") / length).cast("long"), F.col("bar") % length
+        sub = F.floor(F.col("bar") / length).cast("long")
         local = Window.partitionBy(*keys, "_blk", sub).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
         prev = Window.partitionBy(*keys, "_blk").orderBy(sub).rangeBetween(-1, -1)
         locs, carries, outs = {}, {}, []
         for s in group:
-            d, x = F.lit(1.0 - s.alpha), F.col(s.x)
+            d, loc, car = f"{1.0 - s.alpha!r}D", f"_loc_{s.out}", f"_car_{s.out}"
+            scale = "1D" if s.adjust else f"{s.alpha!r}D"
+            c = f"CASE WHEN bar < {s.first} THEN 0D WHEN bar = {s.first} THEN `{s.x}` ELSE `{s.x}` * {scale} END"
+            total = F.expr(f"sum({c} * pow({d}, -(bar % {length})))").over(local)
+            locs[loc] = F.expr(f"pow({d}, bar % {length})") * total
+            carries[car] = F.expr(f"last(CASE WHEN bar % {length} = {length - 1} THEN `{loc}` END, true)").over(prev)
+            e = f"(`{loc}` + coalesce(`{car}`, 0D) * pow({d}, bar % {length} + 1))"
             if s.adjust:
-                c = F.when(F.col("bar") < s.first, 0.0).otherwise(x)
-            else:
-                c = F.when(F.col("bar") < s.first, 0.0).when(F.col("bar") == s.first, x).otherwise(x * F.lit(s.alpha))
-            loc, car = f"_loc_{s.out}", f"_car_{s.out}"
-            locs[loc] = F.pow(d, off) * F.sum(c * F.pow(d, -off)).over(local)
-            carries[car] = F.last(F.when(off == length - 1, F.col(loc)), ignorenulls=True).over(prev)
-            e = F.col(loc) + F.coalesce(F.col(car), F.lit(0.0)) * F.pow(d, off + 1)
-            if s.adjust:
-                e = e * s.alpha / (1.0 - F.pow(d, F.col("bar") - s.first + 1))
-            outs.append(F.when(F.col("bar") >= s.first, e).alias(s.out))
+                e += f" * {s.alpha!r}D / (1D - pow({d}, bar - {s.first} + 1))"
+            outs.append(F.expr(f"CASE WHEN bar >= {s.first} THEN {e} END").alias(s.out))
         new = {s.out for s in group}
         keep = [F.col(c) for c in df.columns if c not in new]
         df = df.withColumns(locs).withColumns(carries).select(*keep, *outs)

@@ -56,7 +56,7 @@ def feature_set(name: str, available: Sequence[str]) -> tuple[list[str], list[st
 
 
 def _zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in cols})
+    return df.withColumns({c: F.expr(f"CASE WHEN abs(`{c}`) < double('infinity') THEN `{c}` ELSE 0D END") for c in cols})
 
 
 MACD = [Ema("_mf", "close", span(12), adjust=True), Ema("_ms", "close", span(26), adjust=True)]
