@@ -92,3 +92,24 @@ def test_debounce_equals_state_machine(spark, gap, size, stay):
     for s, g in pdf.groupby("symbol"):
         got = out[out.symbol == s].signal.tolist()
         assert got == debounce_loop(g.raw_dir.tolist(), max(gap, 1))
+
+
+def test_no_group_grows_with_a_hot_symbol(spark):
+    """A symbol with most of the rows is cut into blocks of bounded size, and every row is kept once."""
+    hot = spark.range(50_000).select(F.lit("hot").alias("symbol"), F.col("id").alias("bar"), F.rand(1).alias("close"))
+    cold = spark.range(100).select(F.lit("cold").alias("symbol"), F.col("id").alias("bar"), F.rand(2).alias("close"))
+    d = blocked(hot.unionByName(cold), back=100, ahead=10, size=1024)
+    assert d.groupBy("symbol", "_blk").count().agg(F.max("count")).first()[0] <= 1024 + 110
+    assert core(d).count() == 50_100
+
+
+def test_rolling_quantiles(spark):
+    pdf = walk(n=150)
+    pdf.loc[pdf.bar % 11 == 5, "close"] = np.nan
+    sdf = spark.createDataFrame(pdf).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    d = core(blocked(sdf, back=40, size=64).withColumns(
+        {"q": I.rolling("close", 40, "quantile", 10, q=0.83), "m": I.rolling("close", 7, "median", 7)}))
+    out = to_pandas(d)
+    g = pdf.groupby("symbol").close
+    np.testing.assert_allclose(out.q.astype(float), g.rolling(40, min_periods=10).quantile(0.83), rtol=1e-12)
+    np.testing.assert_allclose(out.m.astype(float), g.rolling(7).median(), rtol=1e-12)

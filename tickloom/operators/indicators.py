@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import col
@@ -38,13 +38,26 @@ def rolling(c: Column | str, n: int, how: str, min_rows: int | None = None, keys
             q: float | None = None) -> Column:
     """Trailing aggregate over ``n`` rows; null until ``min_rows`` (default n) values are there."""
     x, w = col(c), trailing(n, keys)
-    if how == "quantile":
-        agg = F.percentile(x, F.lit(q)).over(w)
-    elif how == "median":
-        agg = F.percentile(x, F.lit(0.5)).over(w)
-    else:
-        agg = _AGG[how](x).over(w)
-    return F.when(F.count(x).over(w) >= (n if min_rows is None else min_rows), agg)
+    need = n if min_rows is None else min_rows
+    if how in ("quantile", "median"):
+        return _window_quantile(x, w, 0.5 if how == "median" else q, need)
+    return F.when(F.count(x).over(w) >= need, _AGG[how](x).over(w))
+
+
+def _window_quantile(x: Column, w: WindowSpec, q: float, need: int) -> Column:
+    """Interpolated quantile of a bounded frame.
+
+    Sorting the frame's values is several times faster than ``percentile`` over it,
+    which fills and sorts a hash map per row.
+    """
+
+    def interpolate(v: Column) -> Column:
+        pos = (F.size(v) - 1) * F.lit(q)
+        lo, hi = F.get(v, F.floor(pos).cast("int")), F.get(v, F.ceil(pos).cast("int"))
+        return F.when(F.size(v) >= need, lo + (hi - lo) * (pos - F.floor(pos)))
+
+    # the one-element array binds the sorted values, so they are sorted once
+    return F.get(F.transform(F.array(F.sort_array(F.collect_list(x).over(w))), interpolate), 0)
 
 
 def pct_change(c: Column | str, k: int = 1, keys: Sequence[str] = KEYS) -> Column:
