@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import clip, finite
+from tickloom.functions.scalars import finite
 from tickloom.operators import indicators as I
-from tickloom.operators.blocks import KEYS, block_window, blocked, core, prefix
+from tickloom.operators.blocks import block_window, blocked, core, prefix
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
 from tickloom.session import cut

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import timeparse as tp
 from tickloom.operators import asof
-from tickloom.operators import filters as fl
 from tickloom.operators import labels as lb
 from tickloom.operators import quality
 from tickloom.operators import relations as rel
 from tickloom.operators.resample import resample
-from tickloom.plans.inputs import EVENT_TYPES, bars, event_signals, price_probability, risk_scores, table, ticks, trades
-from tickloom.plans.queries.sqlbase import bars_cte, lag, r
+from tickloom.plans.inputs import EVENT_TYPES, bars, event_signals, price_probability, table, ticks, trades
+from tickloom.plans.queries.sqlbase import bars_cte, r
 from tickloom.session import shared_dir
 from tickloom.sources import files, sinks
 

@@ -13,7 +13,7 @@ from tickloom.plans import folds as fo
 from tickloom.plans import learning as ml
 from tickloom.plans.inputs import bars, daily, price_probability
 from tickloom.plans.queries.indicators import LR, VW, eff, z
-from tickloom.plans.queries.sqlbase import DAILY, bars_cte, frame, lag, r
+from tickloom.plans.queries.sqlbase import DAILY, bars_cte, frame, r
 from tickloom.session import cut
 
 B = bars_cte()

@@ -10,7 +10,7 @@ from tickloom.operators import features as X
 from tickloom.operators import labels as lb
 from tickloom.plans import learning as ml
 from tickloom.plans.inputs import bars, risk_scores, table
-from tickloom.plans.queries.sqlbase import bars_cte, lag, r
+from tickloom.plans.queries.sqlbase import bars_cte, r
 from tickloom.plans.queries.signals import TREND, TREND_SQL
 from tickloom.session import cut, shared_dir
 from tickloom.streaming import bars as sb

@@ -15,9 +15,9 @@ from tickloom.operators import metrics as mx
 from tickloom.operators import signals as sg
 from tickloom.operators.blocks import blocked, core
 from tickloom.plans import sweep as sw
-from tickloom.plans.inputs import bars, daily, event_signals, orders_daily, price_probability, risk_scores, table, trades
+from tickloom.plans.inputs import bars, orders_daily, price_probability, risk_scores, trades
 from tickloom.plans.queries.bars import ORD
-from tickloom.plans.queries.sqlbase import DAILY, bars_cte, debounce_cte, ema_cte, frame, lag, r
+from tickloom.plans.queries.sqlbase import bars_cte, debounce_cte, ema_cte, frame, lag, r
 from tickloom.session import cut
 
 B = bars_cte()
