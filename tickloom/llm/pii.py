@@ -124,7 +124,7 @@ DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3
 BRACKETED = re.compile(rf"(?P<at>{AT})|(?P<dot>{DOT})", re.I)
 #: Bare words count as signs only in a whole address: local at host dot suffix.
 BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}(?P<l>(?: (?:dot|punkt|punto) [A-Za-z0-9_%+-]{1,64}){0,3})"
-                  r"(?P<at> (?:at|arroba) |@)(?P<h>[A-Za-z0-9-]{1,63}(?:(?: (?:dot|punkt|point|punto) |\.)[A-Za-z0-9-]{1,63}){1,5})(?![A-Za-z0-9])", re.I)
+                  r"(?P<at> (?:at|arroba) |@)(?P<h>[A-Za-z0-9-]{1,63}(?:(?: (?:dot|punkt|point|punto) |\.)(?!(?:dot|punkt|point|punto|at)(?![A-Za-z0-9]))[A-Za-z0-9-]{1,63}){1,5})(?![A-Za-z0-9])", re.I)
 BARE_SIGN = re.compile(r" (?:(?P<at>at|arroba)|dot|punkt|point|punto) ", re.I)
 IP_DOTS = re.compile(r"(?<![0-9])[0-9]{1,3}(?: (?:dot|punkt|point|punto) [0-9]{1,3}){3}(?![0-9])", re.I)
 #: Letters for digits inside a long, mostly numeric run.
