@@ -201,7 +201,6 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
 
     alive = state.where("f1 is not null")
     classes = cut(alive.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
-    members = alive.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"])
     reps = classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "class_size")
     lists = alive.select("doc_id", "f1", "f2", "rare").join(reps, ["doc_id", "f1", "f2"]).select("doc_id", F.explode("rare").alias("gram"))
     lists = cut(lists)
@@ -225,8 +224,11 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
     linked = components(found.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     per_rep = (found.groupBy("doc_id").agg(F.sum("links").alias("links")).join(linked, F.col("doc_id") == F.col("node"), "left")
                .select(F.col("doc_id").alias("rep"), "links", "component"))
-    done = (members.join(per_rep, "rep", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
-                    (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links")))
+    # one row per class; only then the copies, in one join whose hot classes adaptive execution can split
+    labelled = classes.join(per_rep, "rep", "left").select(
+        "f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
+    done = (alive.select("doc_id", "f1", "f2", "n_shingles").join(cut(labelled), ["f1", "f2", "n_shingles"])
+            .select("doc_id", "n_shingles", "component_id", "n_links"))
     alone = state.where("f1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return done.unionByName(alone)
