@@ -5,7 +5,7 @@ difference-coded, to the partition that owns their hash range, and a reply with
 key comes back in the same order. Both directions are ordinary groupBy shuffles of a few binary rows per
 (chunk, partition); the texts themselves are shuffled once, and the plan reuses that exchange for every pass.
 
-Sizes: there are ``2 x spark.sql.shuffle.partitions`` chunks and as many owners as shuffle partitions, so
+Sizes: there are ``4 x spark.sql.shuffle.partitions`` chunks and as many owners as shuffle partitions, so
 both hold a constant amount when that setting follows the data. A key has ``BITS`` = 41 bits within its
 owner (and log2(owners) more by the choice of the owner), so about one key in a million meets another by
 chance at any data size; callers that need exact equality send full 64-bit hashes (``exact=True``).
@@ -31,7 +31,7 @@ POSTED_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys",
 
 def chunked(docs: DataFrame) -> DataFrame:
     """doc_id and text with their chunk number, hash-partitioned by chunk (null ids are one document's)."""
-    n = 2 * partitions(docs)
+    n = 4 * partitions(docs)
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"))
 
 
