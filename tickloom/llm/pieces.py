@@ -168,9 +168,9 @@ def _lattice(v: Vocabulary, data: np.ndarray, offs: np.ndarray, best: bool):
 
 
 class Sampler:
-    """Lattices of the strings a task has met; started anew when they fill about 150 MB."""
+    """Lattices of the strings a task has met; started anew when they fill about 100 MB."""
 
-    LIMIT = 8_000_000
+    LIMIT = 5_000_000
 
     def __init__(self, v: Vocabulary, best: bool):
         self.v, self.best = v, best
