@@ -113,3 +113,14 @@ def test_rolling_quantiles(spark):
     g = pdf.groupby("symbol").close
     np.testing.assert_allclose(out.q.astype(float), g.rolling(40, min_periods=10).quantile(0.83), rtol=1e-12)
     np.testing.assert_allclose(out.m.astype(float), g.rolling(7).median(), rtol=1e-12)
+
+
+def test_rows_without_time_or_symbol_stay(spark):
+    rows = [("A", 1.0, i) for i in range(5)] + [(None, 2.0, i) for i in range(3)] + [("A", 3.0, None), (None, 4.0, None)]
+    d = spark.createDataFrame(rows, "symbol string, close double, t long").withColumn("ts", F.timestamp_seconds("t"))
+    b = index_bars(d)
+    got = sorted((r.symbol or "", -1 if r.t is None else r.t, -1 if r.bar is None else r.bar) for r in b.collect())
+    assert got == [("", -1, -1), ("", 0, 0), ("", 1, 1), ("", 2, 2), ("A", -1, -1), *[("A", i, i) for i in range(5)]]
+    assert core(blocked(b, back=3)).count() == core(blocked(b)).count() == 10
+    assert prefix(b, {"s": ("sum", F.col("close"))}).filter("s is not null").count() == 10
+    assert equity_path(b, F.col("close")).count() == 10

@@ -40,7 +40,7 @@ def test_missing_features_count_as_zero(data):
 
 
 def test_permutation_keeps_values_and_finds_the_signal(data):
-    p = ml.permute(data, "x1", 3, groups=4)
+    p = ml.permute(data, "x1", 3)
     key = ["symbol", "bar"]
     a = data.select("x1").toPandas().x1.sort_values().to_numpy()
     b = p.select("x1").toPandas().x1.sort_values().to_numpy()

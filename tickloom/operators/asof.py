@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import KEYS
+from tickloom.operators.blocks import KEYS, join_safe
 
 
 def _asof(left: DataFrame, right: DataFrame, cols: Sequence[str], keys: Sequence[str], ts: str, width_s: int,
@@ -36,7 +36,8 @@ def _asof(left: DataFrame, right: DataFrame, cols: Sequence[str], keys: Sequence
     local = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     edges = both.groupBy(*keys, "_sl").agg(edge.alias("_e"))
     edges = edges.select(*keys, "_sl", F.last("_e", ignorenulls=True).over(over).alias("_e"))
-    hit = both.withColumn("_m", local).filter("_left").join(edges, [*keys, "_sl"], "left")
+    hit = both.withColumn("_m", local).filter("_left")
+    hit = join_safe(hit, edges, [*keys, "_sl"])
     hit = hit.withColumn("_m", F.coalesce("_m", "_e"))
     return hit.select(*keys, ts, *[F.col("_l")[c].alias(c) for c in lcols],
                       F.col("_m.match_ts").alias("match_ts"), *[F.col("_m")[c].alias(c) for c in cols])
@@ -59,13 +60,14 @@ def asof_forward(left: DataFrame, right: DataFrame, cols: Sequence[str], keys: S
     return _asof(left, right, cols, keys, ts, width_s, forward=True)
 
 
-def union_axis(df: DataFrame, symbols: Sequence[str], cols: Sequence[str], width_s: int = 21600) -> DataFrame:
-    """Every listed symbol on the union of all times, values carried forward.
+def union_axis(df: DataFrame, cols: Sequence[str], symbols: Sequence[str] | None = None, width_s: int = 21600) -> DataFrame:
+    """Every symbol on the union of all times, values carried forward.
 
-    The symbol list is given (a fixed universe), so each distinct time expands to
-    a bounded number of rows and no table is crossed with another.
+    The result has times x symbols rows by its nature. The symbols are those of the data (one
+    aggregated array, attached to each distinct time) unless a universe is given.
     """
-    axis = df.select("ts").distinct().withColumn("symbol", F.explode(F.array(*[F.lit(s) for s in symbols])))
+    every = df.agg(F.array_sort(F.collect_set("symbol"))).scalar() if symbols is None else F.array(*[F.lit(s) for s in symbols])
+    axis = df.select("ts").distinct().withColumn("symbol", F.explode(every))
     return asof_backward(axis, df, cols, width_s=width_s)
 
 

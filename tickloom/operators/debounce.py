@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import KEYS
+from tickloom.operators.blocks import KEYS, join_safe
 from tickloom.session import cut
 
 SIGNAL_BLOCK = 8192
@@ -52,14 +52,14 @@ def debounce_many(df: DataFrame, signals: Mapping[str, tuple[str, int | str]], k
     blk, sid = [*keys, "_blk"], [*keys, "_sid", "_blk"]
     d = df.withColumn("_blk", F.floor(F.col("bar") / size).cast("long"))
 
-    # runs of equal raw direction inside a block, per signal
+    # runs of equal raw direction inside a block, per signal; rows without a position take no part
     def entry(i: int, raw: str, gap: int | str) -> Column:
         wait = F.greatest(F.col(gap), F.lit(1)).cast("int") if isinstance(gap, str) else F.lit(gap)
         return F.struct(F.lit(i).alias("sid"), F.coalesce(F.col(raw), F.lit(0)).cast("int").alias("dir"), wait.alias("gap"))
 
     w = Window.partitionBy(*blk).orderBy("bar")
     now = [entry(i, raw, gap) for i, (raw, gap) in enumerate(held.values())]
-    r = d.select(*blk, "bar", F.array(*now).alias("_now"))
+    r = d.filter(F.col("bar").isNotNull()).select(*blk, "bar", F.array(*now).alias("_now"))
     r = r.withColumns({"_old": F.lag("_now").over(w), "_last": F.max("bar").over(Window.partitionBy(*blk))})
     changed = F.filter("_now", lambda x: F.col("_old").isNull() | (F.get("_old", x["sid"])["dir"] != x["dir"]))
     r = r.select(*blk, "bar", "_last", F.explode(changed).alias("x"))
@@ -86,12 +86,12 @@ def debounce_many(df: DataFrame, signals: Mapping[str, tuple[str, int | str]], k
     # the entry direction holds from the first bar of the block unless that bar changes it
     first = F.struct((F.col("_blk") * size).alias("bar"), F.col("e_dir").alias("dir"))
     flips = F.when(F.get(flips, 0)["bar"] == F.col("_blk") * size, flips).otherwise(F.array_prepend(flips, first))
-    marks = runs.join(entries, sid).select(*sid, F.explode(flips).alias("f"))
+    marks = join_safe(runs, entries, sid).select(*sid, F.explode(flips).alias("f"))
     marks = marks.groupBy(*blk, F.col("f.bar").alias("bar")).agg(
         *[F.max(F.when(F.col("_sid") == i, F.col("f.dir"))).alias(f"_m_{o}") for i, o in enumerate(held)]
     )
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    full = d.join(marks, [*blk, "bar"], "left")
+    full = join_safe(d, marks, [*blk, "bar"])
     full = full.withColumns({o: F.last(f"_m_{o}", ignorenulls=True).over(upto) for o in held})
     return full.drop("_blk", *[f"_m_{o}" for o in held])
 

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as I
-from tickloom.operators.blocks import KEYS, blocked, core, prefix
+from tickloom.operators.blocks import KEYS, blocked, core, join_safe, prefix
 from tickloom.operators.ledger import COMMISSION, SLIPPAGE_BPS
 from tickloom.session import cut
 
 
-def label_episodes(df: DataFrame, side: str = "signal", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Bar log: adds ``trade_id`` (1, 2, ... per key; null while flat) and the next bar's close and time."""
+def label_episodes(df: DataFrame, side: str = "signal", keys: Sequence[str] = KEYS,
+                   carry: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """``carry`` names more running values (see ``prefix``) to take along; they may use ``is_start``.
+
+    Bar log: adds ``trade_id`` (1, 2, ... per key; null while flat) and the next bar's close and time."""
     s = F.coalesce(F.col(side), F.lit(0))
     d = blocked(df, back=1, ahead=1)
     d = d.withColumns(
@@ -24,7 +27,7 @@ def label_episodes(df: DataFrame, side: str = "signal", keys: Sequence[str] = KE
             "next_ts": I.lead("ts", 1, keys),
         }
     ).withColumn("is_start", F.col("_start"))
-    d = prefix(cut(core(d)), {"trade_id": ("sum", F.col("is_start"))}, keys=keys)
+    d = prefix(cut(core(d)), {"trade_id": ("sum", F.col("is_start")), **(carry or {})}, keys=keys)
     return d.withColumn("trade_id", F.when(s != 0, F.col("trade_id"))).drop("is_start")
 
 
@@ -66,9 +69,8 @@ def trade_log(df: DataFrame, side: str = "signal", commission: float = COMMISSIO
 
 def bar_log(df: DataFrame, side: str = "signal", keys: Sequence[str] = KEYS) -> DataFrame:
     """Per bar: direction, episode number and the open profit of the unit position at the close."""
-    d = label_episodes(df, side, keys)
-    first = d.filter(F.col("trade_id").isNotNull()).groupBy(*keys, "trade_id").agg(F.min_by("close", "bar").alias("entry_price"))
-    d = d.join(first, [*keys, "trade_id"], "left")
+    d = label_episodes(df, side, keys, {"entry_price": ("last", F.when(F.col("is_start") == 1, F.col("close")))})
+    d = d.withColumn("entry_price", F.when(F.col("trade_id").isNotNull(), F.col("entry_price")))
     return d.withColumn("open_pnl", F.coalesce((F.col("close") - F.col("entry_price")) * F.col(side), F.lit(0.0)))
 
 
@@ -80,4 +82,4 @@ def streaks(df: DataFrame, flag: Column, keys: Sequence[str] = KEYS, prefix_name
     d = prefix(d, {"run": ("sum", F.col("start"))}, keys=keys).filter("f")
     runs = d.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"))
     out = runs.groupBy(*keys).agg(F.avg("n").alias(f"avg_{prefix_name}"), F.max("n").alias(f"max_{prefix_name}"))
-    return df.select(*keys).distinct().join(out, list(keys), "left").na.fill(0)
+    return join_safe(df.select(*keys).distinct(), out, keys).na.fill(0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import finite
 from tickloom.operators import indicators as I
-from tickloom.operators.blocks import block_window, blocked, core, prefix
+from tickloom.operators.blocks import block_window, blocked, core, join_safe, prefix
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
 from tickloom.session import cut
@@ -158,7 +158,7 @@ def micro_pack(bars: DataFrame, keep_nulls: bool = True) -> DataFrame:
     )
     df = core(df)
     mean_vol = df.groupBy("symbol").agg(F.avg("vol10").alias("_mv"))
-    df = df.join(mean_vol, "symbol").withColumn("volatility_regime", F.col("vol10") / (F.col("_mv") + 1e-9)).drop("vol10", "_mv")
+    df = join_safe(df, mean_vol, ["symbol"]).withColumn("volatility_regime", F.col("vol10") / (F.col("_mv") + 1e-9)).drop("vol10", "_mv")
     return df.withColumns({c: finite(c) for c in MICRO})
 
 
@@ -174,7 +174,7 @@ def light_pack(bars: DataFrame) -> DataFrame:
     )
     df = core(df.withColumn("vol10", F.col("_vol")))
     mean_vol = df.groupBy("symbol").agg(F.avg("vol10").alias("_mv"))
-    df = df.join(mean_vol, "symbol")
+    df = join_safe(df, mean_vol, ["symbol"])
     return df.withColumns(
         {
             "volatility_regime": F.col("vol10") / (F.col("_mv") + 1e-9),
@@ -207,13 +207,13 @@ def winsorise(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
     df = cut(df)
     src = df if fit is None else fit
     med = quantile_columns(exact_quantiles(src, cols, [0.5]), {(c, 0.5): f"_m_{c}" for c in cols})
-    filled = df.join(med, "symbol", "left").withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols})
-    filled_src = filled if fit is None else fit.join(med, "symbol", "left").withColumns(
+    filled = join_safe(df, med, ["symbol"]).withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols})
+    filled_src = filled if fit is None else join_safe(fit, med, ["symbol"]).withColumns(
         {c: F.coalesce(c, f"_m_{c}") for c in cols}
     )
     q = exact_quantiles(filled_src, cols, [lo, hi])
     names = {(c, p): f"_{n}_{c}" for c in cols for p, n in ((lo, "lo"), (hi, "hi"))}
-    out = filled.join(quantile_columns(q, names), "symbol", "left")
+    out = join_safe(filled, quantile_columns(q, names), ["symbol"])
     out = out.withColumns(
         {
             c: F.when(F.col(f"_lo_{c}") < F.col(f"_hi_{c}"), F.least(F.greatest(c, f"_lo_{c}"), F.col(f"_hi_{c}")))
@@ -237,15 +237,17 @@ def stationary(df: DataFrame, cols: Sequence[str], gain: float = 0.8) -> DataFra
     d = d.withColumns({f"_p_{c}": F.lag(c).over(w) for c in cols})
     d = d.withColumns({f"_d_{c}": F.col(c) - F.col(f"_p_{c}") for c in cols})
     d = d.withColumns({f"_e_{c}": F.lag(f"_d_{c}").over(w) for c in cols}).filter("_core")
+    ends = d.groupBy("symbol").agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("min", F.min), ("max", F.max))])
+    d = join_safe(d, ends, ["symbol"])
     flags = []
     for c in cols:
-        varied = F.approx_count_distinct(c, 0.01) > 2
+        varied = F.count_if((F.col(c) != F.col(f"_min_{c}")) & (F.col(c) != F.col(f"_max_{c}"))) > 0
         diff = F.abs(F.corr(f"_d_{c}", f"_e_{c}")) < F.abs(F.corr(c, f"_p_{c}")) * gain
         diff = F.coalesce(varied & diff, F.lit(False))
         low = F.when(diff, F.min(f"_d_{c}")).otherwise(F.min(c))
         flags += [diff.alias(f"_diff_{c}"), F.coalesce(varied & (low > 0), F.lit(False)).alias(f"_log_{c}")]
     out = blocked(df, back=1).withColumns({f"_dd_{c}": F.col(c) - F.lag(c).over(w) for c in cols}).filter("_core")
-    out = out.join(d.groupBy("symbol").agg(*flags), "symbol")
+    out = join_safe(out, d.groupBy("symbol").agg(*flags), ["symbol"])
     out = out.withColumns({c: F.when(F.col(f"_diff_{c}"), F.col(f"_dd_{c}")).otherwise(F.col(c)) for c in cols})
     out = out.withColumns({c: F.when(F.col(f"_log_{c}"), F.log1p(c)).otherwise(F.col(c)) for c in cols})
     return core(out)

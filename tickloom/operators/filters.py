@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalars import clip_side, side_of
 from tickloom.functions.timeparse import clock_text
 from tickloom.operators import indicators as I
-from tickloom.operators.blocks import KEYS, blocked, core
+from tickloom.operators.blocks import KEYS, blocked, core, join_safe
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
 
 
@@ -100,7 +100,7 @@ def mid_volatility(bars: DataFrame, lo: float = 0.3, hi: float = 0.7, volume_fac
     df = df.withColumns({"vol20": I.rolling("_r", 20, "std"), "_vm": I.rolling("volume", 20, "mean")})
     df = core(df.withColumn("volume_ok", F.coalesce(F.col("volume") > F.col("_vm") * volume_factor, F.lit(False))))
     q = quantile_columns(exact_quantiles(df, ["vol20"], [lo, hi]), {("vol20", lo): "_lo", ("vol20", hi): "_hi"})
-    df = df.join(q, "symbol", "left")
+    df = join_safe(df, q, ["symbol"])
     return df.withColumn("volatility_ok", F.coalesce(F.col("vol20").between(F.col("_lo"), F.col("_hi")), F.lit(False))).drop("_lo", "_hi")
 
 

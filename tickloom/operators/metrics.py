@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import finite, safe_divide
 from tickloom.operators import indicators as I
-from tickloom.operators.blocks import KEYS, blocked, core, prefix
+from tickloom.operators.blocks import KEYS, blocked, core, join_safe, prefix
 from tickloom.operators.episodes import streaks
-from tickloom.operators.quantiles import SLICE_ROWS, exact_quantiles, quantile_columns, value_slices
+from tickloom.operators.quantiles import exact_quantiles, quantile_columns, value_slices
 from tickloom.session import cut
 
 EPS = 1e-12
@@ -109,7 +109,7 @@ def distribution(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS)
                                            v(0.75).alias("p75"), v(1.0).alias("max_x"))
     n = df.select(*keys, *cols).groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols]).unpivot(
         list(keys), list(cols), "feature", "n")
-    return n.join(wide, [*keys, "feature"], "left")
+    return join_safe(n, wide, [*keys, "feature"])
 
 
 def moments(x: Column) -> tuple[Column, Column]:
@@ -173,12 +173,11 @@ def extended_pack(led: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     med = quantile_columns(exact_quantiles(nz, ["pnl"], [0.5], keys), {("pnl", 0.5): "median_trade"}, keys)
     out = base
     for part in (hold, wins, losses, med):
-        out = out.join(part, keys, "left")
+        out = join_safe(out, part, keys)
     return out.na.fill(0)
 
 
-def auc(df: DataFrame, score: str = "p", label: str = "label", keys: Sequence[str] = (),
-        rows_per_slice: int = SLICE_ROWS) -> DataFrame:
+def auc(df: DataFrame, score: str = "p", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Exact rank AUC with half credit for ties.
 
     Counts per distinct score (map-side combined), then a two-level running count of
@@ -189,12 +188,12 @@ def auc(df: DataFrame, score: str = "p", label: str = "label", keys: Sequence[st
     pos, neg = F.col(label) > 0.5, F.col(label) <= 0.5
     d = d.groupBy(*keys, F.col(score).alias("_x")).agg(F.count_if(pos).alias("_p"), F.count_if(neg).alias("_q"))
     group = [*keys, "_g"]
-    d = value_slices(d.withColumn("_g", F.lit(0)), group, "_x", rows_per_slice)
+    d = value_slices(d.withColumn("_g", F.lit(0)), group, "_x")
     tot = d.groupBy(*group, "_s").agg(F.sum("_q").alias("_bq"))
     before = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_base", F.coalesce(F.sum("_bq").over(before), F.lit(0))).drop("_bq")
     inner = Window.partitionBy(*group, "_s").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_q").over(inner), F.lit(0))).join(tot, [*group, "_s"])
+    d = join_safe(d.withColumn("_in", F.coalesce(F.sum("_q").over(inner), F.lit(0))), tot, [*group, "_s"])
     below = F.col("_base") + F.col("_in")
     g = d.groupBy(*keys).agg(
         F.sum(F.col("_p") * (below + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg")
@@ -246,12 +245,15 @@ def profit_thresholds(df: DataFrame, p: str = "p", ret: str = "ret", keys: Seque
                     ((F.col("bl.v") + F.col("bs.v")) / F.col("n")).alias("score"))
 
 
-def feature_correlations(df: DataFrame, cols: Sequence[str], p: str = "p", k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
-    """Features by absolute correlation with the prediction, the k largest."""
+def feature_correlations(df: DataFrame, cols: Sequence[str], p: str = "p", k: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Features by absolute correlation with the prediction; ``k`` asks for the k largest only."""
     g = df.groupBy(*keys).agg(*[F.abs(F.corr(c, p)).alias(c) for c in cols])
     long = g.unpivot(list(keys), list(cols), "feature", "abs_corr")
     if not keys:
-        return long.orderBy(F.col("abs_corr").desc_nulls_last(), "feature").limit(k)
+        long = long.orderBy(F.col("abs_corr").desc_nulls_last(), "feature")
+        return long if k is None else long.limit(k)
+    if k is None:
+        return long
     w = Window.partitionBy(*keys).orderBy(F.col("abs_corr").desc_nulls_last(), "feature")
     return long.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import KEYS, block_window, blocked, core
+from tickloom.operators.blocks import KEYS, block_window, blocked, core, join_safe
 
 
 def summary(bars: DataFrame) -> DataFrame:
@@ -50,9 +50,9 @@ def bar_report(bars: DataFrame, rows_in: DataFrame | None = None, seq: str | Non
         *[F.sum(k).alias(k) for k in checks],
     )
     if seq:
-        out = out.join(arrival_disorder(bars, seq), "symbol")
+        out = join_safe(out, arrival_disorder(bars, seq), ["symbol"])
     if rows_in is not None:
-        out = out.join(rows_in, "symbol", "left").withColumn(
+        out = join_safe(out, rows_in, ["symbol"]).withColumn(
             "ratio_suspicious", F.coalesce(F.col("rows_out") / F.col("rows_in") > 10, F.lit(False))
         )
     return out

@@ -1,10 +1,9 @@
 """Exact order statistics of large groups.
 
 ``percentile`` keeps every distinct value of a group in one task's memory, and a
-window over a group sorts it in one task.  Here a mergeable sketch first proposes
-value edges, which cut a group into thousands of slices of similar size; only the
-slices that hold the wanted ranks are sorted.  The sketch steers the work, not the
-result: the order statistics are exact.
+window over a group sorts it in one task.  Here a group is cut into value slices
+by its mean and deviation; only the slices that hold the wanted ranks are sorted.
+The slices steer the work, not the result: the order statistics are exact.
 """
 
 from __future__ import annotations
@@ -14,39 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import KEYS
-from tickloom.session import cut
+from tickloom.operators.blocks import KEYS, join_safe
 
-COARSE = 64
-SLICE_ROWS = 1 << 18
+PER_UNIT = 4096
 
 
-def value_slices(counts: DataFrame, group: Sequence[str], x: str, rows_per_slice: int = SLICE_ROWS,
-                 accuracy: int = 10000) -> DataFrame:
+def value_slices(counts: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     """Add ``_s``, a slice number that grows with ``x``, to rows that are distinct in (group, x).
 
-    ``counts`` is written once and its rows are counted (from the file footers).  A
-    table that fits one slice stays whole; else a group is cut at 64 quantile edges,
-    and a large table at 64 x 64, where a value finds its slice by two short searches.
+    Slices are equal steps of log(1 + distance from the group's mean in deviations), to either side:
+    fine where values are dense, coarse in the tails, some ten thousands at most, and the same for any size.
+    Every operation in it is monotone, so slices never cross.
     """
-    counts = cut(counts)
-    n = counts.count()
-    if n <= rows_per_slice:
-        return counts.withColumn("_s", F.lit(0))
-    slices = COARSE if n <= rows_per_slice * COARSE else COARSE * COARSE
-    grid = F.expr("array(" + ",".join(f"{i / slices}D" for i in range(1, slices)) + ")")
-    edges = counts.groupBy(*group).agg(F.percentile_approx(x, grid, accuracy).alias("_fine"))
-    below = lambda edge_list: F.size(F.filter(edge_list, lambda e: e < F.col(x)))
-    if slices == COARSE:
-        return counts.join(edges, list(group)).withColumn("_s", below("_fine")).drop("_fine")
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.get("_fine", i * COARSE - 1))
-    placed = counts.join(edges.withColumn("_coarse", coarse), list(group)).withColumn("_c", below("_coarse"))
-    inner = F.slice("_fine", F.col("_c") * COARSE + 1, COARSE - 1)
-    return placed.withColumn("_s", F.col("_c") * COARSE + below(inner)).drop("_fine", "_coarse", "_c")
+    fit = F.when(F.abs(x) < 1e300, F.col(x))
+    stats = counts.groupBy(*group).agg(F.avg(fit).alias("_mean"), F.stddev_pop(fit).alias("_dev"))
+    d = F.col(x) - F.col("_mean")
+    step = F.signum(d) * F.log1p(F.abs(d) / F.col("_dev")) * PER_UNIT
+    s = F.when(F.col("_dev") > 0, F.floor(F.least(F.greatest(step, F.lit(-1e15)), F.lit(1e15)))).otherwise(F.signum(d))
+    return join_safe(counts, stats, group).withColumn("_s", F.coalesce(s.cast("long"), F.lit(0))).drop("_mean", "_dev")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = KEYS,
-                    rows_per_slice: int = SLICE_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
     """Linear-interpolated quantiles per key and column, ignoring nulls.
 
     Result in long form: keys, ``feature``, ``q`` (the probability), ``value``.
@@ -60,9 +47,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         .groupBy(*group, "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = value_slices(long, group, "x", rows_per_slice)
+    placed = value_slices(long, group, "x")
     counts = placed.groupBy(*group, "_s").agg(F.sum("n").alias("m"))
-    by_group = Window.partitionBy(*group)  # over the slices of a group, at most a few thousand
+    by_group = Window.partitionBy(*group)  # over the slices of a group, some ten thousands at most
     before = by_group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumns({"start": F.coalesce(F.sum("m").over(before), F.lit(0)), "total": F.sum("m").over(by_group)})
     want = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q")
@@ -71,7 +58,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     want = want.withColumn("pos", pos).withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
     inside = lambda r: (F.col(r) >= F.col("start")) & (F.col(r) < F.col("start") + F.col("m"))
     want = want.filter(inside("lo") | inside("hi")).select(*group, "_s", "start", "q", "pos", "lo", "hi")
-    hit = placed.select(*group, "_s", "x", "n").join(want, [*group, "_s"])
+    hit = join_safe(placed.select(*group, "_s", "x", "n"), want, [*group, "_s"], "inner")
     run = Window.partitionBy(*group, "_s", "q").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("end", F.col("start") + F.sum("n").over(run)).withColumn("beg", F.col("end") - F.col("n"))
     at = lambda r: F.max(F.when((F.col(r) >= F.col("beg")) & (F.col(r) < F.col("end")), F.col("x")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import clip, cut_bins
 from tickloom.operators import indicators as I
-from tickloom.operators.blocks import KEYS, blocked, core
+from tickloom.operators.blocks import KEYS, blocked, core, join_safe
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
 
@@ -80,7 +80,7 @@ def dynamic_regime(bars: DataFrame, mode: str = "full", window: int = 500, smoot
         stats = df.filter("_core")
         q = exact_quantiles(stats, ["_ts", "_vl", "_rg"], [0.7, 0.8])
         names = {("_ts", 0.7): "_qt", ("_vl", 0.8): "_qv", ("_rg", 0.7): "_qr"}
-        df = df.join(quantile_columns(q, names), "symbol", "left")
+        df = join_safe(df, quantile_columns(q, names), ["symbol"])
     strong = F.coalesce(F.col("_ts") > F.col("_qt"), F.lit(False))
     volatile = F.coalesce(F.col("_vl") > F.col("_qv"), F.lit(False))
     busy = F.coalesce(F.col("_vz") > 1.0, F.lit(False))
@@ -109,7 +109,7 @@ def atr_regime(bars: DataFrame, n: int = 14, edges: Sequence[float] = (0.005, 0.
     """Volatility class 0/1/2 from ATR over close, and a confidence around the symbol's mean."""
     df = core(I.add_atr(blocked(bars, back=n + 1), n, "half", "atr").withColumn("atr_pct", F.col("atr") / F.col("close")))
     stats = df.groupBy("symbol").agg(F.avg("atr_pct").alias("_m"), F.stddev_pop("atr_pct").alias("_sd"))
-    df = df.join(stats, "symbol")
+    df = join_safe(df, stats, ["symbol"])
     conf = 1.0 - clip(F.try_divide(F.abs(F.col("atr_pct") - F.col("_m")), F.col("_sd")), 0.0, 1.0)
     return df.withColumns({"regime": cut_bins("atr_pct", [0.0, *edges, 1.0], [0, 1, 2], 1), "conf": conf}).drop("_m", "_sd")
 

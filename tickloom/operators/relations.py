@@ -58,9 +58,13 @@ def without_data(df: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def pivot_symbols(df: DataFrame, symbols: Sequence[str], value: str = "side") -> DataFrame:
-    """Time x symbol matrix with 0 for missing cells; the symbol list is given, so no extra pass."""
+    """Time x symbol matrix with 0 for missing cells; the symbol list is given, so no extra pass.
+
+    ``n_other`` counts the rows of a time whose symbol is not in the list (a null one included), so none goes unseen.
+    """
+    other = F.count_if(~F.coalesce(F.col("symbol").isin(list(symbols)), F.lit(False))).alias("n_other")
     cells = [F.max(F.when(F.col("symbol") == s, F.col(value))).alias(s) for s in symbols]
-    return df.groupBy("ts").agg(*cells).na.fill(0, list(symbols))
+    return df.groupBy("ts").agg(*cells, other).na.fill(0, list(symbols))
 
 
 def average_per_time(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import KEYS
+from tickloom.operators.blocks import KEYS, join_safe
 
 
 def month_folds(df: DataFrame, n_folds: int = 6, purge: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -24,7 +24,7 @@ def month_folds(df: DataFrame, n_folds: int = 6, purge: int = 0, keys: Sequence[
     calendar = calendar.withColumn("_rank", F.row_number().over(every.orderBy("_month")) - 1).withColumn(
         "_folds", F.least(F.lit(n_folds), F.greatest(F.count(F.lit(1)).over(every) - 1, F.lit(1))).cast("int")
     )
-    d = d.join(calendar, "_month")
+    d = join_safe(d, calendar, ["_month"])
     train = F.when(
         F.col("_rank") <= F.col("_folds") - 1,
         F.transform(F.sequence(F.col("_rank"), F.col("_folds") - 1), lambda i: F.struct(i.cast("int").alias("fold"), F.lit("train").alias("role"))),
@@ -53,7 +53,7 @@ def rolling_folds(df: DataFrame, train: int, test: int, step: int, purge: int =
         return F.when((pos >= 0) & (lo <= hi), rows).otherwise(none)
 
     size = df.groupBy(*keys).agg(F.max("bar").alias("_n"))
-    out = df.join(size, list(keys)).withColumn("_f", F.explode(F.concat(members(b, train, "train"), members(b - train, test, "test"))))
+    out = join_safe(df, size, keys).withColumn("_f", F.explode(F.concat(members(b, train, "train"), members(b - train, test, "test"))))
     out = out.filter(F.col("_f.fold") * step + train <= F.col("_n"))
     out = out.select(*df.columns, F.col("_f.fold").alias("fold"), F.col("_f.role").alias("role"))
     return _purge(out, purge, keys)
@@ -62,7 +62,7 @@ def rolling_folds(df: DataFrame, train: int, test: int, step: int, purge: int =
 def split_folds(df: DataFrame, n_splits: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
     """Successive splits: the last ``n_splits`` equal blocks are tests, everything before trains."""
     size = df.groupBy(*keys).agg((F.max("bar") + 1).alias("_n"))
-    d = df.join(size, list(keys)).withColumn("_w", F.floor(F.col("_n") / (n_splits + 1)))
+    d = join_safe(df, size, keys).withColumn("_w", F.floor(F.col("_n") / (n_splits + 1)))
     rows = F.array(*[
         F.struct(F.lit(i).alias("fold"), (F.col("_n") - (n_splits - i) * F.col("_w")).alias("s")) for i in range(n_splits)
     ])
@@ -76,6 +76,6 @@ def _purge(df: DataFrame, purge: int, keys: Sequence[str]) -> DataFrame:
     if purge <= 0:
         return df
     start = df.filter("role = 'test'").groupBy(*keys, "fold").agg(F.min("bar").alias("_t"))
-    out = df.join(start, [*keys, "fold"], "left")
+    out = join_safe(df, start, [*keys, "fold"])
     keep = (F.col("role") == "test") | F.col("_t").isNull() | (F.col("bar") + purge < F.col("_t"))
     return out.filter(keep).select(*df.columns)

@@ -10,9 +10,6 @@ from tickloom.operators.blocks import index_bars
 from tickloom.operators.resample import resample
 from tickloom.session import cut
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import feature_set_score
 from tickloom.operators import indicators as I
-from tickloom.operators.blocks import blocked, core
+from tickloom.operators.blocks import blocked, core, join_safe
 from tickloom.operators.features import FEATURE_SETS, feature_set
 from tickloom.operators.ledger import ledger
 from tickloom.operators.metrics import auc, class_weights, core_pack
@@ -36,7 +37,7 @@ def classifier(kind: str, seed: int = 42, weight: str | None = None, **params):
 
 
 def pipeline(features: Sequence[str], kind: str, weight: str | None = None, seed: int = 42, **params) -> Pipeline:
-    """Assemble, scale (centred, unit deviation), classify."""
+    """Assemble, scale (centred, unit deviation), classify; training leaves out rows with a null feature."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
@@ -45,9 +46,8 @@ def pipeline(features: Sequence[str], kind: str, weight: str | None = None, seed
 
 
 def add_class_weights(df: DataFrame) -> DataFrame:
-    """Balanced ``weight`` per row; the table of weights has one row per class."""
-    w = class_weights(df).select("label", "weight")
-    return df.join(w, "label")
+    """Balanced ``weight`` per row; the table of weights has one row per class (a null label is a class)."""
+    return join_safe(df, class_weights(df).select("label", "weight"), ["label"])
 
 
 @dataclass
@@ -75,15 +75,27 @@ def fit_blend(train: DataFrame, features: Sequence[str], seed: int = 42, balance
     return Blend(pipeline(features, "logistic", w, seed).fit(d), pipeline(features, "forest", w, seed, **forest).fit(d), list(features))
 
 
+def transform_all(model: PipelineModel, df: DataFrame) -> tuple[DataFrame, Column]:
+    """Scored rows, none left out, and whether a row has all features (without, its scores mean nothing)."""
+    assembler = model.stages[0]
+    stages = [assembler.copy({assembler.handleInvalid: "keep"}), *model.stages[1:]]
+    for s in stages:
+        df = s.transform(df)
+    names = assembler.getInputCols()
+    return df, reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in names])
+
+
 def probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
-    """Probability of class 1; scoring columns are removed again."""
-    s = model.transform(df).withColumn(out, vector_to_array("probability")[1])
+    """Probability of class 1, null for rows with a null feature; scoring columns are removed again."""
+    s, whole = transform_all(model, df)
+    s = s.withColumn(out, F.when(whole, vector_to_array("probability")[1]))
     return s.drop("features", "scaled", "rawPrediction", "probability", "prediction")
 
 
 def class_and_confidence(model: PipelineModel, df: DataFrame, cls: str = "regime", conf: str = "conf") -> DataFrame:
-    """Most probable class and its probability."""
-    s = model.transform(df).withColumn("_pr", vector_to_array("probability"))
+    """Most probable class and its probability; null for rows with a null feature."""
+    s, whole = transform_all(model, df)
+    s = s.withColumn("_pr", F.when(whole, vector_to_array("probability")))
     top = F.array_max("_pr")
     return s.withColumns({cls: (F.array_position("_pr", top) - 1).cast("int"), conf: top}).drop(
         "features", "scaled", "rawPrediction", "probability", "prediction", "_pr"
@@ -166,51 +178,65 @@ def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS)
                       notional: float = 10_000.0) -> DataFrame:
     """Fit one model per named feature set and trade the last part of each symbol.
 
+    ``missing`` names the features of a set that ``data`` has not.
+
     ``data``: symbol, ts, bar, close, label, role and the features.
     """
     d = cut(data)
     out = None
     for name in sets:
-        cols, _ = feature_set(name, d.columns)
+        cols, missing = feature_set(name, d.columns)
         model = pipeline(cols, "logistic").fit(d.filter("role = 'train'").select(*cols, "label"))
         test = probability(model, d.filter("role = 'test'"), "p")
         q = F.col("p")
         test = test.select("symbol", "bar", "close", F.when(q >= th_long, 1).when(q <= th_short, -1).otherwise(0).alias("side"), F.lit(notional).alias("size"))
-        m = core_pack(ledger(test)).withColumns({"feature_set": F.lit(name), "n_features": F.lit(len(cols))})
+        m = core_pack(ledger(test)).withColumns({"feature_set": F.lit(name), "n_features": F.lit(len(cols)), "missing": F.lit(",".join(missing))})
         out = m if out is None else out.unionByName(m)
     return out.withColumn("score", feature_set_score())
 
 
-def permute(df: DataFrame, col: str, seed: int, key: Sequence[str] = ("symbol", "bar"), groups: int = 1) -> DataFrame:
-    """Permute one column among random groups of rows.
+def shuffled_position(df: DataFrame, seed: int, key: Sequence[str] = ("symbol", "bar"), out: str = "_at") -> DataFrame:
+    """Number the rows 0, 1, ... in the order of ``md5(seed|key...)``, ties by key.
+
+    The leading 16 bits of the hash cut the rows into 65,536 even slices; slice counts
+    become offsets and rows are numbered inside their slice, so no task orders the table.
+    """
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
+    d = df.withColumn("_h", h).withColumn("_hs", F.left("_h", F.lit(4)))
+    before = Window.partitionBy(F.lit(1)).orderBy("_hs").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 slices at most
+    starts = d.groupBy("_hs").agg(F.count(F.lit(1)).alias("_n")).select("_hs", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy("_hs").orderBy("_h", *key))
+    return d.withColumn("_rn", local).join(starts, "_hs").withColumn(out, F.col("_start") + F.col("_rn") - 1).drop("_h", "_hs", "_rn", "_start")
+
+
+def permute(df: DataFrame, col: str, seed: int, key: Sequence[str] = ("symbol", "bar")) -> DataFrame:
+    """Permute one column over all rows: in a random order each row takes the value of the row before it, the first the last's.
+
+    One permutation of the whole table, the same for any partitioning and any size.
+    """
+    d = shuffled_position(df, seed, key)
+    taken = d.select(((F.col("_at") + 1) % d.agg(F.count(F.lit(1))).scalar()).alias("_at"), F.col(col).alias("_taken"))
+    return d.join(taken, "_at").withColumn(col, F.col("_taken")).select(*df.columns)
+
+
+def permutation_importance(model: PipelineModel | None, df: DataFrame, features: Sequence[str], n: int = 5, seed: int = 42,
+                           top: int | None = None, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Loss of AUC when a feature is permuted (mean of n permutations), largest first; ``top`` keeps only so many.
 
-    Rows fall into groups by a hash; inside a group, in another random order, each row
-    takes the value of the row before it (the first takes the last).  One shuffle,
-    no table-wide numbering; choose ``groups`` so that a group fits a task.
+    ``score`` adds ``p`` to a frame (default: the model's probability).  The permuted frames are scored
+    into one table with their feature and round, so the AUCs are one query.
     """
-    g = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(groups))
-    w = Window.partitionBy("_g")
-    order = w.orderBy(F.xxhash64(*key, F.lit(seed + 1)), *key)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = df.withColumn("_g", g)
-    moved = F.when(F.row_number().over(order) == 1, F.last(col).over(whole)).otherwise(F.lag(col).over(order))
-    return d.withColumn(col, moved).drop("_g")
-
-
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], n: int = 5, seed: int = 42,
-                           top: int = 30) -> DataFrame:
-    """Loss of AUC when a feature is permuted (mean of n permutations), largest first."""
     d = cut(df)
-    groups = max(1, d.count() // 65536)  # rows come from the file footers
-    base = auc(probability(model, d, "p").select("p", "label")).select(F.col("auc").alias("_base"), F.lit(1).alias("_one"))
-    rows = None
+    score = score or (lambda x: probability(model, x, "p"))
+    runs = score(d).select(F.lit("").alias("feature"), F.lit(0).alias("round"), "p", "label")
     for c in features:
         for i in range(n):
-            a = auc(probability(model, permute(d, c, seed + 101 * i, groups=groups), "p").select("p", "label"))
-            a = a.select(F.lit(c).alias("feature"), "auc", F.lit(1).alias("_one"))
-            rows = a if rows is None else rows.unionByName(a)
-    g = rows.groupBy("feature", "_one").agg(F.avg("auc").alias("_m")).join(base, "_one")
-    return g.select("feature", (F.col("_base") - F.col("_m")).alias("auc_loss")).orderBy(F.col("auc_loss").desc(), "feature").limit(top)
+            runs = runs.unionByName(score(permute(d, c, seed + 101 * i)).select(F.lit(c).alias("feature"), F.lit(i).alias("round"), "p", "label"))
+    per_run = auc(runs, keys=["feature", "round"])
+    base = per_run.filter("feature = ''").select(F.col("auc").alias("_base"))
+    g = per_run.filter("feature <> ''").groupBy("feature").agg(F.avg("auc").alias("_m"))
+    out = g.select("feature", (base.scalar() - F.col("_m")).alias("auc_loss")).orderBy(F.col("auc_loss").desc(), "feature")
+    return out if top is None else out.limit(top)
 
 
 def tree_importances(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tickloom.operators import labels as lb
 from tickloom.operators import quality
 from tickloom.operators import relations as rel
 from tickloom.operators.resample import resample
-from tickloom.plans.inputs import EVENT_TYPES, bars, event_signals, price_probability, table, ticks, trades
+from tickloom.plans.inputs import bars, event_signals, price_probability, table, ticks, trades
 from tickloom.plans.queries.sqlbase import bars_cte, r
 from tickloom.session import shared_dir
 from tickloom.sources import files, sinks
@@ -71,7 +71,7 @@ def j4(s, sf):
 Q["j4_align_labels"] = j4
 S["j4_align_labels"] = f"WITH {B}, y AS (SELECT *, sign(lead(close, 3) OVER (PARTITION BY symbol ORDER BY bar) - close)::INT AS y_dir FROM b) SELECT symbol, ts, {r('close', 'close')}, y_dir FROM y WHERE y_dir IS NOT NULL"
 
-Q["j5_union_axis"] = lambda s, sf: asof.union_axis(bars(s, sf, "1h").select("symbol", "ts", "close"), EVENT_TYPES, ["close"], 86400).drop("match_ts")
+Q["j5_union_axis"] = lambda s, sf: asof.union_axis(bars(s, sf, "1h").select("symbol", "ts", "close"), ["close"], width_s=86400).drop("match_ts")
 S["j5_union_axis"] = f"""WITH {bars_cte('1 hour')}, a AS (SELECT t.ts, s.symbol FROM (SELECT DISTINCT ts FROM b) t, (SELECT DISTINCT symbol FROM b) s)
 SELECT a.symbol, a.ts, {r('b.close', 'close')} FROM a ASOF LEFT JOIN b ON a.symbol = b.symbol AND a.ts >= b.ts"""
 
@@ -101,8 +101,9 @@ S["j8_without_data"] = "SELECT p_partkey::VARCHAR AS symbol FROM part WHERE p_pa
 Q["a19_average_per_time"] = lambda s, sf: rel.average_per_time(bars(s, sf), ["close", "volume"])
 S["a19_average_per_time"] = f"WITH {B} SELECT ts, {r('avg(close)', 'close')}, {r('avg(volume)', 'volume')}, count(*) AS n_symbols FROM b GROUP BY ts"
 
-Q["a20_pivot_symbols"] = lambda s, sf: rel.pivot_symbols(bars(s, sf).withColumn("side", F.signum(F.col("close") - F.col("open")).cast("int")), EVENT_TYPES)
-S["a20_pivot_symbols"] = f"WITH {B} SELECT ts, {', '.join(f'''coalesce(max(CASE WHEN symbol = '{e}' THEN sign(close - open)::INT END), 0) AS {e}''' for e in EVENT_TYPES)} FROM b GROUP BY ts"
+PIVOTED = ["click", "error", "purchase", "view"]  # the other symbols are counted
+Q["a20_pivot_symbols"] = lambda s, sf: rel.pivot_symbols(bars(s, sf).withColumn("side", F.signum(F.col("close") - F.col("open")).cast("int")), PIVOTED)
+S["a20_pivot_symbols"] = f"WITH {B} SELECT ts, {', '.join(f'''coalesce(max(CASE WHEN symbol = '{e}' THEN sign(close - open)::INT END), 0) AS {e}''' for e in PIVOTED)}, count_if(symbol NOT IN ({', '.join(repr(e) for e in PIVOTED)})) AS n_other FROM b GROUP BY ts"
 
 # prediction reports
 PB = "pb AS (SELECT *, close / (close + open) AS p FROM b)"

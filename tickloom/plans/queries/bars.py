@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import quality, relations
+from tickloom.operators.blocks import index_bars, prefix
 from tickloom.operators.resample import dense_grid, resample, resample_cascade, resample_right
-from tickloom.plans.inputs import bars, daily, event_signals, orders_daily, ticks
+from tickloom.plans.inputs import bars, daily, event_signals, orders_daily, table, ticks
 from tickloom.plans.queries.sqlbase import DAILY, bars_cte, r
 
 OHLC = "symbol, ts, " + ", ".join(r(c, c) for c in ("open", "high", "low", "close", "volume"))
@@ -161,6 +162,15 @@ def u3_all(spark, sf):
 T1H = "SELECT DISTINCT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts FROM events"
 T30 = "SELECT DISTINCT event_type AS symbol, time_bucket(INTERVAL '30 minutes', ts) AS ts FROM events"
 
+
+def null_rows(s, sf):
+    """Positions and running sums where symbols and times are missing: no row may vanish."""
+    e = table(s, sf, "events")
+    t = e.select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("symbol"),
+                 F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"))
+    return prefix(index_bars(t, order=["ts", "seq"]), {"odd": ("sum", F.col("seq") % 2)}).select("symbol", "seq", "bar", "odd")
+
+
 QUERIES = {
     "a1_resample_10min": a1_resample("10min"),
     "a1_resample_30min": a1_resample("30min"),
@@ -204,3 +214,8 @@ SQL = {
     "u3_common_times": f"{T1H} INTERSECT {T30}",
     "u3_all_times": f"{T1H} UNION {T30}",
 }
+
+QUERIES["p19_null_rows"] = null_rows
+SQL["p19_null_rows"] = """WITH t AS (SELECT nullif(event_type, 'view') AS symbol, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts, event_id AS seq FROM events)
+SELECT symbol, seq, row_number() OVER w - 1 AS bar, sum(seq % 2) OVER w AS odd FROM t WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)
+UNION ALL SELECT symbol, seq, NULL, seq % 2 FROM t WHERE ts IS NULL"""

@@ -15,7 +15,7 @@ from tickloom.plans.queries.signals import TREND, TREND_SQL
 from tickloom.session import cut, shared_dir
 from tickloom.streaming import bars as sb
 from tickloom.streaming.stateful import stateful_signals
-from tickloom.streaming.upsert import refresh_batch, run_upsert
+from tickloom.streaming.upsert import newest_model, refresh_batch, run_upsert
 
 B = bars_cte()
 Q, S = {}, {}
@@ -33,6 +33,17 @@ def tick_stream(s, sf):
                     F.lit(1.0).alias("volume"), F.col("event_id").alias("seq"))
 
 
+def tick_batch(s, sf):
+    e = table(s, sf, "events")
+    return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
+                    F.lit(1.0).alias("volume"), F.col("event_id").alias("seq"))
+
+
+def closed(s, sf, build, name):
+    """The bars that the stream emitted, and a closing pass for the windows still open at its end."""
+    return sb.with_open_bars(finish(s, build(tick_stream(s, sf)), name), tick_batch(s, sf), build)
+
+
 def finish(s, stream, name):
     return sb.run_available(stream, place(s, name), place(s, name + "-cp"))
 
@@ -50,20 +61,20 @@ Q["r2_drop_repeats"] = r2
 S["r2_drop_repeats"] = S["r1_file_stream"]
 
 OHLC = ", ".join(r(c, c) for c in ("open", "high", "low", "close", "volume"))
-Q["r3_stream_bars"] = lambda s, sf: finish(s, sb.stream_bars(tick_stream(s, sf)), "r3")
-S["r3_stream_bars"] = f"WITH {B} SELECT symbol, ts, {OHLC} FROM b WHERE ts + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"
+Q["r3_stream_bars"] = lambda s, sf: closed(s, sf, sb.stream_bars, "r3")
+S["r3_stream_bars"] = f"WITH {B} SELECT symbol, ts, {OHLC} FROM b"
 
-Q["r4_sliding_bars"] = lambda s, sf: finish(s, sb.stream_bars(tick_stream(s, sf), "2 hours", "1 hour"), "r4")
+Q["r4_sliding_bars"] = lambda s, sf: closed(s, sf, lambda t: sb.stream_bars(t, "2 hours", "1 hour"), "r4")
 S["r4_sliding_bars"] = f"""WITH x AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS w, value, ts AS t, event_id FROM events, (VALUES (0), (1)) v(k)),
 b AS (SELECT symbol, w AS ts, arg_min(value, (t, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (t, event_id)) AS close, count(*)::DOUBLE AS volume FROM x GROUP BY 1, 2)
-SELECT symbol, ts, {OHLC} FROM b WHERE ts + INTERVAL '2 hours' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"""
+SELECT symbol, ts, {OHLC} FROM b"""
 
-Q["r4_session_bars"] = lambda s, sf: finish(s, sb.session_bars(tick_stream(s, sf), "45 minutes"), "r4s")
+Q["r4_session_bars"] = lambda s, sf: closed(s, sf, lambda t: sb.session_bars(t, "45 minutes"), "r4s")
 S["r4_session_bars"] = f"""WITH x AS (SELECT event_type AS symbol, ts, value, event_id, (ts > lag(ts) OVER w + INTERVAL '45 minutes')::INT AS brk FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 y AS (SELECT *, sum(coalesce(brk, 0)) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS k FROM x),
 b AS (SELECT symbol, min(ts) AS ts0, max(ts) + INTERVAL '45 minutes' AS end_ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
  count(*)::DOUBLE AS volume, count(*) AS n_ticks FROM y GROUP BY symbol, k)
-SELECT symbol, ts0 AS ts, end_ts, {OHLC}, n_ticks FROM b WHERE end_ts <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'"""
+SELECT symbol, ts0 AS ts, end_ts, {OHLC}, n_ticks FROM b"""
 
 
 def r5(s, sf):
@@ -101,14 +112,12 @@ def r8(s, sf):
     d = cut(lb.add_labels(X.basic_pack(bars(s, sf)), 3).withColumn("label", F.col("y_up").cast("double")).filter("label is not null")
             .select("symbol", "ts", *feats, "label"))
     land, tab, models = place(s, "r8-land"), place(s, "r8-rows"), place(s, "r8-models")
-    d.repartition(2).write.parquet(land)
+    d.write.parquet(land)
     stream = lambda: sb.file_stream(s, land, d.schema, files_per_batch=1)
     fit = lambda rows: ml.pipeline(feats, "logistic").fit(rows.select(*feats, "label"))
-    q = stream().writeStream.foreachBatch(refresh_batch(tab, models, fit, every=2)).option("checkpointLocation", place(s, "r8-cp"))
+    q = stream().writeStream.foreachBatch(refresh_batch(tab, models, fit)).option("checkpointLocation", place(s, "r8-cp"))
     q.trigger(availableNow=True).start().awaitTermination()
-    from pyspark.ml import PipelineModel
-
-    model = PipelineModel.load(f"{models}/00000001")
+    model = newest_model(s, models)
     return finish(s, ml.probability(model, stream(), "p").select("symbol", "ts", "p"), "r8")
 
 

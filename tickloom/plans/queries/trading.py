@@ -187,7 +187,7 @@ S["t4_report_order"] = f"""WITH {LED}, {EQ} SELECT symbol, {r('avg(ret) / stddev
 
 def entries(s, sf, source=bars):
     d = I.add_atr(blocked(source(s, sf), back=1 + 14), 14, "mean1", "atr")
-    return core(d).withColumn("side", F.when(F.col("bar") % 3 == 0, F.when(F.col("close") > 250, -1).otherwise(1)).otherwise(0))
+    return core(d).withColumn("side", F.when(F.col("close") > 250, -1).otherwise(1))
 
 
 def barrier_sql(stop, take, trail, hold, unit, intrabar, atr_at="entry", digits=6):
@@ -205,7 +205,7 @@ def barrier_sql(stop, take, trail, hold, unit, intrabar, atr_at="entry", digits=
     cases.append(f"WHEN f.bar >= n.bar + {hold} THEN 'time'")
     return f"""WITH {B}, t AS (SELECT *, greatest(high - low, abs(high - p), abs(low - p)) AS tr FROM (SELECT *, {lag('close')} AS p FROM b)),
 a AS (SELECT *, {frame(14, 'avg(tr)', 1)} AS atr FROM t),
-n AS (SELECT symbol, bar, ts AS ets, close AS e, CASE WHEN close > 250 THEN -1 ELSE 1 END AS d, atr AS ea FROM a WHERE bar % 3 = 0),
+n AS (SELECT symbol, bar, ts AS ets, close AS e, CASE WHEN close > 250 THEN -1 ELSE 1 END AS d, atr AS ea FROM a),
 j AS (SELECT n.*, f.bar AS fb, f.ts AS fts, f.close AS c, {u} AS u, CASE {' '.join(cases)} END AS hit FROM n LEFT JOIN a f ON n.symbol = f.symbol AND f.bar > n.bar AND f.bar <= n.bar + {hold}),
 h AS (SELECT symbol, bar, any_value(ets) AS ets, any_value(e) AS e, any_value(d) AS d, coalesce(min(CASE WHEN hit IS NOT NULL THEN fb END), max(fb)) AS xb FROM j GROUP BY 1, 2),
 x AS (SELECT h.*, j.fts, j.c, j.u, coalesce(j.hit, 'open') AS outcome FROM h LEFT JOIN j ON h.symbol = j.symbol AND h.bar = j.bar AND h.xb = j.fb),
@@ -232,7 +232,7 @@ def j7(s, sf):
 
 Q["j7_range_join"] = j7
 S["j7_range_join"] = f"""WITH {B} SELECT e.symbol, e.bar AS e_bar, {r('e.close', 'e_close')}, count(f.bar) AS n, {r('max(f.high)', 'hi')} FROM b e LEFT JOIN b f
- ON e.symbol = f.symbol AND f.bar > e.bar AND f.bar <= e.bar + 5 WHERE e.bar % 3 = 0 GROUP BY e.symbol, e.bar, e.close"""
+ ON e.symbol = f.symbol AND f.bar > e.bar AND f.bar <= e.bar + 5 GROUP BY e.symbol, e.bar, e.close"""
 
 Q["d15_labels"] = lambda s, sf: lb.add_labels(bars(s, sf), 6, 0.3, 1.0).select("symbol", "bar", "fwd_ret", "y_up", "y_move", "y_adaptive")
 LAB = f"""f0 AS (SELECT *, lead(close, 6) OVER w / close - 1 AS fr, close / lag(close) OVER w - 1 AS rr FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar)),

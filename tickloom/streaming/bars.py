@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.schema import BAR_SCHEMA
+from tickloom.session import cut
 
 TICK_SCHEMA = T.StructType(
     [
@@ -60,6 +63,15 @@ def session_bars(ticks: DataFrame, gap: str = "30 minutes", delay: str = "10 min
     return g.select("symbol", F.col("w.start").alias("ts"), F.col("w.end").alias("end_ts"), "open", "high", "low", "close", "volume", "n_ticks")
 
 
+def with_open_bars(emitted: DataFrame, ticks: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Closing pass: the emitted bars and, from a batch frame of all ticks, the bars no watermark has passed yet.
+
+    ``build`` is the function that made the streaming bars (on a batch frame it gives every bar).
+    """
+    rest = cut(build(ticks))  # written whole: a join on it must not prune a session's aggregates away
+    return emitted.unionByName(rest.join(emitted.select("symbol", "ts"), ["symbol", "ts"], "left_anti"))
+
+
 def with_static(stream: DataFrame, static: DataFrame, keys: list[str], defaults: dict | None = None) -> DataFrame:
     """Left join of a stream with a parameter or risk table that has one row per key."""
     out = stream.join(static, keys, "left")

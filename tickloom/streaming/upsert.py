@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.relations import dedup
@@ -57,7 +58,7 @@ def refresh_batch(table: str, models: str, fit: Callable[[DataFrame], object], e
     """A foreachBatch function: append labelled rows, refit and save a model every n batches.
 
     Each batch goes to its own folder, so a repeated batch replaces itself.
-    Readers take the model folder with the highest number.
+    A saved model's number is listed in ``finished``; readers take the highest (``newest_model``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -65,5 +66,13 @@ def refresh_batch(table: str, models: str, fit: Callable[[DataFrame], object], e
         if (batch_id + 1) % every == 0:
             rows = batch.sparkSession.read.parquet(table).filter(F.col("batch") <= batch_id)
             fit(rows).write().overwrite().save(f"{models}/{batch_id:08d}")
+            done = batch.sparkSession.range(batch_id, batch_id + 1).withColumnRenamed("id", "number")
+            done.write.mode("overwrite").parquet(f"{models}/finished/batch={batch_id}")
 
     return write
+
+
+def newest_model(spark: SparkSession, models: str) -> PipelineModel:
+    """The finished model with the highest number; ``refresh_batch`` lists a model only after it was saved whole."""
+    numbers = spark.read.parquet(f"{models}/finished").agg(F.max("number")).first()
+    return PipelineModel.load(f"{models}/{numbers[0]:08d}")
