@@ -75,6 +75,23 @@ def equity_metrics_variant(df: DataFrame, variant: str, equity: str = "equity",
     raise ValueError(f"unknown variant {variant!r}")
 
 
+def rule_metrics(path: DataFrame, trades: DataFrame, pnl: str = "pnl_abs", periods: float = 252.0, equity: str = "equity",
+                 keys: Sequence[str] = KEYS) -> DataFrame:
+    """Equity and trade metrics of a rule in one row per key: per-bar volatility and Sharpe times the root of ``periods``,
+    Calmar 0 without a drawdown, population deviation of the trade profits, zeros without trades.  ``path`` is a ledger."""
+    d = _path(path.filter(F.col(equity).isNotNull()), equity, keys, True)
+    a, z, dd, sd = F.min_by(equity, "bar"), F.max_by(equity, "bar"), F.min("drawdown"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0))
+    tr = F.when(a > 0, z / a - 1.0).otherwise(0.0)
+    root = math.sqrt(periods)
+    e = d.groupBy(*keys).agg(
+        tr.alias("total_return"), F.least(dd, F.lit(0.0)).alias("max_drawdown"), F.when(dd < -EPS, tr / F.abs(dd)).otherwise(0.0).alias("calmar"),
+        (sd * root).alias("volatility_ann"), F.when(sd > 0, F.avg("ret") / sd * root).otherwise(0.0).alias("sharpe_ann"))
+    t = pnl_metrics(trades, pnl, keys, ddof=0).select(
+        *keys, F.col("trades").alias("trade_count"), "win_rate", F.col("pnl_mean").alias("avg_trade"), "pnl_sum", "pnl_mean", "pnl_std")
+    numbers = [c for c in t.columns if c not in keys]
+    return join_safe(e, t, keys).na.fill(0, numbers)
+
+
 def pnl_metrics(df: DataFrame, pnl: str = "pnl", keys: Sequence[str] = KEYS, ddof: int = 1) -> DataFrame:
     """Sum, mean, deviation, trades, wins, losses, ties and win rate of trade profits."""
     x = finite(pnl)

@@ -127,25 +127,28 @@ def score_blend(model: Blend | None, df: DataFrame, out: str = "p") -> DataFrame
     return d.withColumn(out, mix())
 
 
+def fold_quality(scored: DataFrame) -> DataFrame:
+    """Rows, AUC and pseudo-return per ``fold`` of scored rows (fold, p, label), in one pass over all folds."""
+    gain = F.greatest(F.col("p") - 0.5, F.lit(0.0)) * F.when(F.col("label") > 0.5, 1.0).otherwise(-1.0)
+    ret = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.sum(gain).alias("pseudo_return"))
+    return join_safe(ret, auc(scored, keys=["fold"]), ["fold"]).select("fold", "rows", "n_pos", "auc", "pseudo_return")
+
+
 def walk_forward(data: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
     """Fit and score every fold: rows, AUC and pseudo-return of the test part.
 
     ``data`` carries ``fold`` and ``role``; it is written once because every fold
-    reads it.  The loop runs over folds, each fit is distributed.
+    reads it.  Only the fits run one after another (each is distributed); the scored
+    folds are one table and are judged together.
     """
     d = cut(data)
-    folds = [r[0] for r in d.select("fold").distinct().orderBy("fold").collect()]
-    out = None
-    for k in folds:
+    scored = None
+    for k in sorted(r[0] for r in d.select("fold").distinct().collect()):
         part = d.filter(F.col("fold") == k)
         model = fit_blend(part.filter("role = 'train'"), features, seed)
-        p = cut(score_test(model, part.filter("role = 'test'")).select("p", "label"))
-        a = auc(p).withColumn("fold", F.lit(k))
-        gain = F.greatest(F.col("p") - 0.5, F.lit(0.0)) * F.when(F.col("label") > 0.5, 1.0).otherwise(-1.0)
-        ret = p.agg(F.count(F.lit(1)).alias("rows"), F.sum(gain).alias("pseudo_return")).withColumn("fold", F.lit(k))
-        row = a.join(ret, "fold").select("fold", "rows", "n_pos", "auc", "pseudo_return")
-        out = row if out is None else out.unionByName(row)
-    return out
+        p = score_test(model, part.filter("role = 'test'")).select(F.lit(k).alias("fold"), "p", "label")
+        scored = p if scored is None else scored.unionByName(p)
+    return fold_quality(scored)
 
 
 def score_test(model: Blend, test: DataFrame) -> DataFrame:
@@ -168,10 +171,10 @@ def compare_models(data: DataFrame, features: Sequence[str], kinds: Sequence[str
             for k in folds:
                 part = d.filter(F.col("fold") == k)
                 model = pipeline(features, kind, **params).fit(part.filter("role = 'train'").select(*features, "label"))
-                a = auc(probability(model, part.filter("role = 'test'"), "p").select("p", "label"))
-                a = a.select(F.lit(kind).alias("model"), F.lit(i).alias("setting"), F.lit(k).alias("fold"), "auc")
-                rows = a if rows is None else rows.unionByName(a)
-    return rows.groupBy("model", "setting").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds"))
+                p = probability(model, part.filter("role = 'test'"), "p")
+                p = p.select(F.lit(kind).alias("model"), F.lit(i).alias("setting"), F.lit(k).alias("fold"), "p", "label")
+                rows = p if rows is None else rows.unionByName(p)
+    return auc(rows, keys=["model", "setting", "fold"]).groupBy("model", "setting").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds"))
 
 
 def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS), th_long: float = 0.55, th_short: float = 0.45,
@@ -188,11 +191,19 @@ def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS)
         cols, missing = feature_set(name, d.columns)
         model = pipeline(cols, "logistic").fit(d.filter("role = 'train'").select(*cols, "label"))
         test = probability(model, d.filter("role = 'test'"), "p")
-        q = F.col("p")
-        test = test.select("symbol", "bar", "close", F.when(q >= th_long, 1).when(q <= th_short, -1).otherwise(0).alias("side"), F.lit(notional).alias("size"))
-        m = core_pack(ledger(test)).withColumns({"feature_set": F.lit(name), "n_features": F.lit(len(cols)), "missing": F.lit(",".join(missing))})
-        out = m if out is None else out.unionByName(m)
-    return out.withColumn("score", feature_set_score())
+        test = test.select(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("n_features"), F.lit(",".join(missing)).alias("missing"),
+                           "symbol", "bar", "close", "p")
+        out = test if out is None else out.unionByName(test)
+    return trade_sets(out, th_long, th_short, notional)
+
+
+def trade_sets(scored: DataFrame, th_long: float = 0.55, th_short: float = 0.45, notional: float = 10_000.0) -> DataFrame:
+    """Ledger metrics and score per (symbol, feature_set) of scored bars, all sets in one ledger."""
+    q = F.col("p")
+    side = F.when(q >= th_long, 1).when(q <= th_short, -1).otherwise(0)
+    keys = ["symbol", "feature_set", *[c for c in ("n_features", "missing") if c in scored.columns]]
+    d = scored.select(*keys, "bar", "close", side.alias("side"), F.lit(notional).alias("size"))
+    return core_pack(ledger(d, keys=keys), keys).withColumn("score", feature_set_score())
 
 
 def shuffled_position(df: DataFrame, seed: int, key: Sequence[str] = ("symbol", "bar"), out: str = "_at") -> DataFrame:

@@ -146,13 +146,13 @@ def d23(s, sf):
 
 def d24_compare(s, sf):
     d = labelled(s, sf).filter("label is not null").select("symbol", "bar", *FEATS, "label")
-    return ml.compare_models(fo.split_folds(d, 2), FEATS, ("logistic", "forest"), {"logistic": [dict(regParam=0.01), dict(regParam=0.1)]})
+    return ml.compare_models(fo.split_folds(d, 2), FEATS, ("logistic", "forest", "boosting"), {"logistic": [dict(regParam=0.01), dict(regParam=0.1)], "boosting": [dict(maxIter=5)]})
 
 
 def d21(s, sf):
     d = lb.add_labels(X.full_pack(bars(s, sf)), 1).withColumn("label", F.col("y_up").cast("double")).filter("label is not null")
     d = fo.split_folds(d, 2).filter("fold = 1")
-    return ml.feature_set_sweep(d).select("symbol", "feature_set", "n_features", "trade_count", "total_return", "max_drawdown", "score")
+    return ml.feature_set_sweep(d).select("symbol", "feature_set", "n_features", "missing", "trade_count", "total_return", "max_drawdown", "score")
 
 
 def d26(s, sf):
@@ -161,6 +161,21 @@ def d26(s, sf):
     return ml.permutation_importance(model, d.select("symbol", "bar", *FEATS, "label"), FEATS, n=2)
 
 
+def d23_fixed(s, sf):
+    """Folds and their quality for a given probability: walk-forward without the fits."""
+    d = lb.add_labels(bars(s, sf), 3).filter("y_up is not null").select("symbol", "bar", "close", "open", F.col("y_up").cast("double").alias("label"))
+    return ml.fold_quality(fo.split_folds(d, 3).filter("role = 'test'").select("fold", price_probability().alias("p"), "label"))
+
+
+Q["d23_fixed_score"] = d23_fixed
+S["d23_fixed_score"] = f"""WITH {B}, l AS (SELECT symbol, bar, close / (close + open) AS p, (lead(close, 3) OVER (PARTITION BY symbol ORDER BY bar) / close - 1 > 0)::INT AS label FROM b),
+d AS (SELECT * FROM l WHERE label IS NOT NULL), n AS (SELECT symbol, max(bar) + 1 AS n, (max(bar) + 1) // 4 AS w FROM d GROUP BY 1), f AS (SELECT *, unnest(range(0, 3)) AS fold FROM n),
+x AS (SELECT fold, p, label FROM d JOIN f USING (symbol) WHERE bar >= n - (3 - fold) * w AND bar < n - (3 - fold) * w + w),
+k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2 AS rk FROM x)
+SELECT fold::INT AS fold, count(*) AS rows, sum(label)::BIGINT AS n_pos, {r('(sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label)))', 'auc')},
+ {r('sum(greatest(p - 0.5, 0) * CASE WHEN label = 1 THEN 1 ELSE -1 END)', 'pseudo_return')} FROM k GROUP BY 1"""
+
+
 def d26_fixed(s, sf):
     """Permutation loss of a fixed linear score: every step but a fit, so SQL can check it."""
     d = lb.add_labels(bars(s, sf), 1).filter("y_up is not null")

@@ -122,6 +122,19 @@ S["a12_metric_variants"] = f"""WITH {LED2}, {EQ}, c0 AS (SELECT symbol, bar, gre
 SELECT symbol, 'clipped' AS variant, count(*) AS bars, {r('arg_max(e, bar)', 'final_equity', 3)}, {r('arg_max(e, bar) / arg_min(e, bar) - 1', 'total_return')}, {r('min(dd)', 'max_drawdown')}, NULL::DOUBLE AS win_rate FROM c1 GROUP BY 1
 UNION ALL SELECT symbol, 'positive', count(*), {r('arg_max(equity, bar)', 'final_equity', 3)}, {r('arg_max(equity, bar) / arg_min(equity, bar) - 1', 'total_return')}, {r('max(-drawdown)', 'max_drawdown')}, {r('avg((ret > 0)::INT)', 'win_rate')} FROM eq GROUP BY 1"""
 
+def a12_rule(s, sf):
+    d = cut(held(s, sf))
+    return mx.rule_metrics(lg.ledger(d), ep.trade_log(d))
+
+
+Q["a12_rule_metrics"] = a12_rule
+S["a12_rule_metrics"] = f"""WITH {LED}, {EQ}, {EPI}, p AS (SELECT symbol, d * (x - e) - x * 0.0011 AS pnl FROM tl),
+g AS (SELECT symbol, arg_min(equity, bar) AS a, arg_max(equity, bar) AS z, min(drawdown) AS dd, stddev_samp(ret) AS sd, avg(ret) AS mu FROM eq GROUP BY 1),
+t AS (SELECT symbol, count(*) AS n, avg((pnl > 0)::INT) AS w, avg(pnl) AS m, sum(pnl) AS t, stddev_pop(pnl) AS sp FROM p GROUP BY 1)
+SELECT g.symbol, {r('z / a - 1', 'total_return')}, {r('dd', 'max_drawdown')}, {r('CASE WHEN dd < 0 THEN (z / a - 1) / abs(dd) ELSE 0 END', 'calmar')}, {r('sd * sqrt(252)', 'volatility_ann')},
+ {r('mu / sd * sqrt(252)', 'sharpe_ann')}, coalesce(n, 0) AS trade_count, {r('coalesce(w, 0)', 'win_rate')}, {r('coalesce(m, 0)', 'avg_trade')}, {r('coalesce(t.t, 0)', 'pnl_sum')},
+ {r('coalesce(m, 0)', 'pnl_mean')}, {r('coalesce(sp, 0)', 'pnl_std')} FROM g LEFT JOIN t ON g.symbol = t.symbol"""
+
 Q["a14_exposure"] = lambda s, sf: mx.exposure(sided(s, sf))
 S["a14_exposure"] = f"WITH {B}, {SIDED} SELECT symbol, {r('avg((side <> 0)::INT)', 'exposure_total')}, {r('avg((side > 0)::INT)', 'exposure_long')}, {r('avg((side < 0)::INT)', 'exposure_short')} FROM sd GROUP BY 1"
 

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.blocks import join_safe
 from tickloom.operators.relations import dedup
 from tickloom.session import cut
 
@@ -38,8 +39,12 @@ def upsert_batch(path: str, keys: Sequence[str] = ("symbol", "ts"), order: Seque
         old = _existing(batch, path)
         if old is not None:
             new = new.select(*new.columns)
-            touched = new.select(*parts).distinct()
-            new = new.unionByName(old.withColumn("p_month", F.col("p_month").cast("string")).join(touched, parts, "left_semi"))
+            touched = cut(new.select(*parts).distinct())
+            # the values of the batch's own partitions (bounded by the batch) prune the folders that are read
+            names = {p: [r[0] for r in touched.select(p).distinct().collect()] for p in parts}
+            old = old.withColumn("p_month", F.col("p_month").cast("string"))
+            kept = [F.col(p).isin([v for v in names[p] if v is not None]) | F.col(p).isNull() for p in parts]
+            new = new.unionByName(join_safe(old.filter(kept[0] & kept[1]), touched, parts, "left_semi"))
         merged = cut(dedup(new, keys, ["_gen", *order]))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
