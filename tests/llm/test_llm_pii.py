@@ -43,6 +43,9 @@ def test_base_spans_are_the_patterns(text):
     ("b​ob@ho​st.com", "email", "b​ob@ho​st.com"),
     ("bob&#64;host&#46;com", "email", "bob&#64;host&#46;com"),
     ("call plus one zero one seven five five five seven seven one three", "phone", "plus one zero one seven five five five seven seven one three"),
+    ("write bob @ host . com", "email", "bob @ host . com"),
+    ("BOB AT HOST DOT COM", "email", "BOB AT HOST DOT COM"),
+    ("bob at host dot co.uk, please", "email", "bob at host dot co.uk"),
     ("ip 10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
     ("vier acht vier fünf eins sechs acht eins eins vier vier null sieben drei zwei neun", "card", None),
     ("card 4845 1681 l44O 7329", "card", "4845 1681 l44O 7329"),
@@ -55,7 +58,7 @@ def test_disguises_map_back_to_the_source(text, kind, want):
 
 @pytest.mark.parametrize("text", [
     "Meet at the dot. Look at this, that and one or two of them.", "un dos tres", "Look (at) me", "the point at issue dot dot", "Über naïve Été 1 2 3",
-    "he was at home dot", "one of two at a time", "[at] [dot]", "0O1l", "<at>", "" , None])
+    "he was at home dot", "one of two at a time", "[at] [dot]", "0O1l", "<at>", "find us at example.com", "5 apples @ 3.50 each", "me @ home. Then", "look at this dot",  "" , None])
 def test_clean_texts_stay_clean(text):
     assert pii.find_spans(text) == ([], [])
 

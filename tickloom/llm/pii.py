@@ -123,9 +123,11 @@ AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba|ät)\s{0,3}[\])}>]\s{0,3})"
 DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3})"
 BRACKETED = re.compile(rf"(?P<at>{AT})|(?P<dot>{DOT})", re.I)
 #: Bare words count as signs only in a whole address: local at host dot suffix.
-BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}(?P<l>(?: (?:dot|punkt|punto) [A-Za-z0-9_%+-]{1,64}){0,3})"
-                  r"(?P<at> (?:at|arroba) |@)(?P<h>[A-Za-z0-9-]{1,63}(?:(?: (?:dot|punkt|point|punto) |\.)(?!(?:dot|punkt|point|punto|at)(?![A-Za-z0-9]))[A-Za-z0-9-]{1,63}){1,5})(?![A-Za-z0-9])", re.I)
-BARE_SIGN = re.compile(r" (?:(?P<at>at|arroba)|dot|punkt|point|punto) ", re.I)
+_dot = r"(?: (?:dot|punkt|point|punto|\.) |\.)"
+BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}(?: (?:dot|punkt|punto) [A-Za-z0-9_%+-]{1,64}){0,3}"
+                  rf"(?P<at> (?:at|arroba|@) |@)(?P<host>[A-Za-z0-9-]{{1,63}}(?:{_dot}(?!(?:dot|punkt|point|punto|at)(?![A-Za-z0-9]))[A-Za-z0-9-]{{1,63}}){{0,4}}"
+                  rf"{_dot}(?!(?:dot|punkt|point|punto|at)(?![A-Za-z]))[A-Za-z]{{2,24}})(?![A-Za-z0-9-])", re.I)
+BARE_SIGN = re.compile(r" (?:(?P<at>at|arroba|@)|dot|punkt|point|punto|\.) ", re.I)
 IP_DOTS = re.compile(r"(?<![0-9])[0-9]{1,3}(?: (?:dot|punkt|point|punto) [0-9]{1,3}){3}(?![0-9])", re.I)
 #: Letters for digits inside a long, mostly numeric run.
 MIXED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9](?:[ .()-]{0,2}[0-9OoIl]){8,18}(?![A-Za-z0-9])")
@@ -180,7 +182,7 @@ def normalise(text: str) -> Mapped | None:
     odd = not text.isascii() and any(ord(c) in TABLE for c in set(text))
     entity = ("&" in text or "%40" in text) and ENTITY.search(text) is not None
     low = text.lower()
-    signs = any(w in low for w in DOT_WORDS) or any(c in text for c in "[({<") and IN_BRACKETS.search(text) is not None
+    signs = " @ " in text or any(w in low for w in DOT_WORDS) or any(c in text for c in "[({<") and IN_BRACKETS.search(text) is not None
     if not (odd or entity or signs or _spelled(low) or LETTERS_IN_DIGITS.search(text)):
         return None
     m = Mapped(text)
@@ -192,7 +194,8 @@ def normalise(text: str) -> Mapped | None:
     m.rewrite([(x.start(), x.end(), "+") for x in PLUS.finditer(m.text)])
     m.rewrite([(x.start(), x.end(), "@" if x["at"] else ".") for x in BRACKETED.finditer(m.text)])
     m.rewrite([(s.start() + x.start(), s.end() + x.start(), "@" if s["at"] else ".")
-               for x in BARE.finditer(m.text) for s in BARE_SIGN.finditer(x[0])])
+               for x in BARE.finditer(m.text) if x["at"] == " @ " or BARE_SIGN.search(x["host"])  # "look at host.com" is no address
+               for s in BARE_SIGN.finditer(x[0])])
     m.rewrite([(s.start() + x.start(), s.end() + x.start(), ".") for x in IP_DOTS.finditer(m.text) for s in BARE_SIGN.finditer(x[0])])
     m.rewrite([(s.start() + x.start(), s.end() + x.start(), "0" if s[0] in "Oo" else "1")
                for x in MIXED.finditer(m.text) for s in LETTER_DIGIT.finditer(x[0])])
