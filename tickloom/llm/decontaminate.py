@@ -7,8 +7,8 @@ where the window would have to start (positional bound) and end (length bound),
 place are compared with the window by two independent 64-bit hashes of all its words.
 
 Two passes over the documents and no shuffle of them: one counts the benchmark's shingles, one finds and
-verifies. The benchmark is taken in blocks of at most ``block_words`` words (one block up to 4 million
-words, about 200 MB in a task), so what is sent to the tasks is bounded whatever its size; hits of
+verifies. The benchmark is taken in blocks of at most ``block_words`` words (one block up to a million
+words, about 100 MB on the driver and in a task), so what is sent to the tasks is bounded whatever its size; hits of
 several blocks are united per document.
 
 Null and empty texts have no words; null items are no items. Repeated rows are answered each (per
@@ -225,7 +225,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int
     return out or [[]]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 4_000_000,
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000,
          id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, hits (word ranges, disjoint), items (ids of items with an occurring window)."""
     docs = id_and_text(docs, id_col, text_col)
@@ -247,7 +247,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     return merged.withColumn("hits", union)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 4_000_000, share: int = 20,
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000, share: int = 20,
           id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated (fewer than 1/share of their words hit)."""
     blocks = _blocks(id_and_text(docs, id_col, text_col), benchmark, window, block_words, item_col, item_text)
