@@ -124,3 +124,16 @@ def test_rows_without_time_or_symbol_stay(spark):
     assert core(blocked(b, back=3)).count() == core(blocked(b)).count() == 10
     assert prefix(b, {"s": ("sum", F.col("close"))}).filter("s is not null").count() == 10
     assert equity_path(b, F.col("close")).count() == 10
+
+
+@pytest.mark.parametrize("fan,size,gap", [(4, 16, 7), (3, 8, 20)])
+def test_hold_over_many_super_blocks_also_for_a_periodic_signal(spark, monkeypatch, fan, size, gap):
+    from tickloom.operators import debounce as module
+
+    monkeypatch.setattr(module, "FAN", fan)
+    n = 1200
+    raws = {"A": np.random.default_rng(1).integers(-1, 2, n), "B": np.tile([1, 1, 1, -1, -1, -1, 0], n)[:n]}
+    pdf = pd.concat([pd.DataFrame({"symbol": k, "bar": np.arange(n), "raw_dir": v.astype("int32")}) for k, v in raws.items()])
+    out = to_pandas(debounce(spark.createDataFrame(pdf), gap, size=size))
+    for k, v in raws.items():
+        assert list(out[out.symbol == k].signal) == debounce_loop(v, gap)

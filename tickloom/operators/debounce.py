@@ -3,8 +3,9 @@
 After a change at bar i the next one may happen at bar i+gap at the earliest, so
 the signal depends on everything before it.  What a block of bars does to the
 state (direction, bars still to wait) is a small map, though: it is worked out for
-every possible entry state, the maps are chained, and each block then runs once
-with its true entry state.  No step sees more than one block of a symbol.
+every possible entry state, the maps of 256 blocks are composed into one, these are
+chained (one row per two million bars), and each block then runs once with its true
+entry state.  No list holds more than 256 blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tickloom.operators.blocks import KEYS, join_safe
 from tickloom.session import cut
 
 SIGNAL_BLOCK = 8192
+FAN = 256
 
 
 def _step(state: Column, run: Column, gap: Column) -> Column:
@@ -118,24 +120,49 @@ def _block_entries(runs: DataFrame, keys: list[str], size: int) -> DataFrame:
     maps = runs.select(*blk, "gap", rel.alias("m")).withColumn(
         "m", F.when(F.size(F.array_distinct("m")) == 1, F.slice("m", 1, 1)).otherwise(F.col("m"))
     )
-    w = Window.partitionBy(*keys).orderBy("_blk")
-    prev = F.lag("m").over(w)
-    maps = maps.withColumn("_p", prev)
-    # a block after a constant map knows its entry; others chain from the last known one
+    # blocks fold into super-blocks of FAN; only those are chained, and each is then followed from its entry
+    top = [*keys, "_sup"]
+    sup = maps.withColumn("_sup", F.floor(F.col("_blk") / FAN)).groupBy(*top).agg(
+        F.sort_array(F.collect_list(F.struct("_blk", "m"))).alias("bs"), F.first("gap").alias("gap"))
+    every = F.flatten(F.transform(
+        F.array(F.lit(-1), F.lit(0), F.lit(1)),
+        lambda d: F.transform(F.sequence(F.lit(0), gap - 1), lambda k: F.struct(d.alias("dir"), k.cast("int").alias("wait")))))
+    whole = F.aggregate("bs", every, lambda acc, b: F.transform(acc, lambda s: _lookup(b["m"], s, gap)))
+    sup = sup.withColumn("m", whole).withColumn(
+        "m", F.when(F.size(F.array_distinct("m")) == 1, F.slice("m", 1, 1)).otherwise(F.col("m")))
+    entries = _chain(sup.select(*top, "gap", "m"), keys)
+    met = join_safe(sup.select(*top, "gap", "bs"), entries, top, "inner")
+    start = F.struct(F.col("e_dir").alias("dir"), F.col("e_wait").alias("wait"))
+    return met.select(*keys, F.explode(_follow("bs", start, gap, "_blk")).alias("x")).select(*keys, "x.*")
+
+
+def _lookup(m: Column, state: Column, gap: Column) -> Column:
+    """The state after a block with map ``m``; entry states are ordered by direction, then wait."""
+    # element_at counts from 1
+    i = F.when(F.size(m) == 1, 1).otherwise((state["dir"] + 1) * gap + state["wait"] + 1)
+    return F.element_at(m, i.cast("int"))
+
+
+def _follow(blocks: str, start: Column, gap: Column, name: str) -> Column:
+    """The entry state of every block of an ascending list."""
+    def step(acc: Column, b: Column) -> Column:
+        s = acc["s"]
+        here = F.struct(b[name].alias(name), s["dir"].alias("e_dir"), s["wait"].alias("e_wait"))
+        return F.struct(_lookup(b["m"], s, gap).alias("s"), F.array_append(acc["o"], here).alias("o"))
+
+    init = F.struct(start.alias("s"), F.array().cast(f"array<struct<{name}:bigint,e_dir:int,e_wait:int>>").alias("o"))
+    return F.aggregate(blocks, init, step)["o"]
+
+
+def _chain(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """Entry states of super-blocks: one after a constant map knows its own, others follow from the last known one."""
+    w = Window.partitionBy(*keys).orderBy("_sup")
+    maps = maps.withColumn("_p", F.lag("m").over(w))
     known = F.col("_p").isNull() | (F.size("_p") == 1)
     maps = maps.withColumn("_seg", F.sum(known.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     seed = F.struct(F.lit(0).alias("dir"), F.lit(0).alias("wait"))
     chain = maps.groupBy(*keys, "_seg").agg(
-        F.sort_array(F.collect_list(F.struct("_blk", "m"))).alias("bs"),
-        F.min_by(F.coalesce(F.col("_p")[0], seed), "_blk").alias("s0"), F.first("gap").alias("gap"),
+        F.sort_array(F.collect_list(F.struct("_sup", "m"))).alias("bs"),
+        F.min_by(F.coalesce(F.col("_p")[0], seed), "_sup").alias("s0"), F.first("gap").alias("gap"),
     )
-
-    def follow(acc: Column, b: Column) -> Column:
-        s = acc["s"]
-        # element_at counts from 1; entry states are ordered by direction, then wait
-        i = F.when(F.size(b["m"]) == 1, 1).otherwise((s["dir"] + 1) * gap + s["wait"] + 1)
-        return F.struct(F.element_at(b["m"], i.cast("int")).alias("s"),
-                        F.array_append(acc["o"], F.struct(b["_blk"].alias("_blk"), s["dir"].alias("e_dir"), s["wait"].alias("e_wait"))).alias("o"))
-
-    init = F.struct(F.col("s0").alias("s"), F.array().cast("array<struct<_blk:bigint,e_dir:int,e_wait:int>>").alias("o"))
-    return chain.select(*keys, F.explode(F.aggregate("bs", init, follow)["o"]).alias("x")).select(*keys, "x.*")
+    return chain.select(*keys, F.explode(_follow("bs", F.col("s0"), F.col("gap"), "_sup")).alias("x")).select(*keys, "x.*")
