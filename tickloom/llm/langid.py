@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import text as T
-from tickloom.llm.columns import batch, carried, mapped, unpacked
+from tickloom.llm.columns import batch, carried, findable, mapped, unpacked
 
 ORDER = 5
 BITS = 12
@@ -211,14 +211,22 @@ def _text_slices(texts: pa.Array):
 def fit(train: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """Model from labelled rows; see the module for the sample."""
-    rows = train.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+    rows = findable(train).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         F.col(lang_col).cast("string").alias("lang")).where("lang is not null and length(text) between 1 and %d" % max_chars)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= docs_per_lang)
-    sample = rows.join(F.broadcast(ids.select("doc_id", "lang", "_rank")), ["doc_id", "lang"])  # at most docs_per_lang x MAX_LANGUAGES ids
-    langs = sorted(r.lang for r in ids.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
+    # counts per hash bucket give each language's last bucket, so that ranking sees little more than the sample
+    rows = rows.withColumn("_bucket", F.shiftrightunsigned(F.xxhash64("doc_id"), 48))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("_bucket"))  # 65,536 buckets at most
+    counts = rows.groupBy("lang", "_bucket").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    last = F.coalesce(F.min(F.when(F.col("upto") >= docs_per_lang, F.col("_bucket"))), F.max("_bucket"))
+    found = counts.groupBy("lang").agg(last.alias("last")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r.lang for r in found)
+    limit = F.create_map(*(x for r in found for x in (F.lit(r.lang), F.lit(r["last"])))) if found else F.create_map(F.lit(""), F.lit(-1).cast("long"))
+    rows = rows.where(F.col("_bucket") <= limit[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("_bucket", F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("doc_id", "lang", "_bucket").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= docs_per_lang)
+    sample = rows.join(F.broadcast(ids.select("doc_id", "lang", "_rank")), ["doc_id", "lang"])  # at most docs_per_lang x MAX_LANGUAGES ids
     part = sample.select("lang", "text", (F.col("_rank") % 5 == 0).alias("held"))
 
     def count(batches):
