@@ -62,3 +62,28 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     df = fl.date_range(spark.read.parquet(f"{sf_dir}/events.parquet"), "2024-01-05", "2024-01-06").select("ts", "value")
     text = plan(df)
     assert "GreaterThanOrEqual(ts" in text and "ReadSchema: struct<ts:timestamp_ntz,value:double>" in text
+
+
+def test_a_scope_removes_what_was_cut_in_it(spark, checkpoint_dir):
+    import pathlib
+
+    from tickloom.session import cut, scope, shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "tickloom"
+    kept = cut(spark.range(3))
+    before = {p.name for p in folder.iterdir()}
+    with scope(spark):
+        assert cut(spark.range(5)).count() == 5 and len({p.name for p in folder.iterdir()}) == len(before) + 1
+    assert {p.name for p in folder.iterdir()} == before and kept.count() == 3
+
+
+def test_missing_columns_are_named_while_planning(spark):
+    import pytest
+
+    from tickloom.operators import barriers, episodes, ledger, metrics, regimes
+
+    d = spark.createDataFrame([("A", 1)], "symbol string, bar long")
+    for fn, name in ((regimes.detect_regime, "close"), (ledger.ledger, "size"), (barriers.barrier_outcomes, "high"),
+                     (episodes.trade_log, "signal"), (metrics.core_pack, "pnl")):
+        with pytest.raises(ValueError, match=f"missing column.*{name}"):
+            fn(d)

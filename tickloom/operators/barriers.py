@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.blocks import KEYS
+from tickloom.schema import require_columns
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,7 @@ def barrier_outcomes(bars: DataFrame, rule: Barriers = Barriers(), side: str = "
     Ties on one bar resolve stop, take, trail, time.  ``open`` means the data ended first.
     """
     keys = list(keys)
+    require_columns(bars, [*keys, "bar", "ts", "high", "low", "close", side, *(["atr"] if rule.unit == "atr" else [])], "barriers")
     atr = [F.col("atr").alias("e_atr")] if rule.unit == "atr" else []
     ents = bars.filter(F.coalesce(F.col(side), F.lit(0)) != 0).select(
         *keys, F.col("bar").alias("e_bar"), F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, blocked, core, join_safe, prefix
 from tickloom.operators.ledger import COMMISSION, SLIPPAGE_BPS
+from tickloom.schema import require_columns
 from tickloom.session import cut
 
 
@@ -18,6 +19,7 @@ def label_episodes(df: DataFrame, side: str = "signal", keys: Sequence[str] = KE
     """``carry`` names more running values (see ``prefix``) to take along; they may use ``is_start``.
 
     Bar log: adds ``trade_id`` (1, 2, ... per key; null while flat) and the next bar's close and time."""
+    require_columns(df, [*keys, "bar", "ts", "close", side], "episodes")
     s = F.coalesce(F.col(side), F.lit(0))
     d = blocked(df, back=1, ahead=1)
     d = d.withColumns(

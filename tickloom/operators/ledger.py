@@ -11,6 +11,7 @@ from tickloom.functions.scalars import clip
 from tickloom.operators import indicators as I
 from tickloom.operators.asof import asof_backward
 from tickloom.operators.blocks import KEYS, blocked, core, equity_path, index_bars, prefix
+from tickloom.schema import require_columns
 from tickloom.session import cut
 
 # Default costs.
@@ -30,6 +31,7 @@ def positions(df: DataFrame, side: str = "side", size: str = "size", commission:
     previous target is a one-row lag and nothing depends on the path.
     ``pnl`` marks the held shares to market; ``cashflow`` is signed cash only.
     """
+    require_columns(df, [*keys, "bar", "close", side, size], "ledger")
     p = F.col("close")
     d = blocked(df, back=1)
     d = d.withColumn("shares", F.col(size) * F.col(side) / F.greatest(p, F.lit(1e-9)))

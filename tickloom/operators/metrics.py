@@ -13,6 +13,7 @@ from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, blocked, core, join_safe, prefix
 from tickloom.operators.episodes import streaks
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns, value_slices
+from tickloom.schema import require_columns
 from tickloom.session import cut
 
 EPS = 1e-12
@@ -143,6 +144,7 @@ def core_pack(led: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     Everything the sweep score needs; no second pass over the bars.
     """
+    require_columns(led, [*keys, "bar", "side", "pnl", "equity", "drawdown", "traded", "turnover", "cost"], "metrics")
     x, s = F.col("pnl"), F.col("side")
     gain, loss = F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0.0)), F.coalesce(F.sum(F.when(x < 0, x)), F.lit(0.0))
     dn = F.coalesce(F.sqrt(F.avg(F.when(x < 0, x * x))), F.lit(0.0))

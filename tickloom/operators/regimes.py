@@ -13,6 +13,7 @@ from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, blocked, core, join_safe
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
+from tickloom.schema import require_columns
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ def regime_back(p: RegimeParams = RegimeParams()) -> int:
 
 
 def detect_regime(bars: DataFrame, p: RegimeParams = RegimeParams()) -> DataFrame:
+    require_columns(bars, ["symbol", "bar", "high", "low", "close"], "regimes")
     return core(regime_raw(blocked(bars, back=regime_back(p)), p))
 
 

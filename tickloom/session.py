@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,5 +56,28 @@ def cut(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read instead of the whole lineage.
     """
     path = f"{shared_dir(df.sparkSession)}/tickloom/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that ``cut`` writes inside it and removes them at its end.
+
+    Write the results that read them before the scope ends.  Without a scope the tables stay.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(hadoop).delete(p, True)
