@@ -49,6 +49,9 @@ def test_base_spans_are_the_patterns(text):
     ("ip 10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
     ("vier acht vier fünf eins sechs acht eins eins vier vier null sieben drei zwei neun", "card", None),
     ("card 4845 1681 l44O 7329", "card", "4845 1681 l44O 7329"),
+    ("two 7536784127813050 4845168114407329 cards", "card", "4845168114407329"),
+    ("4845 1681 1440 7329 7536 7841 2781 3050", "card", "7536 7841 2781 3050"),
+    ("call +1 (136) 555-7479 4736962573099581", "phone", "+1 (136) 555-7479"),
     ("card ４８４５１６８１１４４０７３２９", "card", "４８４５１６８１１４４０７３２９"),
 ])
 def test_disguises_map_back_to_the_source(text, kind, want):

@@ -7,6 +7,8 @@ digits (English, German, French, Spanish) into digits and ``[at]``, ``(dot)``, `
 came from, so every hit maps back to an exact source span. Only texts in which some transducer
 fires are normalised; the others cannot change.
 
+Numbers that a base pattern swallows with their neighbours, and so drops, are recovered from the run's parts.
+
 Spans are (kind, start, end) in code points, end exclusive. A normalised hit is added unless a base
 span already covers it; base spans are never removed. All matching is linear in the text: e-mail is
 anchored at ``@``, digit runs are possessive.
@@ -59,8 +61,8 @@ def emails(text: str) -> Iterator[tuple[str, int, int]]:
             at += 1
 
 
-def detect(text: str) -> list[tuple[str, int, int]]:
-    """Base spans, by kind and start."""
+def detect(text: str, missed: list | None = None) -> list[tuple[str, int, int]]:
+    """Base spans, by kind and start; ``missed`` takes the matches that failed their check."""
     out = list(emails(text))
     if IP_HINT.search(text):
         for m in IP.finditer(text):
@@ -71,13 +73,48 @@ def detect(text: str) -> list[tuple[str, int, int]]:
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
                 out.append(("card", m.start(), m.end()))
+            elif missed is not None and len(digits) > 16:
+                missed.append(("card", m))
     if "+" in text:
         for m in PHONE.finditer(text):
-            if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            n = sum(c.isdigit() for c in m[0])
+            if 9 <= n <= 15:
                 out.append(("phone", m.start(), m.end()))
+            elif missed is not None and n > 15:
+                missed.append(("phone", m))
     return out
 
 
+GROUP = re.compile(r"[0-9]+")
+
+
+def recovered(missed: list) -> Iterator[tuple[str, int, int]]:
+    """Numbers inside a run that was too long for its check because they stand next to each other: groups of 13 to
+    19 digits or four groups of four that pass as a card, and the digit groups after a plus that make a phone."""
+    for kind, m in missed:
+        groups = [(g.start() + m.start(), g.end() + m.start()) for g in GROUP.finditer(m[0])]
+        if kind == "phone":
+            digits, end = 0, None
+            for s, e in groups:
+                digits += e - s
+                if digits > 15:
+                    break
+                end = e if digits >= 9 else None
+            if end:
+                yield "phone", m.start(), end
+            continue
+        i = 0
+        while i < len(groups):
+            s, e = groups[i]
+            four = [b - a for a, b in groups[i:i + 4]] == [4, 4, 4, 4]
+            if 13 <= e - s <= 19 and luhn(m.string[s:e]):
+                yield "card", s, e
+            elif four and luhn("".join(m.string[a:b] for a, b in groups[i:i + 4])):
+                yield "card", s, groups[i + 3][1]
+                i += 3
+            i += 1
+
+
 # Characters that look like ASCII ones, invisible characters, digit words.
 GLYPHS = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТУХІЈЅαοερνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ‐‑‒–—−․。｡·＠﹫",
                   "aeopcyxijsdhlABEKMHOPCTYXIJSaoepvikABEZHIKMNOPTYX------....@@"))
@@ -203,20 +240,21 @@ def normalise(text: str) -> Mapped | None:
 
 
 def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and the spans that only the normalised text shows; both by kind, start, end."""
+    """Base spans, and those that only the normalised text or a run's parts show; both by kind, start, end."""
     if not text:
         return [], []
-    base = detect(text)
-    m = normalise(text)
-    if m is None or m.text == text:
-        return base, []
+    missed: list = []
+    base = detect(text, missed)
     known = {k: sorted((s, e) for kind, s, e in base if kind == k) for k in KINDS}
-    added = set()
-    for kind, s, e in detect(m.text):
-        lo, hi = m.starts[s], m.ends[e - 1]
-        i = bisect.bisect_right(known[kind], (lo, 1 << 60)) - 1
-        if i < 0 or known[kind][i][1] < hi:
-            added.add((kind, lo, hi))
+    added = set(recovered(missed))
+    m = normalise(text)
+    if m is not None and m.text != text:
+        missed = []
+        for kind, s, e in [*detect(m.text, missed), *recovered(missed)]:
+            lo, hi = m.starts[s], m.ends[e - 1]
+            i = bisect.bisect_right(known[kind], (lo, 1 << 60)) - 1
+            if i < 0 or known[kind][i][1] < hi:
+                added.add((kind, lo, hi))
     return base, sorted(added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
