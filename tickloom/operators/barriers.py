@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.blocks import KEYS
@@ -44,7 +44,7 @@ def following_bars(entries: DataFrame, bars: DataFrame, n: int, keys: Sequence[s
     e = e.alias("e")
     on = (F.col("e._bk") == F.col("b._bk")) & (F.col("b.bar") > F.col("e.e_bar")) & (F.col("b.bar") <= F.col("e.e_bar") + n)
     for k in keys:
-        on = on & (F.col(f"e.{k}") == F.col(f"b.{k}"))
+        on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"b.{k}"))
     rest = [F.col(f"b.{c}") for c in bars.columns if c not in keys]
     return e.join(b, on, "left").select(*[F.col(f"e.{c}") for c in entries.columns], *rest)
 
@@ -54,23 +54,15 @@ def barrier_outcomes(bars: DataFrame, rule: Barriers = Barriers(), side: str = "
 
     Ties on one bar resolve stop, take, trail, time.  ``open`` means the data ended first.
     """
-    keys = list(keys)
-    require_columns(bars, [*keys, "bar", "ts", "high", "low", "close", side, *(["atr"] if rule.unit == "atr" else [])], "barriers")
-    atr = [F.col("atr").alias("e_atr")] if rule.unit == "atr" else []
-    ents = bars.filter(F.coalesce(F.col(side), F.lit(0)) != 0).select(
-        *keys, F.col("bar").alias("e_bar"), F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"),
-        F.col(side).alias("direction"), *atr,
-    )
-    cols = ["bar", "ts", "high", "low", "close"] + (["atr"] if rule.unit == "atr" else [])
-    j = following_bars(ents, bars.select(*keys, *cols), rule.max_hold, keys)
+    return outcomes_by_rule(bars, {"": rule}, side, keys).drop("rule")
+
+
+def _first_hit(rule: Barriers) -> tuple[Column, Column]:
+    """Name and price of the barrier that a joined bar hits, if any."""
     s, e, c = F.col("direction"), F.col("entry_price"), F.col("close")
-    if rule.unit == "atr":
-        unit = F.col("e_atr") if rule.atr_at == "entry" else F.col("atr")
-    else:
-        unit = e
+    unit = e if rule.unit != "atr" else F.col("e_atr") if rule.atr_at == "entry" else F.col("atr")
     worst = F.when(s > 0, F.col("low")).otherwise(F.col("high")) if rule.intrabar else c
     best = F.when(s > 0, F.col("high")).otherwise(F.col("low")) if rule.intrabar else c
-    hit, px = F.lit(None).cast("string"), F.lit(None).cast("double")
     order = []
     if rule.stop is not None:
         level = e - s * rule.stop * unit
@@ -79,23 +71,43 @@ def barrier_outcomes(bars: DataFrame, rule: Barriers = Barriers(), side: str = "
         level = e + s * rule.take * unit
         order.append(((best - level) * s >= 0, "take", level if rule.intrabar else c))
     if rule.trail:
-        w = Window.partitionBy(*keys, "e_bar").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-        j = j.withColumn("_top", F.greatest(F.max(s * c).over(w), s * e))
         order.append((s * c <= F.col("_top") - rule.trail * unit, "trail", c))
     order.append((F.col("bar") >= F.col("e_bar") + rule.max_hold, "time", c))
+    hit, px = F.lit(None).cast("string"), F.lit(None).cast("double")
     for cond, name, price in reversed(order):
         hit = F.when(cond, name).otherwise(hit)
         px = F.when(cond, price).otherwise(px)
-    j = j.withColumns({"_hit": hit, "_px": px})
-    ref = F.struct("bar", "ts", F.col("_hit").alias("outcome"), F.col("_px").alias("exit_price"))
-    g = j.groupBy(*keys, "e_bar", "entry_ts", "entry_price", "direction").agg(
-        F.min(F.when(F.col("_hit").isNotNull(), ref)).alias("h"),
-        F.max(F.when(F.col("bar").isNotNull(), F.struct("bar", "ts", F.lit("open").alias("outcome"), c.alias("exit_price")))).alias("o"),
+    return hit, px
+
+
+def outcomes_by_rule(bars: DataFrame, rules: Mapping[str, Barriers], side: str = "side", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Outcomes of every entry under every named rule (column ``rule``): one range join, one aggregate for all of them."""
+    keys = list(keys)
+    atr = ["atr"] if any(r.unit == "atr" for r in rules.values()) else []
+    require_columns(bars, [*keys, "bar", "ts", "high", "low", "close", side, *atr], "barriers")
+    ents = bars.filter(F.coalesce(F.col(side), F.lit(0)) != 0).select(
+        *keys, F.col("bar").alias("e_bar"), F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"),
+        F.col(side).alias("direction"), *[F.col(c).alias(f"e_{c}") for c in atr],
     )
+    j = following_bars(ents, bars.select(*keys, "bar", "ts", "high", "low", "close", *atr), max(r.max_hold for r in rules.values()), keys)
+    s, e, c = F.col("direction"), F.col("entry_price"), F.col("close")
+    if any(r.trail for r in rules.values()):
+        w = Window.partitionBy(*keys, "e_bar").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+        j = j.withColumn("_top", F.greatest(F.max(s * c).over(w), s * e))
+    hits = {f"_{k}{i}": x for i, r in enumerate(rules.values()) for k, x in zip(("hit", "px"), _first_hit(r))}
+    j = j.withColumns(hits)
+    aggs = []
+    for i, r in enumerate(rules.values()):
+        near = F.col("bar") <= F.col("e_bar") + r.max_hold
+        ref = F.struct("bar", "ts", F.col(f"_hit{i}").alias("outcome"), F.col(f"_px{i}").alias("exit_price"))
+        last = F.struct("bar", "ts", F.lit("open").alias("outcome"), c.alias("exit_price"))
+        aggs += [F.min(F.when(near & F.col(f"_hit{i}").isNotNull(), ref)).alias(f"h{i}"), F.max(F.when(near, last)).alias(f"o{i}")]
+    g = j.groupBy(*keys, "e_bar", "entry_ts", "entry_price", "direction").agg(*aggs)
     none = F.struct(F.col("e_bar").alias("bar"), F.col("entry_ts").alias("ts"), F.lit("open").alias("outcome"), e.alias("exit_price"))
-    g = g.withColumn("x", F.coalesce("h", "o", none))
+    rows = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(f"h{i}", f"o{i}", none).alias("x")) for i, n in enumerate(rules)])
+    g = g.withColumn("r", F.explode(rows)).withColumn("x", F.col("r.x"))
     return g.select(
-        *keys, F.col("e_bar").alias("bar"), "entry_ts", "entry_price", "direction",
+        *keys, F.col("r.rule").alias("rule"), F.col("e_bar").alias("bar"), "entry_ts", "entry_price", "direction",
         F.col("x.ts").alias("exit_ts"), (F.col("x.bar") - F.col("e_bar")).alias("bars_held"),
         F.col("x.outcome").alias("outcome"), F.col("x.exit_price").alias("exit_price"),
         ((F.col("x.exit_price") / e - 1.0) * s).alias("ret"),

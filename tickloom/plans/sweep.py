@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import risk_notional, sweep_score
 from tickloom.operators import indicators as I
-from tickloom.operators.barriers import Barriers, barrier_outcomes
+from tickloom.operators.barriers import Barriers, outcomes_by_rule
 from tickloom.operators.blocks import blocked, core
 from tickloom.operators.debounce import debounce
 from tickloom.operators.ema import Ema, add_emas, ema_back
@@ -110,13 +110,8 @@ def around(base_long: float, base_short: float, risk: float, deltas: Sequence[fl
 
 
 def barrier_sweep(bars: DataFrame, rules: Mapping[str, Barriers], side: str = "side") -> DataFrame:
-    """Trade statistics per symbol and barrier rule; the bars are written once and joined per rule."""
-    b = cut(bars)
-    out = None
-    for name, rule in rules.items():
-        o = barrier_outcomes(b, rule, side).withColumn("rule", F.lit(name))
-        out = o if out is None else out.unionByName(o)
-    return trade_performance(out, "ret", ("symbol", "rule"))
+    """Trade statistics per symbol and barrier rule; all rules share one range join."""
+    return trade_performance(outcomes_by_rule(bars, rules, side), "ret", ("symbol", "rule"))
 
 
 def best_configs(results: DataFrame, k: int = 5, group: Sequence[str] = ("symbol", "kind", "param")) -> DataFrame:
