@@ -18,8 +18,8 @@ the other's shingles, and T of its own n must occur elsewhere. The steps:
 5. Components of these rows are the classes.
 
 No caps: every list, candidate and document is used. Nulls, empty texts and texts without words have no
-shingles, link with nothing and are their own component; rows that share a doc_id are one document whose
-texts follow one another as separate sets of words are not mixed: they count as rows of their own with one label.
+shingles, link with nothing and are their own component. Rows that share a doc_id are answered one by one; as
+components are named by ids, their groups become one.
 Class identity compares 128-bit hashes of sets, overlap 64-bit hashes of shingles.
 """
 
@@ -128,7 +128,14 @@ def search(ids: np.ndarray, weight: np.ndarray, sizes: np.ndarray, grams: np.nda
     of = np.empty(len(grams), np.int64)
     of[order] = np.cumsum(new) - 1
     length = np.diff(begin)
-    label, links = np.arange(n), np.zeros(n, np.int64)
+    label, links, parent = np.arange(n), np.zeros(n, np.int64), list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
     need = -(-sizes * percent // 100)
     for q in range(n):
         lists = of[at[q]:at[q + 1]]
@@ -140,27 +147,23 @@ def search(ids: np.ndarray, weight: np.ndarray, sizes: np.ndarray, grams: np.nda
         # The longest lists stay out of the merge: fewer than T of them, and more the longer they are.
         n_long = min(int(need[q] / (0.0085 * np.log2(many[-1]) + 1)), len(lists) - 1)
         n_short = len(lists) - n_long
-        merged = posts[T.spans(begin[lists[:n_short]], many[:n_short])]
-        count = np.bincount(merged, minlength=n)
-        alive = count >= max(1, need[q] - n_long)
-        alive &= (sizes * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes * percent)
-        alive[q] = False
+        found, count = _merged(posts[T.spans(begin[lists[:n_short]], many[:n_short])], n)
+        alive = (count >= need[q] - n_long) & (found != q)
+        alive &= (sizes[found] * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes[found] * percent)
         if split is not None:
-            alive &= split != split[q]
-        found = np.flatnonzero(alive)
-        count = count[found]
+            alive &= split[found] != split[q]
+        found, count = found[alive], count[alive]
         i, left = n_short, n_long
         while left and len(found):
-            probe = len(found) * int(np.log2(many[i]) + 1) * 4 < many[i]
-            if probe:  # binary search of the candidates in one long list
+            if len(found) * int(np.log2(many[i]) + 1) * 4 < many[i]:  # binary search of the candidates in one long list
                 lst = posts[begin[lists[i]]:begin[lists[i] + 1]]
-                p = np.minimum(np.searchsorted(lst, found), len(lst) - 1)
-                count = count + (lst[p] == found)
+                count = count + (lst[np.minimum(np.searchsorted(lst, found), len(lst) - 1)] == found)
                 step = 1
             else:
                 step = left if many[i] * left < 8 * n else max(1, left // 2)
-                more = np.bincount(posts[T.spans(begin[lists[i:i + step]], many[i:i + step])], minlength=n)
-                count = count + more[found]
+                more = posts[T.spans(begin[lists[i:i + step]], many[i:i + step])]
+                p = np.minimum(np.searchsorted(found, more), len(found) - 1)
+                count = count + np.bincount(p[found[p] == more], minlength=len(found))
             i, left = i + step, left - step
             ok = count + left >= need[q]
             if not ok.all():
@@ -168,14 +171,25 @@ def search(ids: np.ndarray, weight: np.ndarray, sizes: np.ndarray, grams: np.nda
         hit = found[count * 100 >= percent * (sizes[q] + sizes[found] - count)]
         if len(hit):
             links[q] = weight[hit].sum()
-            seen = np.unique(np.append(label[hit], label[q]))
-            if len(seen) > 1:
-                label[np.isin(label, seen)] = seen[0]
+            roots = sorted({root(x) for x in [*np.unique(label[hit]).tolist(), int(label[q])]})
+            for x in roots[1:]:
+                parent[x] = roots[0]
+            label[hit] = label[q] = roots[0]
+    label = np.array([root(x) for x in label.tolist()], np.int64)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, label, ids)
     return least[label], links
 
 
+def _merged(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of merged lists and how often each occurs."""
+    if len(ids) * 8 < n:
+        return np.unique(ids, return_counts=True)
+    count = np.bincount(ids, minlength=n)
+    found = np.flatnonzero(count)
+    return found, count[found]
+
+
 def _search_task(t: pa.Table, percent: int) -> pa.Table:
     ids, weight = t["doc_id"].to_numpy(), t["class_size"].to_numpy()
     grams = [np.frombuffer(g.as_buffer(), U64) for g in t["grams"]]
