@@ -59,10 +59,11 @@ def _seeds(w: T.Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndar
     """The seed of each window, and the hashes of the distinct places that are a seed."""
     if not len(at):
         return np.zeros(0, U64), np.zeros(0, U64)
-    g = T.windows(w.hash, SEED, 0x5851F42D4C957F2D)
+    size = min(SEED, window)
+    g = T.windows(w.hash, size, 0x5851F42D4C957F2D)
     bits = U64(len(g).bit_length())
     m = ((g >> bits) << bits) | np.arange(len(g), dtype=U64)  # the place decides between equal hashes
-    rest, step = window - SEED + 1, 1
+    rest, step = window - size + 1, 1
     while 2 * step <= rest:
         m = np.minimum(m[:-step], m[step:])
         step *= 2
