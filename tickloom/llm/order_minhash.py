@@ -75,14 +75,22 @@ def signature(codes: np.ndarray, k: int = K, slots: int = SLOTS, pick: int = PIC
     return np.maximum(out >> U64(48), U64(1)).astype(np.uint16)
 
 
+def _raw(text: str | None, **params) -> bytes:
+    return signature(_codes(text or ""), **params).astype(">u2").tobytes()
+
+
+def _alike(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, ">u2"), np.frombuffer(b, ">u2")
+    return float((x == y).mean()) if len(x) else 1.0
+
+
 def fingerprint(text: str | None, **params) -> str:
-    return signature(_codes(text or ""), **params).astype(">u2").tobytes().hex()
+    return _raw(text, **params).hex()
 
 
 def likeness(a: str, b: str) -> float:
     """Share of equal slots of two fingerprints of one length."""
-    x, y = (np.frombuffer(bytes.fromhex(s), ">u2") for s in (a, b))
-    return float((x == y).mean()) if len(x) else 1.0
+    return _alike(bytes.fromhex(a), bytes.fromhex(b))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -95,18 +103,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-EDITED_DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+                    ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+EDITED_DDL = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
               "near_edited double, near_next double")
 
 
-def _edited(doc_id: int, text: str, prints: str, following: str, following_prints: str) -> dict:
+def _edited(doc_id: int, text: str, prints: bytes, following: str, following_prints: bytes) -> dict:
     quarter = len(text) // 4
     edited = text[:len(text) - quarter] + following[:quarter]
-    ep = fingerprint(edited)
-    return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-            "fingerprint": prints, "edited_fingerprint": ep, "near_edited": likeness(prints, ep), "near_next": likeness(prints, following_prints)}
+    ep = _raw(edited)
+    return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest(),
+            "fingerprint": prints, "edited_fingerprint": ep, "near_edited": _alike(prints, ep), "near_next": _alike(prints, following_prints)}
 
 
 def with_neighbour(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +140,7 @@ def with_neighbour(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows = b.slice(sub[0], sub[1] - sub[0])
                 out = []
                 for i, t, p in zip(*(c.to_pylist() for c in rows.columns)):
-                    prints = fingerprint(t)
+                    prints = _raw(t)
                     if before is None:
                         out.append({**nothing, "doc_id": i, "part": p, "kind": "first", "text": t, "fingerprint": prints})
                     else:
@@ -159,4 +167,5 @@ def with_neighbour(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             yield pa.RecordBatch.from_pylist([_edited(*r.values()) for r in b.to_pylist()], schema=EDITED)
 
-    return whole.unionByName(edge.mapInArrow(edges, EDITED_DDL))
+    every = whole.unionByName(edge.mapInArrow(edges, EDITED_DDL))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
