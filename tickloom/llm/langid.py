@@ -6,10 +6,10 @@ calibrates). Spark counts the character n-grams of each language; from the count
 the tables, whose size the sample bounds. All languages share one set of sorted hash arrays: an n-gram's
 row holds its interpolated log-probability in every language, a history's row the weight with which it
 backs off. A text's language is the one with the lowest cross-entropy per character over the whole text;
-letters are lower-cased, every run of other characters is one space.
+letters are lower-cased, words with digits in them and every run of other characters are one space.
 
 Rejection is calibrated on the held-back fifth: a text is rejected if its best cross-entropy is above
-mean + 6 deviations (which shrink with the root of its length) + half a nat for that language.
+mean + 8 deviations (which shrink with the root of its length) + one nat for that language.
 ``score`` is the posterior of the language, lowered by the excess over that bound.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. Ties go to the language whose
@@ -51,9 +51,19 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     each, and the number of letters per text."""
     enc = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
     n = np.array([len(e) // 4 for e in enc])
-    cps = _letters()[np.frombuffer(b"".join(enc), np.uint32)]
+    raw = np.frombuffer(b"".join(enc), np.uint32)
+    cps = _letters()[raw]
     doc = np.repeat(np.arange(len(texts)), n)
     letters = T.counts_by(doc[cps > 0], len(texts))
+    digit = (raw >= 0x30) & (raw <= 0x39)
+    if digit.any():  # keys and codes say nothing about the language: a run that holds a digit is no word
+        inside = digit | (cps > 0)
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
+        run = np.cumsum(begin)
+        coded = np.zeros(int(run[-1]) + 1, bool)
+        coded[run[digit]] = True
+        cps[inside & coded[run]] = 0
     keep = cps > 0
     keep[1:] |= (cps[:-1] > 0) & (doc[1:] == doc[:-1])  # the first of a run of other characters stays
     cps, doc = cps[keep], doc[keep]
@@ -320,7 +330,7 @@ def _predict(m: Model, tables, b: pa.RecordBatch) -> pa.RecordBatch:
     best = ce.argmin(axis=1)
     low = ce[np.arange(n_docs), best]
     post = 1.0 / np.exp(-(ce - low[:, None]) * n[:, None].clip(max=200)).sum(axis=1)
-    over = low - (m.bound[best, 0] + 6 * m.bound[best, 1] / np.sqrt(n) + 0.5)
+    over = low - (m.bound[best, 0] + 8 * m.bound[best, 1] / np.sqrt(n) + 1.0)
     und = letters == 0
     score = np.where(und, 0.0, post * np.exp(-np.maximum(over, 0) * np.sqrt(n).clip(max=10)))
     return batch(PREDICTED, doc_id=b.column(0), lang_pred=["und" if u else m.langs[i] for u, i in zip(und, best)], score=score,
