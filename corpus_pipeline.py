@@ -1,14 +1,14 @@
 """Corpus preparation from the operators of ``tickloom.llm``: each stage reads what the one before it kept.
 
 1. language_id drops documents without a letter and those the calibrated rejection turns away.
-2. near_duplicates keeps the first document (smallest id) of each group of similar ones.
+2. near_duplicates keeps the first row (smallest id, null ids last) of each group of similar ones.
 3. decontamination drops documents of which at least a twentieth stands in benchmark items.
 4. private_data masks personal data, also behind disguises, in the text.
 5. pieces encodes the masked texts with sampled segmentation.
 
 Stages take (spark, docs, sf_dir) and return the columns of ``documents`` (n_chars follows the text), the last one
-adds piece_ids and n_pieces. Rows with a null text are dropped by the first stage. Every stage treats rows that
-share a doc_id alike.
+adds piece_ids and n_pieces. Rows with a null text are dropped by the first stage. Rows are
+judged one by one, also those that share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of documents linked at 85 % of their four-word shingles."""
-    groups = ngram_join.join(docs, size=4, percent=85)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return ngram_join.firsts(docs, size=4, percent=85)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

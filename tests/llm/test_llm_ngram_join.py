@@ -85,6 +85,28 @@ def test_rows_that_repeat_are_all_answered(spark):
     assert sorted(tuple(r)[:3] for r in ngram_join.join(d).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (5, 2, 5)]
 
 
+def test_rows_without_an_id_and_with_a_shared_one_are_searched_by_themselves(spark):
+    near = near_copies(4, n=2, edits=1)
+    a, b = near[0][1], near[1][1]
+    d = documents(spark, [(None, a), (None, b), (None, "a b c d e"), (7, b), (7, "words of quite another kind"), (3, "x y z"), (3, "x y z"), (None, None), (None, "")])
+    got = sorted(tuple(r) for r in ngram_join.join(d).select("n_shingles", "n_links", "component_id", "doc_id").na.fill(-1).collect())
+    n = 147
+    assert got == [(0, 0, -1, -1), (0, 0, -1, -1), (1, 1, 3, 3), (1, 1, 3, 3), (2, 0, -1, -1), (2, 0, 7, 7), (n, 2, 7, -1), (n, 2, 7, -1), (n, 2, 7, 7)]
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    near = near_copies(4, n=3, edits=1)
+    a, b, c = (t for _, t in near)
+    other, third = "words of quite another kind", "a b c d e f"
+    d = documents(spark, [(None, a), (None, b), (7, c), (7, other), (8, other + " "), (2, third), (2, third), (2, third), (None, None), (None, None), (4, ""), (4, ""),
+                          (None, "k l m n o"), (None, "k l m n o"), (None, "alone in here it is")])
+    out = ngram_join.firsts(d)
+    assert out.columns == d.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(
+        [(7, c), (7, other), (2, third), (None, None), (None, None), (4, ""), (4, ""), (None, "k l m n o"), (None, "alone in here it is")], key=key)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

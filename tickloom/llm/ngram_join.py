@@ -18,8 +18,9 @@ the other's shingles, and T of its own n must occur elsewhere. The steps:
 5. Components of these rows are the classes.
 
 No caps: every list, candidate and document is used. Nulls, empty texts and texts without words have no
-shingles, link with nothing and are their own component. Rows that share a doc_id are answered one by one; as
-components are named by ids, their groups become one.
+shingles, link with nothing and are their own component. Rows are searched under a number of their own, so rows that
+share a doc_id or have none are answered one by one; a component is only named by its smallest doc_id (null if no
+row of it has one).
 Class identity compares 128-bit hashes of sets, overlap 64-bit hashes of shingles.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import exchange as X
 from tickloom.llm import text as T
-from tickloom.llm.columns import id_and_text, partitions
+from tickloom.llm.columns import id_and_text, partitions, unpacked
 from tickloom.llm.components import components
 from tickloom.session import cut
 
@@ -79,8 +80,8 @@ def _keys(h: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     return k[new], np.cumsum(new) - 1
 
 
-STATE = "doc_id long, n_shingles long, f1 long, f2 long, grams binary, rare array<long>"
-STATE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
+STATE = "doc_id long, k1 long, k2 long, n_shingles long, f1 long, f2 long, grams binary, rare array<long>"
+STATE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
                           ("grams", pa.binary()), ("rare", pa.list_(pa.int64()))])
 
 
@@ -108,7 +109,7 @@ def _state(texts: pa.Table, replies: pa.Table, size: int, percent: int, owners:
         rare[i] = h[lo:hi][first[df[lo:hi][first] > 1]].view(SIGNED)
     mask = ~on
     return pa.Table.from_arrays([
-        texts["doc_id"].combine_chunks(), pa.array(n), pa.array(f1.view(SIGNED), mask=mask), pa.array(f2.view(SIGNED), mask=mask),
+        *(texts[c].combine_chunks() for c in ("doc_id", "k1", "k2")), pa.array(n), pa.array(f1.view(SIGNED), mask=mask), pa.array(f2.view(SIGNED), mask=mask),
         pa.array(grams, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], schema=STATE_SCHEMA)
 
 
@@ -191,19 +192,24 @@ def _merged(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search_task(t: pa.Table, percent: int) -> pa.Table:
-    ids, weight = t["doc_id"].to_numpy(), t["class_size"].to_numpy()
+    ids, weight = t["row"].to_numpy(), t["class_size"].to_numpy()
     grams = [np.frombuffer(g.as_buffer(), U64) for g in t["grams"]]
     sizes = np.array([len(g) for g in grams])
     sides = t["side"].to_numpy()
     least, links = search(ids, weight, sizes, np.concatenate(grams), sides if sides.max() > 0 else None, percent)
-    return pa.Table.from_pydict({"doc_id": ids, "least": least, "links": links})
+    return pa.Table.from_pydict({"row": ids, "least": least, "links": links})
 
 
-def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents it links with) of every row."""
-    rows = id_and_text(docs, id_col, text_col)
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with 128 bits of their doc_id and text."""
+    return rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "text", "doc_id")})
+
+
+def _answered(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``join``'s answer to every row with its key (k1, k2), and whether that key is the first of its component."""
     owners = partitions(docs)
-    chunks = X.chunked(rows)
+    # by id and text, so that rows without an id are not one chunk
+    chunks = _keyed(id_and_text(docs, id_col, text_col)).withColumn("chunk", F.pmod("k1", F.lit(4 * owners)).cast("int"))
 
     def keys_of(chunk, t):
         h, d, _ = sets(t["text"], size)
@@ -211,38 +217,62 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
         return X.post(chunk, keys, owners, False, np.bincount(of, minlength=len(keys)).astype(np.uint32))
 
     replies = X.exchange(chunks, keys_of, owners)
-    state = cut(X.finish(chunks, replies, lambda t, r: _state(t, r, size, percent, owners), STATE))
+    state = X.finish(chunks, replies, lambda t, r: _state(t, r, size, percent, owners), STATE)
+    state = cut(state.withColumn("row", F.monotonically_increasing_id()))  # fixed by being written
 
     alive = state.where("f1 is not null")
-    classes = cut(alive.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
-    reps = classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "class_size")
-    lists = alive.select("doc_id", "f1", "f2", "rare").join(reps, ["doc_id", "f1", "f2"]).select("doc_id", F.explode("rare").alias("gram"))
-    lists = cut(lists)
-    heads = lists.groupBy("gram").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head <> other")
-    groups = cut(components(lists.join(heads, "gram").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))))
-    sized = reps.join(alive.select("doc_id", "f1", "f2", "n_shingles"), ["doc_id", "f1", "f2"]).join(groups, F.col("doc_id") == F.col("node"))
+    classes = cut(alive.groupBy("f1", "f2", "n_shingles").agg(
+        F.min("row").alias("rep"), F.count("*").alias("class_size"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first")))
+    reps = classes.select(F.col("rep").alias("row"), "class_size")
+    lists = cut(alive.select("row", "rare").join(reps, "row").select("row", F.explode("rare").alias("gram")))
+    heads = lists.groupBy("gram").agg(F.min("row").alias("head"), F.max("row").alias("other")).where("head <> other")
+    groups = cut(components(lists.join(heads, "gram").select(F.col("row").alias("a"), F.col("head").alias("b"))))
+    sized = reps.join(alive.select("row", "n_shingles"), "row").join(groups, F.col("row") == F.col("node"))
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
     placed = (
         sized.join(blocks, "component")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "f1", "f2", "class_size",
+        .select("row", "class_size",
                 F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("component"), F.lit(4 * owners)).alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j")))
                 .otherwise(F.struct(F.col("component").alias("key"), (F.least("block", "partner") + 1).alias("i"),
                                     (F.greatest("block", "partner") + 1).alias("j"))).alias("task"),
                 # within one block every pair counts, between two only pairs from both
                 F.when(F.col("partner") == F.col("block"), 0).when(F.col("block") < F.col("partner"), 1).otherwise(2).alias("side")))
-    found = cut(placed.join(alive.select("doc_id", "f1", "f2", "grams"), ["doc_id", "f1", "f2"])
-                .select("task", "doc_id", "class_size", "grams", "side").groupBy("task")
-                .applyInArrow(lambda t: _search_task(t, percent), "doc_id long, least long, links long"))
-    linked = components(found.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-    per_rep = (found.groupBy("doc_id").agg(F.sum("links").alias("links")).join(linked, F.col("doc_id") == F.col("node"), "left")
-               .select(F.col("doc_id").alias("rep"), "links", "component"))
+    found = cut(placed.join(alive.select("row", "grams"), "row")
+                .select("task", "row", "class_size", "grams", "side").groupBy("task")
+                .applyInArrow(lambda t: _search_task(t, percent), "row long, least long, links long"))
+    linked = components(found.select(F.col("row").alias("a"), F.col("least").alias("b")))
+    per_rep = (found.groupBy("row").agg(F.sum("links").alias("links")).join(linked, F.col("row") == F.col("node"), "left")
+               .select(F.col("row").alias("rep"), "links", "component"))
     # one row per class; only then the copies, in one join whose hot classes adaptive execution can split
-    labelled = classes.join(per_rep, "rep", "left").select(
-        "f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
-    done = (alive.select("doc_id", "f1", "f2", "n_shingles").join(cut(labelled), ["f1", "f2", "n_shingles"])
-            .select("doc_id", "n_shingles", "component_id", "n_links"))
-    alone = state.where("f1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    labelled = cut(classes.join(per_rep, "rep", "left").select(
+        "f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"), "first",
+        (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links")))
+    named = labelled.groupBy("component").agg(F.min("first").alias("first"), F.min("first.doc_id").alias("component_id"))
+    done = (alive.select("doc_id", "k1", "k2", "f1", "f2", "n_shingles")
+            .join(cut(labelled.drop("first").join(named, "component")), ["f1", "f2", "n_shingles"])
+            .select("doc_id", "k1", "k2", "n_shingles", "component_id", "n_links",
+                    ((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))).alias("first")))
+    alone = state.where("f1 is null").select("doc_id", "k1", "k2", "n_shingles", F.col("doc_id").alias("component_id"),
+                                             F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return done.unionByName(alone)
+
+
+def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other rows it links with) of every row."""
+    return _answered(docs, size, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def firsts(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component: the smallest id (null ids last), of rows that repeat it any one."""
+    answered = _answered(docs, size, percent, id_col, text_col).where("first")
+    # keys are one component's, except those of texts without words, whose rows all stay
+    keys = cut(answered.groupBy("k1", "k2").agg(((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated")))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = _keyed(docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    kept = rows.select("row", "k1", "k2").join(keys, ["k1", "k2"])
+    if not keys.where("repeated").isEmpty():
+        kept = kept.where("not repeated").unionByName(kept.where("repeated").dropDuplicates(["k1", "k2"]))
+    return unpacked(kept, docs)
