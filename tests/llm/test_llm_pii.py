@@ -66,6 +66,41 @@ def test_clean_texts_stay_clean(text):
     assert pii.find_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text,kind,want", [
+    ("call plus 49 170 1234567 now", "phone", "plus 49 170 1234567"),
+    ("bob at host . com", "email", "bob at host . com"),
+    ("2 378282246310005", "card", "378282246310005"),
+    ("378282246310005 77", "card", "378282246310005"),
+    ("12 3782 822463 10005", "card", "3782 822463 10005"),
+    ("3782 822463 10005 4845 1681 1440 7329", "card", "3782 822463 10005"),
+    ("9 37828 22463 10005", "card", "37828 22463 10005"),
+])
+def test_numbers_beside_others_and_signs_that_open_the_gate(text, kind, want):
+    base, added = pii.find_spans(text)
+    assert (kind, want) in [(k, text[s:e]) for k, s, e in base + added]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["plus", "Plus", "one", "(two", "_six", "s\u0131x", "7", "49", "1234567", "0l", "dot", "po\u0131nt", ".", "at", "@", "bob", "host", "com",
+                                 "host.com", "a@b", "(at)", "[", "&#64;", "%40", "10", "\u0661", "é", "-", ","]), max_size=14), st.sampled_from([" ", " ", ""]))
+def test_the_gate_changes_nothing(words, glue):
+    text = glue.join(words)
+    gated = pii.find_spans(text)
+    fires, pii.fires = pii.fires, lambda _: True
+    try:
+        assert pii.find_spans(text) == gated
+    finally:
+        pii.fires = fires
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("0123456789", min_size=1, max_size=8), max_size=12))
+def test_ranges_of_groups_that_pass_as_a_card(groups):
+    want = [(i, j) for i in range(len(groups)) for j in range(len(groups), i, -1)
+            if 13 <= len("".join(groups[i:j])) <= 19 and pii.luhn("".join(groups[i:j]))]
+    assert list(pii._cards(groups)) == want
+
+
 def test_linear_on_long_runs():
     t = time.process_time()
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "a@" * 150_000, "one " * 100_000, "+1 " * 100_000, "(" * 200_000, "1 l " * 80_000):

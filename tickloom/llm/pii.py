@@ -73,7 +73,7 @@ def detect(text: str, missed: list | None = None) -> list[tuple[str, int, int]]:
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
                 out.append(("card", m.start(), m.end()))
-            elif missed is not None and len(digits) > 16:
+            elif missed is not None and len(digits) >= 13:
                 missed.append(("card", m))
     if "+" in text:
         for m in PHONE.finditer(text):
@@ -89,8 +89,9 @@ GROUP = re.compile(r"[0-9]+")
 
 
 def recovered(missed: list) -> Iterator[tuple[str, int, int]]:
-    """Numbers inside a run that was too long for its check because they stand next to each other: groups of 13 to
-    19 digits or four groups of four that pass as a card, and the digit groups after a plus that make a phone."""
+    """Numbers inside a run that failed its check because they stand next to others: the digit groups after a plus that
+    make a phone, and consecutive groups of 13 to 19 digits that pass as a card. Cards of the usual shapes (one group,
+    4-4-4-4, 4-6-5) come first; of the other sequences those that hold or lie in a found card are left out."""
     for kind, m in missed:
         groups = [(g.start() + m.start(), g.end() + m.start()) for g in GROUP.finditer(m[0])]
         if kind == "phone":
@@ -103,16 +104,47 @@ def recovered(missed: list) -> Iterator[tuple[str, int, int]]:
             if end:
                 yield "phone", m.start(), end
             continue
-        i = 0
-        while i < len(groups):
-            s, e = groups[i]
-            four = [b - a for a, b in groups[i:i + 4]] == [4, 4, 4, 4]
-            if 13 <= e - s <= 19 and luhn(m.string[s:e]):
-                yield "card", s, e
-            elif four and luhn("".join(m.string[a:b] for a, b in groups[i:i + 4])):
-                yield "card", s, groups[i + 3][1]
-                i += 3
-            i += 1
+        usual, others = [], []
+        for i, j in _cards([m.string[s:e] for s, e in groups]):
+            size = tuple(e - s for s, e in groups[i:j])
+            (usual if j - i == 1 or size in ((4, 4, 4, 4), (4, 6, 5)) else others).append((i, j))
+        # both lists ascend by start, for each start the longest comes first
+        taken, end = [], 0
+        for i, j in usual:
+            if i >= end:
+                taken.append((i, j))
+                end = j
+        starts, stops = [i for i, _ in taken], [j for _, j in taken]
+        reach = 0
+        for i, j in others:
+            k = bisect.bisect_left(starts, i)
+            holds = k < len(starts) and stops[k] <= j
+            inside = j <= reach or k < len(starts) and starts[k] == i and j <= stops[k] or k > 0 and j <= stops[k - 1]
+            if not holds and not inside:
+                taken.append((i, j))
+                reach = j
+        for i, j in taken:
+            yield "card", groups[i][0], groups[j - 1][1]
+
+
+def _cards(groups: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive groups with 13 to 19 digits that pass the Luhn check, from prefix sums of both parities."""
+    at = [0]
+    for g in groups:
+        at.append(at[-1] + len(g))
+    sums = ([0], [0])
+    for k, c in enumerate("".join(groups)):
+        n = int(c)
+        sums[k % 2].append(sums[k % 2][-1] + n)
+        sums[1 - k % 2].append(sums[1 - k % 2][-1] + (2 * n - 9 if n > 4 else 2 * n))
+    for i in range(len(groups)):
+        last = bisect.bisect_right(at, at[i] + 19) - 1
+        for j in range(last, i, -1):
+            if at[j] - at[i] < 13:
+                break
+            plain = sums[(at[j] - 1) % 2]  # the last digit counts once
+            if (plain[at[j]] - plain[at[i]]) % 10 == 0:
+                yield i, j
 
 
 # Characters that look like ASCII ones, invisible characters, digit words.
@@ -204,29 +236,37 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     return [(lo, marks[i + 1][0] if i + 1 < len(marks) else hi, new) for i, (lo, hi, new) in enumerate(marks)]
 
 
+TOKEN = re.compile(r"[^\W_]+")
+
+
 def _spelled(low: str) -> bool:
-    """Whether two digits, one of them a word, stand next to each other (a quick test before the patterns)."""
-    tokens = low.replace("-", " ").replace(",", " ").split()
-    if WORD_SET.isdisjoint(tokens):  # of two neighbours the first at least ends in a blank, hyphen or comma
+    """Whether a digit word stands before another one or a number (a quick test before the patterns)."""
+    tokens = TOKEN.findall(low)
+    if WORD_SET.isdisjoint(tokens):
         return False
-    is_word = [t.rstrip(".;:!?)") in DIGIT_WORDS for t in tokens]
-    return any(w and (is_word[i + 1:i + 2] == [True] or tokens[i + 1:i + 2] and tokens[i + 1][0].isdigit() or i and tokens[i - 1][-1].isdigit())
-               for i, w in enumerate(is_word) if w)
+    return any(a in WORD_SET and (b in WORD_SET or b[0] in "0123456789") for a, b in zip(tokens, tokens[1:]))
+
+
+def fires(text: str) -> bool:
+    """Whether some transducer may change the text; without it none does."""
+    low = text.lower()
+    if not text.isascii():
+        if any(ord(c) in TABLE for c in set(text)):
+            return True
+        low = low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")  # letters the patterns take for i and s
+    return (
+        " @ " in text or " . " in text or any(w in low for w in DOT_WORDS) or any(c in text for c in "[({<") and IN_BRACKETS.search(text) is not None
+        or ("&" in text or "%40" in text) and ENTITY.search(text) is not None
+        or "plu" in low and PLUS.search(text) is not None or _spelled(low) or LETTERS_IN_DIGITS.search(text) is not None)
 
 
 def normalise(text: str) -> Mapped | None:
     """The normalised text with its offsets; None where no transducer fires."""
-    odd = not text.isascii() and any(ord(c) in TABLE for c in set(text))
-    entity = ("&" in text or "%40" in text) and ENTITY.search(text) is not None
-    low = text.lower()
-    signs = " @ " in text or any(w in low for w in DOT_WORDS) or any(c in text for c in "[({<") and IN_BRACKETS.search(text) is not None
-    if not (odd or entity or signs or _spelled(low) or LETTERS_IN_DIGITS.search(text)):
+    if not fires(text):
         return None
     m = Mapped(text)
-    if odd:
-        m.rewrite([(x.start(), x.end(), TABLE[ord(x[0])]) for x in ODD.finditer(m.text)])
-    if entity:
-        m.rewrite([(x.start(), x.end(), "@" if re.search("64|40|commat", x[0], re.I) else ".") for x in ENTITY.finditer(m.text)])
+    m.rewrite([(x.start(), x.end(), TABLE[ord(x[0])]) for x in ODD.finditer(m.text)])
+    m.rewrite([(x.start(), x.end(), "@" if re.search("64|40|commat", x[0], re.I) else ".") for x in ENTITY.finditer(m.text)])
     m.rewrite([e for x in SPELLED.finditer(m.text) for e in _digits(x)])
     m.rewrite([(x.start(), x.end(), "+") for x in PLUS.finditer(m.text)])
     m.rewrite([(x.start(), x.end(), "@" if x["at"] else ".") for x in BRACKETED.finditer(m.text)])
