@@ -1,4 +1,6 @@
+import gc
 import re
+import weakref
 
 import pytest
 from llm_frames import documents, odd_texts, rows
@@ -55,3 +57,34 @@ def test_empty_tables_and_repeated_rows(spark):
     assert [r.n_hit for r in dc.digest(dc.find(d, b.where("false"))).collect()] == [0, 0, 0]
     assert sorted((r.doc_id, r.n_hit) for r in dc.digest(dc.find(d, b)).collect()) == [(1, 2), (1, 2), (2, 0)]
     assert rows(dc.clean(d, b)).keys() == {2}
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 10])
+def test_rows_are_judged_by_their_own_text_in_one_block_or_many(spark, block_words):
+    item = " ".join(f"q{i}" for i in range(14))
+    other = " ".join(f"z{i}" for i in range(13))
+    plain = " ".join(f"n{i}" for i in range(30))
+    texts = [(1, item), (1, plain), (None, item + " x"), (None, plain), (None, other), (2, plain), (2, plain), (3, other), (3, None), (3, other)]
+    b = spark.createDataFrame([(5, item), (6, other), (7, "r s t u v w"), (8, item)], "item_id long, text string")
+    d = documents(spark, texts)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in dc.digest(dc.find(d, b, block_words=block_words)).collect())
+    assert got == sorted([(1, 14, 14, 2), (1, 30, 0, 0), (0, 15, 14, 2), (0, 30, 0, 0), (0, 13, 13, 1), (2, 30, 0, 0), (2, 30, 0, 0), (3, 13, 13, 1), (3, 0, 0, 0), (3, 13, 13, 1)])
+    kept = dc.clean(d, b, block_words=block_words)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, plain), (1, plain), (2, plain), (2, plain), (3, "")]
+
+
+def test_the_driver_holds_one_block_at_a_time(spark, monkeypatch):
+    texts, items = case()
+    built, real = [], dc.item_windows
+
+    def watched(*args):
+        gc.collect()
+        assert not any(w() is not None for w in built)
+        out = real(*args)
+        built.extend(weakref.ref(i.shingles) for i in out)
+        return out
+
+    monkeypatch.setattr(dc, "item_windows", watched)
+    dc.find(documents(spark, texts[:5]), spark.createDataFrame(items, "item_id long, text string"), block_words=1500)
+    assert len(built) > 1

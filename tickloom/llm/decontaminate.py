@@ -7,12 +7,13 @@ where the window would have to start (positional bound) and end (length bound),
 place are compared with the window by two independent 64-bit hashes of all its words.
 
 Two passes over the documents and no shuffle of them: one counts the benchmark's shingles, one finds and
-verifies. The benchmark is taken in blocks of at most ``block_words`` words (one block up to a million
-words, about 100 MB on the driver and in a task), so what is sent to the tasks is bounded whatever its size; hits of
-several blocks are united per document.
+verifies. The benchmark is taken in blocks of about ``block_words`` words (one block up to a million
+words, about 100 MB on the driver and in a task; an item is not divided). Of several blocks each is searched before
+the next is built and leaves only the hits in the shared folder, so driver and tasks hold one block whatever the
+benchmark's size; the hits are united per text, on which alone they depend (by 128 bits of it).
 
-Null and empty texts have no words; null items are no items. Repeated rows are answered each (per
-distinct doc_id when several blocks are united); repeated item texts count as one item per item_id.
+Null and empty texts have no words; null items are no items. Rows are answered one by one, also those that share
+a doc_id or have none; repeated item texts count as one item per item_id.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import text as T
 from tickloom.llm.columns import batch, carried, id_and_text, mapped, unpacked
+from tickloom.session import cut
 
 WINDOW = 13
 SHINGLE = 3
@@ -209,34 +211,43 @@ def _find(piece: pa.RecordBatch, tables) -> pa.RecordBatch:
     return batch(HITS, doc_id=piece.column(0), n_words=n, hits=hits, items=found)
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, item_col: str, item_text: str) -> list:
-    """The windows and prefix tokens of each block of the benchmark."""
+def _items(benchmark: DataFrame, block_words: int, item_col: str, item_text: str) -> tuple[DataFrame, int]:
+    """The items, and in how many blocks they are taken."""
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     bench = bench.where("item_id is not null and text is not null")
     size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n // 2
-    n_blocks = max(1, -(-size // block_words))
-    out = []
-    for k in range(n_blocks):
-        block = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).toArrow()
-        per_size = item_windows(block.column(0).to_numpy(), block.column(1).combine_chunks()) if len(block) else []
-        if per_size:
-            counts = shingle_counts(docs, np.concatenate([i.shingles.ravel() for i in per_size]), [i.size for i in per_size])
-            out.append([(i, prefixes(i, counts)) for i in per_size])
-    return out or [[]]
+    return bench, max(1, -(-size // block_words))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000,
-         id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, hits (word ranges, disjoint), items (ids of items with an occurring window)."""
-    docs = id_and_text(docs, id_col, text_col)
-    parts = [mapped(docs, _task(b), HITS_DDL) for b in _blocks(docs, benchmark, window, block_words, item_col, item_text)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
-                                         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+def _block(docs: DataFrame, bench: DataFrame, k: int, n_blocks: int) -> list[tuple[Items, Prefix]]:
+    """The windows and prefix tokens of one block of the benchmark."""
+    block = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).toArrow()
+    per_size = item_windows(block.column(0).to_numpy(), block.column(1).combine_chunks()) if len(block) else []
+    if not per_size:
+        return []
+    counts = shingle_counts(docs, np.concatenate([i.shingles.ravel() for i in per_size]), [i.size for i in per_size])
+    return [(i, prefixes(i, counts)) for i in per_size]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with 128 bits of the text."""
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+
+def _block_hits(docs: DataFrame, bench: DataFrame, k: int, n_blocks: int) -> DataFrame:
+    """One row per text in which a window of the block occurs, written to the shared folder."""
+    found = carried(_keyed(docs), _task(_block(docs, bench, k, n_blocks)), HITS_DDL).where(F.size("hits") > 0)
+    found = found.select(F.col("row.t1").alias("t1"), F.col("row.t2").alias("t2"), "n_words", "hits", "items")
+    return cut(found.groupBy("t1", "t2").agg(*(F.first(c).alias(c) for c in ("n_words", "hits", "items"))))
+
+
+def _text_hits(docs: DataFrame, bench: DataFrame, n_blocks: int) -> DataFrame:
+    """t1, t2, n_words, hits and items of the texts with hits, over all blocks."""
+    every = _block_hits(docs, bench, 0, n_blocks)
+    for k in range(1, n_blocks):
+        every = every.unionByName(_block_hits(docs, bench, k, n_blocks))
+    merged = every.groupBy("t1", "t2").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
+                                           F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     union = F.aggregate(  # overlapping ranges become one
         F.array_sort("hits"), F.expr("cast(array() as array<struct<start:int,end:int>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).end >= x.start), F.concat(
@@ -247,17 +258,32 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     return merged.withColumn("hits", union)
 
 
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000,
+         id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, n_words, hits (word ranges, disjoint), items (ids of items with an occurring window)."""
+    docs = id_and_text(docs, id_col, text_col)
+    bench, n_blocks = _items(benchmark, block_words, item_col, item_text)
+    if n_blocks == 1:
+        return mapped(docs, _task(_block(docs, bench, 0, 1)), HITS_DDL)
+    found = _text_hits(docs, bench, n_blocks).drop("n_words").withColumnsRenamed({"hits": "h", "items": "i"})
+    rows = carried(_keyed(docs), _task([]), HITS_DDL).select(F.col("row.t1").alias("t1"), F.col("row.t2").alias("t2"), "doc_id", "n_words", "hits", "items")
+    return rows.join(found, ["t1", "t2"], "left").select(
+        "doc_id", "n_words", F.coalesce("h", "hits").alias("hits"), F.coalesce("i", "items").alias("items"))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000, share: int = 20,
           id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated (fewer than 1/share of their words hit)."""
-    blocks = _blocks(id_and_text(docs, id_col, text_col), benchmark, window, block_words, item_col, item_text)
+    texts = id_and_text(docs, id_col, text_col)
+    bench, n_blocks = _items(benchmark, block_words, item_col, item_text)
     n_hit = F.aggregate("hits", F.lit(0), lambda acc, x: acc + x.end - x.start)
-    if len(blocks) == 1:
-        rows = carried(docs, _task(blocks[0]), HITS_DDL, id_col, text_col)
+    if n_blocks == 1:
+        rows = carried(docs, _task(_block(texts, bench, 0, 1)), HITS_DDL, id_col, text_col)
         return unpacked(rows.where((n_hit == 0) | (share * n_hit < F.col("n_words"))), docs)
-    found = find(docs, benchmark, window, block_words, id_col, text_col, item_col, item_text)
-    bad = found.where((n_hit > 0) & (share * n_hit >= F.col("n_words"))).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs[id_col].cast("long") == F.col("_bad"), "left_anti")
+    bad = _text_hits(texts, bench, n_blocks).where((n_hit > 0) & (share * n_hit >= F.col("n_words"))).select("t1", "t2")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = _keyed(docs.select(row, F.col(text_col).cast("string").alias("text")))
+    return unpacked(rows.join(bad, ["t1", "t2"], "left_anti"), docs)
 
 
 def digest(found: DataFrame, share: int = 20) -> DataFrame:
