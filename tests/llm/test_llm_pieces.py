@@ -79,3 +79,24 @@ def test_a_sampler_that_starts_anew_gives_the_same(vocabulary):
     small.LIMIT = 10
     got = [pieces._encode(small, keys[i:i + 1], data[offs[i]:offs[i + 1]], np.array([0, len(text)]), 1)[1] for i in range(3)]
     assert (np.concatenate(got) == want).all()
+
+
+@pytest.mark.parametrize("draw", [0, 2**64 - 1])
+def test_extreme_draws_stay_in_their_lattice(vocabulary, monkeypatch, draw):
+    text = b"understanding a rather long and unusual sentence " * 40
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    sampler = pieces.Sampler(vocabulary, False)
+    start = np.arange(0, len(text) - 20, 20)
+    which = sampler.slots(data, start, start + 20)
+    monkeypatch.setattr(pieces.T, "mix", lambda x: np.full(len(x), draw, np.uint64))
+    many, out = sampler.sample(which, np.zeros(len(start), np.uint64))
+    assert vocabulary.join(out) in (text[:start[-1] + 20], text[1:start[-1] + 20])
+    assert len(out) == many.sum()
+
+
+def test_shares_do_not_depend_on_the_other_strings(vocabulary):
+    one = np.frombuffer(b"internationalisation", np.uint8)
+    alone = pieces._lattice(vocabulary, one, np.array([0, len(one)]), False)
+    before = np.frombuffer(b"sometimes other words " * 500, np.uint8)
+    both = pieces._lattice(vocabulary, np.concatenate((before, one)), np.array([0, len(before), len(before) + len(one)]), False)
+    assert (both[5][-len(alone[5]):] == alone[5]).all()

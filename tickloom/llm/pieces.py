@@ -114,7 +114,7 @@ def _lattice(v: Vocabulary, data: np.ndarray, offs: np.ndarray, best: bool):
     """Forward-filtered lattices of distinct byte strings; node ``offs[c] + c + j`` lies after j bytes of string c.
 
     Returns first and last node of every string, and of every edge, sorted by the node it ends in: the node
-    it starts from, its piece, and end node + cumulative probability among the edges into that node.
+    it starts from, its piece, its end node, and the cumulative probability among the edges into that node.
     """
     n = len(offs) - 1
     size = np.diff(offs)
@@ -135,7 +135,7 @@ def _lattice(v: Vocabulary, data: np.ndarray, offs: np.ndarray, best: bool):
             break
     at, length, piece = np.concatenate(at), np.concatenate(length), np.concatenate(piece)
     a = at + owner[at]
-    order = np.argsort(((a + length) << 6) | length)
+    order = np.argsort(((a + length) << 6) | length, kind="stable")  # a byte has two edges if it is a piece, too
     a, length, piece = a[order], length[order], piece[order]
     b = a + length
     first, last = offs[:-1] + np.arange(n), offs[1:] + np.arange(n)
@@ -160,9 +160,11 @@ def _lattice(v: Vocabulary, data: np.ndarray, offs: np.ndarray, best: bool):
         p = (np.arange(len(b)) == later).astype(float)
     else:
         p = np.exp(p)
-    cum = np.cumsum(p)
-    base = cum[new] - p[new]
-    share = (cum - np.repeat(base, many)) / np.repeat(cum[new + many - 1] - base, many)
+    share = p.copy()  # summed inside each node, so that it does not depend on the other strings
+    for k in range(1, int(many.max(initial=0))):
+        e = new[many > k] + k
+        share[e] += share[e - 1]
+    share /= np.repeat(share[new + many - 1], many)
     share[new + many - 1] = 1.0
     return first, last, a, piece, b, share
 
@@ -180,7 +182,8 @@ class Sampler:
         self.hash = np.zeros(0, U64)
         self.first = self.last = np.zeros(0, np.int32)
         self.edge_from = self.edge_piece = np.zeros(0, np.int32)
-        self.cumulative = np.zeros(0)
+        self.share = np.zeros(0)  # of an edge and those before it among the edges into its node
+        self.begin = np.zeros(1, np.int32)  # where each node's edges begin, and their number
         self.nodes = 0
 
     def slots(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -199,8 +202,10 @@ class Sampler:
             self.last = np.concatenate((self.last, (last + self.nodes).astype(np.int32)))
             self.edge_from = np.concatenate((self.edge_from, (a + self.nodes).astype(np.int32)))
             self.edge_piece = np.concatenate((self.edge_piece, piece.astype(np.int32)))
-            self.cumulative = np.concatenate((self.cumulative, b + self.nodes + share))
-            self.nodes += int(offs[-1]) + len(new)
+            self.share = np.concatenate((self.share, share))
+            many = np.bincount(b, minlength=int(offs[-1]) + len(new))
+            self.begin = np.concatenate((self.begin, (self.begin[-1] + np.cumsum(many)).astype(np.int32)))
+            self.nodes += len(many)
             hashes = np.concatenate((self.hash, uniq[~known]))
             slot = np.concatenate((self.slot if len(self.hash) else np.zeros(0, np.int64), np.arange(len(self.first) - len(new), len(self.first))))
             order = np.argsort(hashes)
@@ -208,6 +213,15 @@ class Sampler:
             i = np.searchsorted(self.hash, uniq)
         return self.slot[i][which]
 
+    def _edge(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The first edge into each node whose share is above u, by halving the node's own range (the last share is 1)."""
+        lo, hi = self.begin[node], self.begin[node + 1] - 1
+        for _ in range(int((hi - lo).max()).bit_length()):
+            mid = (lo + hi) >> 1
+            after = self.share[mid] <= u
+            lo, hi = np.where(after, np.minimum(mid + 1, hi), lo), np.where(after, hi, mid)
+        return lo
+
     def sample(self, which: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path for each occurrence of lattice ``which``: piece counts, and all pieces in text order."""
         live = np.argsort(which)  # equal strings together: the tables are read in order
@@ -215,7 +229,7 @@ class Sampler:
         steps = []
         while len(live):
             u = (T.mix(seed + (node - first).astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(11)) * 2.0 ** -53
-            e = np.searchsorted(self.cumulative, node + u, "right")
+            e = self._edge(node, u)
             steps.append((live, self.edge_piece[e]))
             node = self.edge_from[e]
             on = np.flatnonzero(node > first)
