@@ -254,6 +254,28 @@ u AS (SELECT symbol, ts, open, high, low, close, volume FROM n WHERE ts >= TIMES
 SELECT symbol, ts, {OHLC} FROM u"""
 
 
+def s9_thirds(s, sf):
+    """Old bars of every second tick up to two thirds of the table's time, new ones of all ticks from one third on."""
+    t = ticks(s, sf)
+    e = t.agg(F.min(F.unix_seconds("ts")).alias("lo"), F.max(F.unix_seconds("ts")).alias("hi"))
+    e = e.selectExpr("lo + (hi - lo) div 3 AS a", "lo + 2 * (hi - lo) div 3 AS z")
+    at = F.unix_seconds("ts")
+    old = resample(t.filter(F.col("seq") % 2 == 0), "1h", order=["ts", "seq"], price="price").crossJoin(e).filter(at < F.col("z")).drop("a", "z")
+    new = resample(t, "1h", order=["ts", "seq"], price="price").crossJoin(e).filter(at >= F.col("a")).drop("a", "z")
+    return files.merge_append(old, new).select(*BAR6)
+
+
+Q["s9_merge_append_thirds"] = s9_thirds
+S["s9_merge_append_thirds"] = f"""WITH e0 AS (SELECT floor(epoch(min(ts)))::BIGINT AS lo, floor(epoch(max(ts)))::BIGINT AS hi FROM events), e AS (SELECT lo + (hi - lo) // 3 AS a, lo + 2 * (hi - lo) // 3 AS z FROM e0),
+k AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(value, (events.ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+ arg_max(value, (events.ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2),
+h AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(value, (events.ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+ arg_max(value, (events.ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+n AS (SELECT k.* FROM k, e WHERE epoch(ts) >= a),
+u AS (SELECT * FROM n UNION ALL SELECT h.* FROM h, e WHERE epoch(ts) < z AND (symbol, ts) NOT IN (SELECT (symbol, ts) FROM n))
+SELECT symbol, ts, {OHLC} FROM u"""
+
+
 def s10(s, sf):
     path = scratch(s, "parquet")
     d = bars(s, sf).select(*BAR6)

@@ -291,8 +291,13 @@ SELECT g.ts, {r('dd', 'drawdown')}, {r('coalesce(s, 1)', 'risk_score')}, {r('CAS
 GRID = {"rsi_low": [40, 45], "rsi_high": [55, 60], "rsi_len": [7, 14], "boll_window": [10, 20], "boll_mult": [0.5, 1.0], "min_gap_bars": [5, 15]}
 
 
-def d19(s, sf):
-    m = sw.meanrev_sweep(bars(s, sf), GRID)
+#: The reference's own grid (app2/config.json): 2,160 combinations.
+FULL_GRID = {"rsi_low": [20, 25, 30, 35], "rsi_high": [65, 70, 75, 80], "rsi_len": [10, 14, 20], "boll_window": [14, 20, 30], "boll_mult": [1.5, 2.0, 2.5],
+             "min_gap_bars": [10, 15, 20, 25, 30]}
+
+
+def d19(s, sf, grid=GRID):
+    m = sw.meanrev_sweep(bars(s, sf), grid)
     return m.select("symbol", "combo", *sw.DEFAULTS, "bars", "trade_count", "total_return", "max_drawdown", "sharpe_proxy", "sortino_proxy", "profit_factor", "exposure_total",
                     F.round("turnover", 1).alias("turnover"), F.round("score", 5).alias("score"))
 
@@ -314,6 +319,7 @@ SELECT symbol, pk.combo, rsi_len, rsi_low, rsi_high, bb_len, bb_k, gap, bars, tr
 
 Q["d19_meanrev_sweep"] = d19
 S["d19_meanrev_sweep"] = d19_sql()
+Q["d19_meanrev_full_grid"] = lambda s, sf: d19(s, sf, FULL_GRID)  # no SQL: the same sweep, which d19_meanrev_sweep compares
 
 
 def d20_base(s, sf):
