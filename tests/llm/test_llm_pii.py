@@ -118,3 +118,10 @@ def test_masking_keeps_the_other_columns_and_every_row(spark):
     found = rows(pii.digest(pii.find(d)))
     assert (found[1].n_email, found[1].spans, found[4].n_phone, found[4].n_disguised) == (1, "email:2:10", 1, 1)
     assert pii.find(d.where("false")).count() == 0
+
+
+def test_parts_of_any_length():
+    """Addresses of which a part is longer than the digits Python converts at once."""
+    zeros = "0" * 5000
+    assert pii.detect(f"{zeros}.1.1.1") == [("ip", 0, 5006)]
+    assert pii.detect(f"{zeros}256.1.1.1") == [] and pii.detect(f"1.1.1.{'9' * 5000}") == []

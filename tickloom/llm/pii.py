@@ -66,7 +66,7 @@ def detect(text: str, missed: list | None = None) -> list[tuple[str, int, int]]:
     out = list(emails(text))
     if IP_HINT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
