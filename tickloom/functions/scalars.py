@@ -26,6 +26,13 @@ def safe_divide(a: Column | str, b: Column | str, default: float | None = None,
     return F.when(F.abs(b) > eps, F.try_divide(a, b)).otherwise(F.lit(default).cast("double"))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: Pearson correlation of the pairs without a null; null where a side does not vary (``corr`` ends the job there)."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def clip(x: Column | str, lo: float, hi: float) -> Column:
     """Limit to [lo, hi]; null stays null."""
     x = col(x)

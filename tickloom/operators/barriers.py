@@ -110,5 +110,5 @@ def outcomes_by_rule(bars: DataFrame, rules: Mapping[str, Barriers], side: str =
         *keys, F.col("r.rule").alias("rule"), F.col("e_bar").alias("bar"), "entry_ts", "entry_price", "direction",
         F.col("x.ts").alias("exit_ts"), (F.col("x.bar") - F.col("e_bar")).alias("bars_held"),
         F.col("x.outcome").alias("outcome"), F.col("x.exit_price").alias("exit_price"),
-        ((F.col("x.exit_price") / e - 1.0) * s).alias("ret"),
+        ((F.try_divide("x.exit_price", e) - 1.0) * s).alias("ret"),
     )

@@ -63,7 +63,7 @@ def trade_log(df: DataFrame, side: str = "signal", commission: float = COMMISSIO
     g = g.withColumns({"pnl_gross": (x - e) * s, "pnl_abs": (x - e) * s - cost})
     return g.select(
         *keys, "trade_id", "entry_ts", "exit_ts", "entry_price", "exit_price", "direction", "bars_held",
-        (F.col("pnl_gross") / e).alias("ret_gross"), "pnl_abs", (F.col("pnl_abs") / e).alias("ret_net"),
+        F.try_divide("pnl_gross", e).alias("ret_gross"), "pnl_abs", F.try_divide("pnl_abs", e).alias("ret_net"),
         F.greatest(F.col("_best") - s * e, F.lit(0.0)).alias("mfe"),
         F.least(F.col("_worst") - s * e, F.lit(0.0)).alias("mae"), "exit_reason",
     )

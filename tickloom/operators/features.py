@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import finite
+from tickloom.functions.scalars import correlation, finite
 from tickloom.operators import indicators as I
 from tickloom.operators.blocks import block_window, blocked, core, join_safe, prefix
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
@@ -145,7 +145,7 @@ def micro_pack(bars: DataFrame, keep_nulls: bool = True) -> DataFrame:
             "momentum_5": I.pct_change("close", 5),
             "momentum_10": I.pct_change("close", 10),
             "trend_strength": I.zscore("close", 20, 10),
-            "high_low_vol": I.rolling(F.col("high") - F.col("low"), 10, "mean", 6) / F.col("close"),
+            "high_low_vol": F.try_divide(I.rolling(F.col("high") - F.col("low"), 10, "mean", 6), F.col("close")),
         }
     )
     df = df.withColumn("dev", F.try_divide(F.col("close") - F.col("_vw"), F.col("_vw")))
@@ -242,7 +242,7 @@ def stationary(df: DataFrame, cols: Sequence[str], gain: float = 0.8) -> DataFra
     flags = []
     for c in cols:
         varied = F.count_if((F.col(c) != F.col(f"_min_{c}")) & (F.col(c) != F.col(f"_max_{c}"))) > 0
-        diff = F.abs(F.corr(f"_d_{c}", f"_e_{c}")) < F.abs(F.corr(c, f"_p_{c}")) * gain
+        diff = F.abs(correlation(f"_d_{c}", f"_e_{c}")) < F.abs(correlation(c, f"_p_{c}")) * gain
         diff = F.coalesce(varied & diff, F.lit(False))
         low = F.when(diff, F.min(f"_d_{c}")).otherwise(F.min(c))
         flags += [diff.alias(f"_diff_{c}"), F.coalesce(varied & (low > 0), F.lit(False)).alias(f"_log_{c}")]

@@ -56,7 +56,7 @@ def ledger(df: DataFrame, side: str = "side", size: str = "size", equity0: float
     """Positions plus running ``equity``, its ``peak`` and ``drawdown``; ``use`` names the profit column."""
     d = cut(positions(df, side, size, commission, slippage_bps, keys))
     d = equity_path(d, F.col(use), equity0, keys)
-    return d.withColumn("drawdown", F.col("equity") / F.col("peak") - 1.0)
+    return d.withColumn("drawdown", F.try_divide("equity", "peak") - 1.0)
 
 
 def portfolio_value(trades: DataFrame, prices: DataFrame, cash0: float = 1_000_000.0, tie: Sequence[str] = ("trade_no",)) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import finite, safe_divide
+from tickloom.functions.scalars import correlation, finite, safe_divide
 from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, blocked, core, join_safe, prefix
 from tickloom.operators.episodes import streaks
@@ -22,7 +22,7 @@ EPS = 1e-12
 def add_drawdown(df: DataFrame, equity: str = "equity", keys: Sequence[str] = KEYS) -> DataFrame:
     """Running ``peak`` and ``drawdown`` (0 or negative)."""
     df = prefix(df, {"peak": ("max", F.col(equity))}, keys=keys)
-    return df.withColumn("drawdown", F.col(equity) / F.col("peak") - 1.0)
+    return df.withColumn("drawdown", F.try_divide(equity, "peak") - 1.0)
 
 
 def _path(df: DataFrame, equity: str, keys: Sequence[str], have: bool) -> DataFrame:
@@ -69,7 +69,7 @@ def equity_metrics_variant(df: DataFrame, variant: str, equity: str = "equity",
     if variant == "positive":
         d = _path(df, equity, keys, False)
         return d.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("bars"), (F.max_by(equity, "bar") / F.min_by(equity, "bar") - 1.0).alias("total_return"),
+            F.count(F.lit(1)).alias("bars"), (F.try_divide(F.max_by(equity, "bar"), F.min_by(equity, "bar")) - 1.0).alias("total_return"),
             F.max(-F.col("drawdown")).alias("max_drawdown"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"),
             F.max_by(equity, "bar").alias("final_equity"),
         )
@@ -133,7 +133,7 @@ def distribution(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS)
 def moments(x: Column) -> tuple[Column, Column]:
     """Skewness and excess kurtosis about the sample deviation; 0 without variation."""
     n = F.count(x)
-    f = (n - 1) / n
+    f = F.try_divide(n - 1, n)
     ok = F.coalesce(F.stddev_samp(x) > 0, F.lit(False))
     return (F.when(ok, F.skewness(x) * F.pow(f, 1.5)).otherwise(0.0),
             F.when(ok, (F.kurtosis(x) + 3.0) * F.pow(f, 2) - 3.0).otherwise(0.0))
@@ -162,7 +162,7 @@ def core_pack(led: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         skew.alias("skewness"), kurt.alias("kurtosis"), share(s != 0).alias("exposure_total"),
         share(s > 0).alias("exposure_long"), share(s < 0).alias("exposure_short"),
     )
-    g = g.withColumn("total_return", F.when(F.col("bars") > 1, F.col("final_equity") / F.col("_a") - 1.0).otherwise(0.0))
+    g = g.withColumn("total_return", F.when(F.col("bars") > 1, F.try_divide("final_equity", "_a") - 1.0).otherwise(0.0))
     tr, dd = F.col("total_return"), F.col("max_drawdown")
     g = g.withColumns(
         {
@@ -266,7 +266,7 @@ def profit_thresholds(df: DataFrame, p: str = "p", ret: str = "ret", keys: Seque
 
 def feature_correlations(df: DataFrame, cols: Sequence[str], p: str = "p", k: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Features by absolute correlation with the prediction; ``k`` asks for the k largest only."""
-    g = df.groupBy(*keys).agg(*[F.abs(F.corr(c, p)).alias(c) for c in cols])
+    g = df.groupBy(*keys).agg(*[F.abs(correlation(c, p)).alias(c) for c in cols])
     long = g.unpivot(list(keys), list(cols), "feature", "abs_corr")
     if not keys:
         long = long.orderBy(F.col("abs_corr").desc_nulls_last(), "feature")

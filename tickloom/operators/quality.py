@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import correlation
 from tickloom.operators.blocks import KEYS, block_window, blocked, core, join_safe
 
 
@@ -77,7 +78,7 @@ def arrival_disorder(df: DataFrame, seq: str, width: int = 32768) -> DataFrame:
 def value_report(bars: DataFrame, jump: float = 0.10) -> DataFrame:
     """Null/infinite counts, close and volume ranges, one-bar return statistics (needs ``bar``)."""
     d = blocked(bars, back=1)
-    d = d.withColumn("r", F.col("close") / F.lag("close").over(block_window()) - 1)
+    d = d.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(block_window())) - 1)
     d = core(d)
     inf = float("inf")
     return d.groupBy("symbol").agg(
@@ -106,11 +107,11 @@ def trend_report(bars: DataFrame) -> DataFrame:
     """Lag-1 autocorrelation of close and of returns, total trend, volatility (needs ``bar``)."""
     w = block_window()
     d = blocked(bars, back=2).withColumn("_prev", F.lag("close").over(w))
-    d = d.withColumn("r", F.col("close") / F.col("_prev") - 1).withColumn("p", F.col("_prev"))
+    d = d.withColumn("r", F.try_divide("close", "_prev") - 1).withColumn("p", F.col("_prev"))
     d = core(d.withColumn("rp", F.lag("r").over(w)))
     return d.groupBy("symbol").agg(
-        F.corr("close", "p").alias("autocorr_close"), F.corr("r", "rp").alias("autocorr_ret"),
-        (F.max_by("close", "bar") / F.min_by("close", "bar") - 1).alias("total_trend"),
+        correlation("close", "p").alias("autocorr_close"), correlation("r", "rp").alias("autocorr_ret"),
+        (F.try_divide(F.max_by("close", "bar"), F.min_by("close", "bar")) - 1).alias("total_trend"),
         F.stddev_samp("r").alias("volatility"),
     )
 

@@ -69,10 +69,10 @@ def dynamic_regime(bars: DataFrame, mode: str = "full", window: int = 500, smoot
     c = F.col("close")
     df = df.withColumns(
         {
-            "_ts": F.abs(I.rolling("close", 10, "mean") - I.rolling("close", 30, "mean")) / c,
-            "_vl": I.rolling(F.col("high") - F.col("low"), 14, "mean") / c,
+            "_ts": F.try_divide(F.abs(I.rolling("close", 10, "mean") - I.rolling("close", 30, "mean")), c),
+            "_vl": F.try_divide(I.rolling(F.col("high") - F.col("low"), 14, "mean"), c),
             "_vz": I.zscore("volume", 20, eps=None),
-            "_rg": (F.col("high") - F.col("low")) / c,
+            "_rg": F.try_divide(F.col("high") - F.col("low"), c),
         }
     )
     if mode == "trailing":
@@ -109,7 +109,7 @@ def dynamic_strategy(df: DataFrame, p: str = "p", regime: str = "regime", notion
 
 def atr_regime(bars: DataFrame, n: int = 14, edges: Sequence[float] = (0.005, 0.015)) -> DataFrame:
     """Volatility class 0/1/2 from ATR over close, and a confidence around the symbol's mean."""
-    df = core(I.add_atr(blocked(bars, back=n + 1), n, "half", "atr").withColumn("atr_pct", F.col("atr") / F.col("close")))
+    df = core(I.add_atr(blocked(bars, back=n + 1), n, "half", "atr").withColumn("atr_pct", F.try_divide("atr", "close")))
     stats = df.groupBy("symbol").agg(F.avg("atr_pct").alias("_m"), F.stddev_pop("atr_pct").alias("_sd"))
     df = join_safe(df, stats, ["symbol"])
     conf = 1.0 - clip(F.try_divide(F.abs(F.col("atr_pct") - F.col("_m")), F.col("_sd")), 0.0, 1.0)

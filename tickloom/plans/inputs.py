@@ -36,7 +36,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("ts"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"),
+        F.try_divide("l_extendedprice", "l_quantity").alias("price"), F.col("l_quantity").alias("volume"),
     )
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     t = li.join(part, li.l_partkey == part.p_partkey)
@@ -84,7 +84,7 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_probability() -> Column:
     """A stand-in for a model probability: the close's share of open plus close."""
-    return F.col("close") / (F.col("close") + F.col("open"))
+    return F.try_divide(F.col("close"), F.col("close") + F.col("open"))
 
 
 def half_away(x: Column, digits: int) -> Column:

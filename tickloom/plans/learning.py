@@ -131,7 +131,7 @@ def fold_quality(scored: DataFrame) -> DataFrame:
     """Rows, AUC and pseudo-return per ``fold`` of scored rows (fold, p, label), in one pass over all folds."""
     gain = F.greatest(F.col("p") - 0.5, F.lit(0.0)) * F.when(F.col("label") > 0.5, 1.0).otherwise(-1.0)
     ret = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.sum(gain).alias("pseudo_return"))
-    return join_safe(ret, auc(scored, keys=["fold"]), ["fold"]).select("fold", "rows", "n_pos", "auc", "pseudo_return")
+    return join_safe(ret, auc(scored, keys=["fold"]), ["fold"]).select("fold", "rows", "n_pos", "auc", "pseudo_return").orderBy("fold")
 
 
 def walk_forward(data: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
@@ -174,7 +174,7 @@ def compare_models(data: DataFrame, features: Sequence[str], kinds: Sequence[str
                 p = probability(model, part.filter("role = 'test'"), "p")
                 p = p.select(F.lit(kind).alias("model"), F.lit(i).alias("setting"), F.lit(k).alias("fold"), "p", "label")
                 rows = p if rows is None else rows.unionByName(p)
-    return auc(rows, keys=["model", "setting", "fold"]).groupBy("model", "setting").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds"))
+    return auc(rows, keys=["model", "setting", "fold"]).groupBy("model", "setting").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds")).orderBy("model", "setting")
 
 
 def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS), th_long: float = 0.55, th_short: float = 0.45,

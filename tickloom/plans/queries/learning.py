@@ -179,7 +179,7 @@ SELECT fold::INT AS fold, count(*) AS rows, sum(label)::BIGINT AS n_pos, {r('(su
 def d26_fixed(s, sf):
     """Permutation loss of a fixed linear score: every step but a fit, so SQL can check it."""
     d = lb.add_labels(bars(s, sf), 1).filter("y_up is not null")
-    d = d.select("symbol", "bar", (F.col("close") / F.col("open") - 1).alias("gain"), (F.col("high") - F.col("low")).alias("spread"),
+    d = d.select("symbol", "bar", F.coalesce(F.try_divide("close", "open") - 1, F.lit(0.0)).alias("gain"), (F.col("high") - F.col("low")).alias("spread"),
                  F.col("y_up").cast("double").alias("label"))
     linear = lambda x: x.withColumn("p", F.col("gain") + 0.001 * F.col("spread"))
     return ml.permutation_importance(None, d, ["gain", "spread"], n=2, score=linear)
@@ -187,7 +187,7 @@ def d26_fixed(s, sf):
 
 Q["d26_fixed_score"] = d26_fixed
 S["d26_fixed_score"] = f"""WITH {B}, l AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY bar) AS nx FROM b),
-d AS (SELECT symbol, bar, close / open - 1 AS gain, high - low AS spread, (nx > close)::INT AS label FROM l WHERE nx IS NOT NULL),
+d AS (SELECT symbol, bar, coalesce(close / nullif(open, 0) - 1, 0) AS gain, high - low AS spread, (nx > close)::INT AS label FROM l WHERE nx IS NOT NULL),
 k(feature, round) AS (VALUES ('gain', 0), ('gain', 1), ('spread', 0), ('spread', 1)),
 o AS (SELECT k.*, d.*, row_number() OVER (PARTITION BY feature, round ORDER BY md5(concat_ws('|', (42 + 101 * round)::VARCHAR, symbol, bar::VARCHAR)), symbol, bar) - 1 AS rk FROM d, k),
 t AS (SELECT x.feature, x.round, x.label, CASE WHEN x.feature = 'gain' THEN y.gain ELSE x.gain END + 0.001 * CASE WHEN x.feature = 'spread' THEN y.spread ELSE x.spread END AS p
