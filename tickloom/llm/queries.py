@@ -12,6 +12,7 @@ from tickloom.llm import (
     backoff_lm,
     chat,
     decontaminate,
+    hilbert_shards,
     langid,
     ngram_join,
     order_minhash,
@@ -21,6 +22,7 @@ from tickloom.llm import (
     url_filter,
 )
 from tickloom.llm.columns import id_and_text, table
+from tickloom.session import cut
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
@@ -81,8 +83,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards along the curve through source, language, length and id."""
+    docs = table(spark, sf_dir, "documents").withColumns(hilbert_shards.size_and_checksum())
+    docs = cut(docs.select("doc_id", "size", "text_crc32", "source", "lang", "n_chars"))  # texts are read once
+    layout = hilbert_shards.fit(docs, ["source", "lang", "n_chars", "doc_id"], bits=4)
+    return hilbert_shards.assign(docs, layout, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "_shard.shard", "_shard.slot", F.lit(None).cast("int").alias("grown_shard"), "_shard.curve")
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_ngram_jaccard, op4_order_minhash, op5_substring_dedup, op6_url_filter,
-                                   op7_stupid_backoff, op8_chat_format, op9_language_id, op10_decontamination)}
+                                   op7_stupid_backoff, op8_chat_format, op9_language_id, op10_decontamination,
+                                   op11_hilbert_shards)}
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACED = r"'[^\x20\x09-\x0D]+'"
