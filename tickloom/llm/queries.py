@@ -20,6 +20,7 @@ from tickloom.llm import (
     pii,
     rlz_dedup,
     url_filter,
+    whitening,
 )
 from tickloom.llm.columns import id_and_text, table
 from tickloom.session import cut
@@ -92,9 +93,20 @@ def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "_shard.shard", "_shard.slot", F.lit(None).cast("int").alias("grown_shard"), "_shard.curve")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per usable vector and leading component."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    m = whitening.fit(vectors, "embedding", k=8, scale=1024.0, shift=100_000)
+    error = whitening.identity_error(vectors, m, "embedding")
+    explained = F.array(*[F.lit(float(e / m.trace)) for e in m.variances]).cast("array<double>")
+    white = whitening.transform(vectors, m, "embedding").select(F.col("vec_id").cast("long"), "_white.deviation", F.posexplode("_white.values").alias("at", "whitened"))
+    return white.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(m.n).cast("long").alias("n"), "deviation", "whitened",
+                        F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_ngram_jaccard, op4_order_minhash, op5_substring_dedup, op6_url_filter,
                                    op7_stupid_backoff, op8_chat_format, op9_language_id, op10_decontamination,
-                                   op11_hilbert_shards)}
+                                   op11_hilbert_shards, op12_embedding_whitening)}
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACED = r"'[^\x20\x09-\x0D]+'"
