@@ -19,6 +19,7 @@ from tickloom.llm import (
     pieces,
     pii,
     rlz_dedup,
+    token_align,
     url_filter,
     whitening,
 )
@@ -26,6 +27,7 @@ from tickloom.llm.columns import id_and_text, table
 from tickloom.session import cut
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 ALPHA = 0.5
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 ODD_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -104,9 +106,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.summary(table(spark, sf_dir, "documents"), token_align.load(BYTES, PIECES))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_ngram_jaccard, op4_order_minhash, op5_substring_dedup, op6_url_filter,
                                    op7_stupid_backoff, op8_chat_format, op9_language_id, op10_decontamination,
-                                   op11_hilbert_shards, op12_embedding_whitening)}
+                                   op11_hilbert_shards, op12_embedding_whitening, op13_token_align)}
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACED = r"'[^\x20\x09-\x0D]+'"
