@@ -4,7 +4,9 @@ A byte-level BPE (A) reads a space and the text, a piece BPE (B) the text (it ad
 bytes, so the byte offsets where tokens end are two sorted lists, and merging them gives everything: each distinct end is one
 overlap (the A and the B token around it), each common end closes a group.
 
-1. ``encode`` packs some megabytes of texts with their ids into one row, a chunk, and the chunks are written once.
+1. ``encode`` packs some megabytes of texts with their ids into one row, a chunk, and the chunks are written once. A
+   works on single words, so a task looks up words that it has met; where that may differ from encoding the whole text
+   (rare characters, another model), the whole text is encoded.
 2. The merge of a chunk's end lists is cut along diagonals into pieces of equal work (``diagonals``): a binary search finds how many
    A ends come before each cut. Pieces know nothing of each other (``overlaps``); where a cut falls between two equal
    ends, their link is counted by the first piece and its group is closed when the pieces are put together (``links``).
@@ -22,6 +24,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
+import unicodedata
+from array import array
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +40,13 @@ from tickloom.llm.columns import id_and_text
 from tickloom.llm.text import buffers, slices
 from tickloom.session import cut
 
-CHUNK = 4 << 20  # bytes of text
+CHUNK = 2 << 20  # bytes of text
+REMEMBERED = 1 << 19  # words
+LONGEST = 64  # characters of a remembered word
+
+# Ranges of characters whose kind (letter, number, space) has long been settled in every Unicode version.
+SETTLED = [(0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA0, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x400, 0x45F), (0x2010, 0x2027),
+           (0x2030, 0x205E), (0x20A0, 0x20B5), (0x2190, 0x21FF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x1F300, 0x1F5FF)]
 STEPS = 1 << 16  # merge steps of a piece
 
 
@@ -51,6 +63,41 @@ def load(a_path: str, b_path: str) -> Pair:
         return Pair(a.read(), b.read())
 
 
+def _class(kind: str) -> str:
+    """The settled characters of a kind (first letter of the category), for a character class of a pattern."""
+    return "".join(re.escape(chr(c)) for lo, hi in SETTLED for c in range(lo, hi + 1) if unicodedata.category(chr(c))[0] == kind)
+
+
+@functools.cache
+def word_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Texts of settled characters only; words of A (the split before the merges of its vocabulary)."""
+    letter, number = _class("L"), _class("N")
+    return (re.compile("[" + "".join(f"{re.escape(chr(lo))}-{re.escape(chr(hi))}" for lo, hi in SETTLED) + "]*"),
+            re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"))
+
+
+class Memory:
+    """Packed ids by word."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes | None]]):
+        self.known: dict[str, bytes | None] = {}
+        self.encode = encode
+
+    def packed(self, texts: list[list[str]]) -> list[bytes | None]:
+        """The ids of each list of words; words not met before are encoded together. None if a word is not reproduced."""
+        distinct = set().union(*texts)
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(distinct)
+        self.known.update(zip(new, self.encode(new)))
+        lists = [[self.known[w] for w in words] for words in texts]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return [None if None in x else b"".join(x) for x in lists]
+
+
 class Tools:
     """Encoders and token bytes in a worker."""
 
@@ -58,6 +105,7 @@ class Tools:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.a = Tokenizer.from_buffer(pair.a)
         self.a.encode_special_tokens = True
@@ -69,26 +117,44 @@ class Tools:
         self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
+        pieces = self.b.id_to_piece(list(range(self.b.get_piece_size())))
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # an id with what follows it: , | and ;
         self.words = [[np.array([f"{i}{c}" for i in range(len(t))], object) for c in ends]
                       for t, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;"))]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B; none where the bytes are not the text's."""
+        self.code = "H" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        split = self.a.pre_tokenizer
+        self.a_splits = self.a.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+        self.by_a = Memory(self.encoded_a)
+
+    def _checked(self, ids: list[int], token_bytes: list[bytes], data: bytes) -> bytes | None:
+        """Packed ids, if their bytes are the text's."""
+        return array(self.code, ids).tobytes() if b"".join([token_bytes[i] for i in ids]) == data else None
+
+    def encoded_a(self, texts: list[str]) -> list[bytes | None]:
+        found = self.a.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [self._checked(e.ids, self.a_bytes, t.encode()) for t, e in zip(texts, found)]
+
+    def encoded_b(self, texts: list[str]) -> list[bytes | None]:
+        """Each text starts with the space that the encoder adds."""
+        found = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        return [self._checked(ids, self.b_bytes, t.encode()) for t, ids in zip(texts, found)]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of A and of B for each text; empty where the bytes are not the text's."""
+        settled, words_a = word_patterns()
+        out = [(b"", b"")] * len(texts)
         which = [i for i, t in enumerate(texts) if t]
-        some = [texts[i] for i in which]
-        out_a, out_b = [[]] * len(texts), [[]] * len(texts)
-        if not some:
-            return out_a, out_b
-        encoded = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-        for i, t, e, b in zip(which, some, encoded, self.b.encode(some, num_threads=1)):
-            data, a = b" " + t.encode(), e.ids
-            if b"".join([self.a_bytes[x] for x in a]) == data == b"".join([self.b_bytes[x] for x in b]):
-                out_a[i], out_b[i] = a, b
-        return out_a, out_b
+        spaced = [" " + texts[i] for i in which]
+        usual = [self.a_splits and settled.fullmatch(t) is not None for t in spaced]
+        a = self.by_a.packed([words_a.findall(t) if by_word else [] for t, by_word in zip(spaced, usual)])
+        a = [x if by_word else self.encoded_a([t])[0] for t, x, by_word in zip(spaced, a, usual)]
+        for i, x, y in zip(which, a, self.encoded_b(spaced)):
+            if x is not None and y is not None:
+                out[i] = x, y
+        return out
 
 
 @functools.lru_cache(1)
@@ -150,28 +216,16 @@ CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())),
                           ("a", pa.binary()), ("b", pa.binary())])
 
 
-def _packed(ids: list[list[int]]) -> bytes:
-    """Ids as 16-bit numbers where they fit (first byte 2, else 4)."""
-    flat = np.fromiter((x for r in ids for x in r), np.uint32)
-    size = 2 if flat.max(initial=0) < 1 << 16 else 4
-    return bytes([size]) + flat.astype(f"<u{size}").tobytes()
-
-
-def _unpacked(data: pa.Scalar) -> np.ndarray:
-    b = memoryview(data.as_buffer())
-    return np.frombuffer(b[1:], f"<u{b[0]}").astype(np.int64)
-
-
 def encode(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of documents with the ids of both tokenizers, written once."""
     def run(batches):
         tool, part, done = tools(pair), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi in slices(buffers(batch.column(1))[1], CHUNK):
-                a, b = tool.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+                a, b = zip(*tool.encode(batch.column(1).slice(lo, hi - lo).to_pylist()))
                 yield pa.RecordBatch.from_pydict({
-                    "chunk": [(part << 32) + done], "ids": [batch.column(0).slice(lo, hi - lo).to_pylist()], "n_a": [[len(x) for x in a]],
-                    "n_b": [[len(x) for x in b]], "a": [_packed(a)], "b": [_packed(b)]}, schema=CHUNK_SCHEMA)
+                    "chunk": [(part << 32) + done], "ids": [batch.column(0).slice(lo, hi - lo).to_pylist()], "n_a": [[len(x) // tool.kind.itemsize for x in a]],
+                    "n_b": [[len(x) // tool.kind.itemsize for x in b]], "a": [b"".join(a)], "b": [b"".join(b)]}, schema=CHUNK_SCHEMA)
                 done += 1
 
     return cut(id_and_text(docs, id_col, text_col).mapInArrow(run, CHUNKS))
@@ -181,7 +235,7 @@ class Aligned:
     """The overlaps of one chunk."""
 
     def __init__(self, tool: Tools, t: pa.Table | pa.RecordBatch, row: int = 0):
-        self.a, self.b = _unpacked(t["a"][row]), _unpacked(t["b"][row])
+        self.a, self.b = (np.frombuffer(t[c][row].as_buffer(), tool.kind).astype(np.int64) for c in "ab")
         self.n_a, self.n_b = (np.array(t[c][row].as_py(), np.int64) for c in ("n_a", "n_b"))
         self.ids = t["ids"][row].values if t["ids"][row].is_valid else pa.array([], pa.int64())
         self.a_ends, self.b_ends = np.cumsum(tool.a_len[self.a]), np.cumsum(tool.b_len[self.b])
