@@ -40,8 +40,8 @@ from tickloom.llm.columns import id_and_text
 from tickloom.llm.text import buffers, slices
 from tickloom.session import cut
 
-CHUNK = 2 << 20  # bytes of text
-REMEMBERED = 1 << 19  # words
+CHUNK = 1 << 20  # bytes of text
+REMEMBERED = 1 << 18  # words
 LONGEST = 64  # characters of a remembered word
 
 # Ranges of characters whose kind (letter, number, space) has long been settled in every Unicode version.
@@ -277,6 +277,7 @@ def pair_counts(chunks: DataFrame, pair: Pair) -> tuple[DataFrame, DataFrame]:
 
     def run(batches):
         tool = tools(pair)
+        tool.by_a.known.clear()  # the words of the stage before
         for batch in batches:
             for row in range(len(batch)):
                 found, m = np.unique(Aligned(tool, batch, row).pairs, return_counts=True)
