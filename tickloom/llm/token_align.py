@@ -41,8 +41,8 @@ from tickloom.llm.text import buffers, slices
 from tickloom.session import cut
 
 CHUNK = 1 << 20  # bytes of text
-REMEMBERED = 1 << 18  # words
-LONGEST = 64  # characters of a remembered word
+REMEMBERED = 1 << 17  # words
+LONGEST = 8  # characters of a remembered word: long ones seldom come again
 
 # Ranges of characters whose kind (letter, number, space) has long been settled in every Unicode version.
 SETTLED = [(0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA0, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3C9), (0x400, 0x45F), (0x2010, 0x2027),
