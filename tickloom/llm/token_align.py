@@ -219,13 +219,13 @@ CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())),
 def encode(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of documents with the ids of both tokenizers, written once."""
     def run(batches):
-        tool, part, done = tools(pair), TaskContext.get().partitionId(), 0
+        tool, part, done, zstd = tools(pair), TaskContext.get().partitionId(), 0, pa.Codec("zstd", 3)
         for batch in batches:
             for lo, hi in slices(buffers(batch.column(1))[1], CHUNK):
                 a, b = zip(*tool.encode(batch.column(1).slice(lo, hi - lo).to_pylist()))
                 yield pa.RecordBatch.from_pydict({
                     "chunk": [(part << 32) + done], "ids": [batch.column(0).slice(lo, hi - lo).to_pylist()], "n_a": [[len(x) // tool.kind.itemsize for x in a]],
-                    "n_b": [[len(x) // tool.kind.itemsize for x in b]], "a": [b"".join(a)], "b": [b"".join(b)]}, schema=CHUNK_SCHEMA)
+                    "n_b": [[len(x) // tool.kind.itemsize for x in b]], "a": [zstd.compress(b"".join(a), asbytes=True)], "b": [zstd.compress(b"".join(b), asbytes=True)]}, schema=CHUNK_SCHEMA)
                 done += 1
 
     return cut(id_and_text(docs, id_col, text_col).mapInArrow(run, CHUNKS))
@@ -235,14 +235,19 @@ class Aligned:
     """The overlaps of one chunk."""
 
     def __init__(self, tool: Tools, t: pa.Table | pa.RecordBatch, row: int = 0):
-        self.a, self.b = (np.frombuffer(t[c][row].as_buffer(), tool.kind).astype(np.int64) for c in "ab")
         self.n_a, self.n_b = (np.array(t[c][row].as_py(), np.int64) for c in ("n_a", "n_b"))
+        self.a, self.b = (self._ids(tool, t[c][row], int(n.sum())) for c, n in (("a", self.n_a), ("b", self.n_b)))
         self.ids = t["ids"][row].values if t["ids"][row].is_valid else pa.array([], pa.int64())
         self.a_ends, self.b_ends = np.cumsum(tool.a_len[self.a]), np.cumsum(tool.b_len[self.b])
         self.ai, self.bi, self.closes = links(self.a_ends, self.b_ends)
         self.doc = np.repeat(np.arange(len(self.n_a)), self.n_a)[self.ai]
         self.pairs = (self.a[self.ai] << 32) | self.b[self.bi]
 
+    @staticmethod
+    def _ids(tool: Tools, packed: pa.Scalar, n: int) -> np.ndarray:
+        data = pa.Codec("zstd").decompress(packed.as_buffer(), n * tool.kind.itemsize) if n else b""
+        return np.frombuffer(data, tool.kind).astype(np.int64)
+
     def per_doc(self, values: np.ndarray | None = None) -> np.ndarray:
         """Sums over the links of each document, in whole numbers."""
         if values is None:
