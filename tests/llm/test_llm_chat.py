@@ -48,3 +48,12 @@ def test_turn_tables_come_back(spark):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert tuple(got[conv])[1:5] == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss))
     assert chat.convert(chat.records_of_turns(t.where("false")), "conv_id", "record").count() == 0
+
+
+def test_records_that_cannot_be_formatted_end_no_job(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [(1, deep), (2, '{"prompt": "a", "completion": "\\ud800"}'), (3, '{"prompt": ' + deep + ', "completion": "x"}'), (4, '{"prompt": "a", "completion": "b"}'),
+            (5, '{"\\ud800": 1}')]
+    out = {r.key: r for r in chat.convert(spark.createDataFrame(rows, "id long, record string"), "id", "record").collect()}
+    assert [out[i].formatted is None for i in range(1, 6)] == [True, True, True, False, True]
+    assert out[2].fingerprint == out[4].fingerprint and out[2].mapping is None and out[5].fingerprint

@@ -11,8 +11,8 @@ doubled, and ``<turn>`` and ``</turn>`` lose their ``<`` to ``\\l``; a newline i
 control strings therefore occur nowhere but where the template put them, and unescaping gives the exact text back.
 The loss mask is a list of code-point ranges of the formatted text: the escaped text of each assistant turn.
 
-Null or missing texts are empty; records that are no JSON object, or whose layout no mapping knows, come back
-with a null ``formatted`` and their fingerprint. A record is one row and is formatted in linear time.
+Null or missing texts are empty; records that are no JSON object or nested too deeply to parse, whose layout no mapping
+knows, or that hold half a surrogate pair come back with a null ``formatted`` (and their fingerprint, if they were parsed). A record is one row and is formatted in linear time.
 """
 
 from __future__ import annotations
@@ -135,6 +135,16 @@ def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int
     return "".join(out), mask
 
 
+def _formatted(record: dict, mapping: Mapping) -> tuple[str | None, list[tuple[int, int]]]:
+    """The formatted record; None where it is nested too deeply or holds half a surrogate pair, which no text column can."""
+    try:
+        formatted, mask = format_turns(canonical(record, mapping))
+        formatted.encode()
+    except (RecursionError, UnicodeEncodeError):
+        return None, []
+    return formatted, mask
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns of a formatted text."""
     out = []
@@ -160,13 +170,13 @@ def convert(records: DataFrame, key_col: str, json_col: str, mappings: tuple[Map
                 row = {"key": key, "fingerprint": None, "mapping": None, "formatted": None, "loss": None}
                 try:
                     record = json.loads(text) if text is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
                 if isinstance(record, dict):
                     row["fingerprint"] = path_hash(paths(record))
                     m = table.get(row["fingerprint"]) or messages.get(row["fingerprint"])  # an empty list has no element paths
-                    if m:
-                        formatted, mask = format_turns(canonical(record, m))
+                    formatted, mask = _formatted(record, m) if m else (None, [])
+                    if formatted is not None:
                         row |= {"mapping": m.name, "formatted": formatted, "loss": [{"start": s, "end": e} for s, e in mask]}
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=FORMATTED)
