@@ -37,3 +37,10 @@ def test_no_rules_and_repeated_rules(spark):
     assert [x._judged.verdict for x in url_filter.judge(pages, url_filter.rules_frame(spark, RULES).where("false"), default="block").collect()] == ["block"] * 2
     twice = url_filter.rules_frame(spark, [("allow", "com", "/"), ("block", "com", "/")])
     assert [x._judged.verdict for x in url_filter.judge(pages, twice).collect()] == ["block"] * 2
+
+
+def test_very_long_hosts(spark):
+    urls = [f"http://{'a.' * 40_000}com/x", f"http://{'.'.join(map(str, range(20_000)))}.b.org/", "http://" + "x" * 100_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {x.page_id: x._judged for x in url_filter.judge(pages, url_filter.rules_frame(spark, RULES)).collect()}
+    assert [got[i].rule for i in range(3)] == ["com/", "b.org/", None] and all(tuple(got[i]) == brute(u, RULES) for i, u in enumerate(urls))

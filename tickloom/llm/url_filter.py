@@ -7,7 +7,7 @@ several rules that fit the longest one wins (ties: the longer host, then block b
 
 Distinct URLs are judged once, so a URL that a third of all rows share costs one row; the verdict
 is joined back by URL, where adaptive execution can split a hot one. The expansion is at most
-labels x distinct path lengths per URL and is never shuffled unless its digest prefix meets a rule
+labels (of the longest rule host) x distinct path lengths per URL and is never shuffled unless its digest prefix meets a rule
 (Spark broadcasts the rules while they are small and shuffles both sides by the short prefix beyond that).
 
 Null URLs and URLs without ``://`` have an empty host and path and get the default verdict.
@@ -47,10 +47,12 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     # The lengths of rule paths are a column of one row, not collected: the rules may be any table.
     lengths = rules.where("path is not null").agg(F.collect_set(F.length("path")).alias("_lengths"))
     labels = F.split("_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
+    # a suffix of more labels than any rule's host fits none, so a very long host costs no more than a rule
+    deepest = rules.where("host is not null").agg(F.max(F.size(F.split("host", r"\."))).alias("_deepest"))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - F.col("_deepest") + 1), F.size(labels)),
                            lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     expanded = (
-        urls.withColumn("_lengths", lengths.scalar())
+        urls.withColumns({"_lengths": lengths.scalar(), "_deepest": deepest.scalar()}).where("_deepest is not null")
         .withColumn("_suffix", F.explode(suffixes))
         .withColumn("_length", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))))
         .withColumn("_digest", F.sha2(F.concat("_suffix", F.lit("\n"), F.expr("left(_path, _length)")), 256))
