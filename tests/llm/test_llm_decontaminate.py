@@ -88,3 +88,14 @@ def test_the_driver_holds_one_block_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(dc, "item_windows", watched)
     dc.find(documents(spark, texts[:5]), spark.createDataFrame(items, "item_id long, text string"), block_words=1500)
     assert len(built) > 1
+
+
+@pytest.mark.parametrize("window,block_words", [(3, 1_000_000), (5, 300)])
+def test_other_windows(spark, window, block_words):
+    texts, items = case()
+    d, b = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(texts, items, window)
+    got = dc.digest(dc.find(d, b, window=window, block_words=block_words)).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got} == want
+    kept = dc.clean(d, b, window=window, block_words=block_words)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in want.items() if not x[3])

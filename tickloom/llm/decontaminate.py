@@ -219,10 +219,10 @@ def _items(benchmark: DataFrame, block_words: int, item_col: str, item_text: str
     return bench, max(1, -(-size // block_words))
 
 
-def _block(docs: DataFrame, bench: DataFrame, k: int, n_blocks: int) -> list[tuple[Items, Prefix]]:
+def _block(docs: DataFrame, bench: DataFrame, k: int, n_blocks: int, window: int) -> list[tuple[Items, Prefix]]:
     """The windows and prefix tokens of one block of the benchmark."""
     block = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).toArrow()
-    per_size = item_windows(block.column(0).to_numpy(), block.column(1).combine_chunks()) if len(block) else []
+    per_size = item_windows(block.column(0).to_numpy(), block.column(1).combine_chunks(), window) if len(block) else []
     if not per_size:
         return []
     counts = shingle_counts(docs, np.concatenate([i.shingles.ravel() for i in per_size]), [i.size for i in per_size])
@@ -234,18 +234,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
 
 
-def _block_hits(docs: DataFrame, bench: DataFrame, k: int, n_blocks: int) -> DataFrame:
+def _block_hits(docs: DataFrame, bench: DataFrame, k: int, n_blocks: int, window: int) -> DataFrame:
     """One row per text in which a window of the block occurs, written to the shared folder."""
-    found = carried(_keyed(docs), _task(_block(docs, bench, k, n_blocks)), HITS_DDL).where(F.size("hits") > 0)
+    found = carried(_keyed(docs), _task(_block(docs, bench, k, n_blocks, window)), HITS_DDL).where(F.size("hits") > 0)
     found = found.select(F.col("row.t1").alias("t1"), F.col("row.t2").alias("t2"), "n_words", "hits", "items")
     return cut(found.groupBy("t1", "t2").agg(*(F.first(c).alias(c) for c in ("n_words", "hits", "items"))))
 
 
-def _text_hits(docs: DataFrame, bench: DataFrame, n_blocks: int) -> DataFrame:
+def _text_hits(docs: DataFrame, bench: DataFrame, n_blocks: int, window: int) -> DataFrame:
     """t1, t2, n_words, hits and items of the texts with hits, over all blocks."""
-    every = _block_hits(docs, bench, 0, n_blocks)
+    every = _block_hits(docs, bench, 0, n_blocks, window)
     for k in range(1, n_blocks):
-        every = every.unionByName(_block_hits(docs, bench, k, n_blocks))
+        every = every.unionByName(_block_hits(docs, bench, k, n_blocks, window))
     merged = every.groupBy("t1", "t2").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
                                            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     union = F.aggregate(  # overlapping ranges become one
@@ -264,8 +264,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     docs = id_and_text(docs, id_col, text_col)
     bench, n_blocks = _items(benchmark, block_words, item_col, item_text)
     if n_blocks == 1:
-        return mapped(docs, _task(_block(docs, bench, 0, 1)), HITS_DDL)
-    found = _text_hits(docs, bench, n_blocks).drop("n_words").withColumnsRenamed({"hits": "h", "items": "i"})
+        return mapped(docs, _task(_block(docs, bench, 0, 1, window)), HITS_DDL)
+    found = _text_hits(docs, bench, n_blocks, window).drop("n_words").withColumnsRenamed({"hits": "h", "items": "i"})
     rows = carried(_keyed(docs), _task([]), HITS_DDL).select(F.col("row.t1").alias("t1"), F.col("row.t2").alias("t2"), "doc_id", "n_words", "hits", "items")
     return rows.join(found, ["t1", "t2"], "left").select(
         "doc_id", "n_words", F.coalesce("h", "hits").alias("hits"), F.coalesce("i", "items").alias("items"))
@@ -278,9 +278,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
     bench, n_blocks = _items(benchmark, block_words, item_col, item_text)
     n_hit = F.aggregate("hits", F.lit(0), lambda acc, x: acc + x.end - x.start)
     if n_blocks == 1:
-        rows = carried(docs, _task(_block(texts, bench, 0, 1)), HITS_DDL, id_col, text_col)
+        rows = carried(docs, _task(_block(texts, bench, 0, 1, window)), HITS_DDL, id_col, text_col)
         return unpacked(rows.where((n_hit == 0) | (share * n_hit < F.col("n_words"))), docs)
-    bad = _text_hits(texts, bench, n_blocks).where((n_hit > 0) & (share * n_hit >= F.col("n_words"))).select("t1", "t2")
+    bad = _text_hits(texts, bench, n_blocks, window).where((n_hit > 0) & (share * n_hit >= F.col("n_words"))).select("t1", "t2")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = _keyed(docs.select(row, F.col(text_col).cast("string").alias("text")))
     return unpacked(rows.join(bad, ["t1", "t2"], "left_anti"), docs)
