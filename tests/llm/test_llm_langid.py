@@ -52,3 +52,39 @@ def test_predictions_do_not_depend_on_partitions(spark, model):
     texts = [(i, f"text {i} and the other one of them") for i in range(40)]
     a, b = ({r.doc_id: r.score for r in langid.predict(documents(spark, texts, p), model).collect()} for p in (1, 7))
     assert a == b
+
+
+LATIN = ["the cat and the dog went home", "der hund und die katze gehen", "le chat et le chien vont"]
+
+
+def test_rows_are_sampled_one_by_one(spark, monkeypatch):
+    """Ids that many rows share, or that are missing, neither multiply nor hide rows."""
+    counted = []
+    build = langid.build
+    monkeypatch.setattr(langid, "build", lambda langs, chars, lang, gram, n: counted.append((langs, n.sum())) or build(langs, chars, lang, gram, n))
+    d = documents(spark, [(1, LATIN[0])] * 300 + [(None, LATIN[0])] * 20)
+    langid.fit(d, docs_per_lang=40)
+    assert counted[-1] == (["en"], 32 * (len(LATIN[0]) + 1))
+    langid.fit(documents(spark, [(None, LATIN[0])] * 5), docs_per_lang=40)
+    assert counted[-1][1] == 4 * (len(LATIN[0]) + 1)
+
+
+def test_long_labelled_texts_are_learned_from_their_beginning(spark):
+    d = documents(spark, [(i, LATIN[0] * 50) for i in range(10)])
+    m = langid.fit(d, max_chars=200)
+    assert m.langs == ["en"] and langid.predict(d, m).first().lang_pred == "en"
+
+
+def test_too_many_labels_are_refused(spark):
+    d = documents(spark, [(i, LATIN[0]) for i in range(9)]).selectExpr("doc_id", "text", "cast(doc_id as string) as lang")
+    with pytest.raises(ValueError):
+        langid.fit(d, max_languages=8)
+    assert len(langid.fit(d, max_languages=9).langs) == 9
+
+
+def test_digits_blank_latin_words_only(spark, model):
+    sym = lambda t: langid.symbols([t])
+    assert sym("ab1 cd")[2].tolist() == [[4, 2]] and sym("日本1語と2")[2].tolist() == [[4, 4]] and sym("a1 b2")[2].tolist() == [[2, 0]]
+    got = langid.predict(documents(spark, [(1, "the1 and2 of3 that4 " * 20)]), model).first()
+    assert got.rejected and got.lang_pred != "und"
+

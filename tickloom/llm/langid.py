@@ -1,18 +1,19 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training takes at most ``docs_per_lang`` labelled texts of at most ``max_chars`` characters per language,
-those with the smallest hash of their id (a documented, bounded sample; four fifths train, one fifth
+Training takes at most ``docs_per_lang`` labelled texts per language, of each at most the first ``max_chars`` characters, from the
+rows with the smallest hash of their id (a documented, bounded sample; four fifths train, one fifth
 calibrates). Spark counts the character n-grams of each language; from the counts the driver builds
 the tables, whose size the sample bounds. All languages share one set of sorted hash arrays: an n-gram's
 row holds its interpolated log-probability in every language, a history's row the weight with which it
 backs off. A text's language is the one with the lowest cross-entropy per character over the whole text;
-letters are lower-cased, words with digits in them and every run of other characters are one space.
+letters are lower-cased, Latin words with digits in them and every run of other characters are one space. The tables
+know the 4,092 most frequent letters of the sample, others are one unknown letter.
 
 Rejection is calibrated on the held-back fifth: a text is rejected if its best cross-entropy is above
 mean + 8 deviations (which shrink with the root of its length) + one nat for that language.
 ``score`` is the posterior of the language, lowered by the excess over that bound.
 
-Null texts and texts without a letter are ``und`` with score 0 and rejected. Ties go to the language whose
+Null texts and texts without a letter are ``und`` with score 0 and rejected; texts without a scored letter are rejected. Ties go to the language whose
 name comes first. Without any training row every text is ``und``. Repeated rows are answered each.
 """
 
@@ -32,7 +33,6 @@ ORDER = 5
 BITS = 12
 SPACE, UNKNOWN, FIRST = 1, 2, 3
 U64 = np.uint64
-MAX_LANGUAGES = 256
 _fold: list[np.ndarray] = []
 
 
@@ -48,7 +48,7 @@ def _letters() -> np.ndarray:
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Folded code points of all texts, each preceded by ORDER-1 spaces and followed by one; the text of
-    each, and the number of letters per text."""
+    each, and per text the number of letters and of those that are scored."""
     enc = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
     n = np.array([len(e) // 4 for e in enc])
     raw = np.frombuffer(b"".join(enc), np.uint32)
@@ -63,7 +63,8 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         run = np.cumsum(begin)
         coded = np.zeros(int(run[-1]) + 1, bool)
         coded[run[digit]] = True
-        cps[inside & coded[run]] = 0
+        cps[inside & coded[run] & (raw < 0x250)] = 0  # scripts without spaces run on
+    left = T.counts_by(doc[cps > 0], len(texts))
     keep = cps > 0
     keep[1:] |= (cps[:-1] > 0) & (doc[1:] == doc[:-1])  # the first of a run of other characters stays
     cps, doc = cps[keep], doc[keep]
@@ -71,7 +72,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     at = np.concatenate(([0], np.cumsum(m)))
     out = np.zeros(at[-1], np.uint32)
     out[np.arange(len(cps)) + (doc + 1) * (ORDER - 1) + doc] = cps
-    return out, np.repeat(np.arange(len(texts)), m), letters
+    return out, np.repeat(np.arange(len(texts)), m), np.stack([letters, left], axis=1)
 
 
 def _grams(sym: np.ndarray) -> np.ndarray:
@@ -218,25 +219,26 @@ def _text_slices(texts: pa.Array):
         yield lo, hi
 
 
-def fit(train: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+def fit(train: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, max_languages: int = 256, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
     """Model from labelled rows; see the module for the sample."""
     rows = findable(train).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                        F.col(lang_col).cast("string").alias("lang")).where("lang is not null and length(text) between 1 and %d" % max_chars)
+                        F.col(lang_col).cast("string").alias("lang")).where("lang is not null and length(text) > 0")
     # counts per hash bucket give each language's last bucket, so that ranking sees little more than the sample
     rows = rows.withColumn("_bucket", F.shiftrightunsigned(F.xxhash64("doc_id"), 48))
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("_bucket"))  # 65,536 buckets at most
     counts = rows.groupBy("lang", "_bucket").agg(F.count("*").alias("n")).withColumn("upto", upto)
     last = F.coalesce(F.min(F.when(F.col("upto") >= docs_per_lang, F.col("_bucket"))), F.max("_bucket"))
-    found = counts.groupBy("lang").agg(last.alias("last")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = counts.groupBy("lang").agg(last.alias("last")).limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: clean the labels or raise max_languages (and the memory of the tables)")
     langs = sorted(r.lang for r in found)
     limit = F.create_map(*(x for r in found for x in (F.lit(r.lang), F.lit(r["last"])))) if found else F.create_map(F.lit(""), F.lit(-1).cast("long"))
     rows = rows.where(F.col("_bucket") <= limit[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("_bucket", F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang", "_bucket").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= docs_per_lang)
-    sample = rows.join(F.broadcast(ids.select("doc_id", "lang", "_rank")), ["doc_id", "lang"])  # at most docs_per_lang x MAX_LANGUAGES ids
+    # rows are ranked, not ids: each task keeps docs_per_lang rows a language before the shuffle, however many share an id
+    order = Window.partitionBy("lang").orderBy("_bucket", F.xxhash64("doc_id"), "doc_id", "text")
+    rows = rows.withColumn("text", F.left("text", F.lit(max_chars)))
+    sample = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= docs_per_lang)
     part = sample.select("lang", "text", (F.col("_rank") % 5 == 0).alias("held"))
 
     def count(batches):
@@ -282,7 +284,7 @@ def fit(train: DataFrame, docs_per_lang: int = 400, max_chars: int = 20_000, id_
             for lo, hi in _text_slices(b.column(1)):
                 ce, size, letters = cross_entropy(m, tables, b.column(1).slice(lo, hi - lo).to_pylist())
                 own = ce[np.arange(hi - lo), [langs.index(x) for x in names[lo:hi]]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), pa.array(own), pa.array(size), pa.array(letters)], ["lang", "ce", "n", "letters"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), pa.array(own), pa.array(size), pa.array(letters[:, 1])], ["lang", "ce", "n", "letters"])
 
     seen = held.mapInArrow(measure, "lang string, ce double, n long, letters long").where("letters > 0").toPandas()  # docs_per_lang / 5 rows a language
     for i, name in enumerate(langs):
@@ -331,7 +333,7 @@ def _predict(m: Model, tables, b: pa.RecordBatch) -> pa.RecordBatch:
     low = ce[np.arange(n_docs), best]
     post = 1.0 / np.exp(-(ce - low[:, None]) * n[:, None].clip(max=200)).sum(axis=1)
     over = low - (m.bound[best, 0] + 8 * m.bound[best, 1] / np.sqrt(n) + 1.0)
-    und = letters == 0
+    und = letters[:, 0] == 0
     score = np.where(und, 0.0, post * np.exp(-np.maximum(over, 0) * np.sqrt(n).clip(max=10)))
     return batch(PREDICTED, doc_id=b.column(0), lang_pred=["und" if u else m.langs[i] for u, i in zip(und, best)], score=score,
-                 cross_entropy=pa.array(low, pa.float64(), mask=und), rejected=und | (over > 0))
+                 cross_entropy=pa.array(low, pa.float64(), mask=und), rejected=(letters[:, 1] == 0) | (over > 0))
