@@ -44,3 +44,10 @@ def test_lone_text_and_empty_table(spark):
     d = documents(spark, [(1, "a b a b"), (2, None)])
     assert {r.doc_id: round(r.log_score, 9) for r in backoff_lm.score(d).collect()} == {i: round(s, 9) for i, (_, s) in brute([(1, "a b a b"), (2, None)]).items()}
     assert backoff_lm.score(d.where("false")).count() == 0
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    texts = odd_texts(3, 30)
+    with_ids, without = (sorted((r.n_words, round(r.log_score, 6)) for r in backoff_lm.score(documents(spark, rows)).collect())
+                         for rows in (texts, [(None, t) for _, t in texts]))
+    assert with_ids == without

@@ -45,3 +45,12 @@ def test_rows_that_share_an_id_are_each_answered(spark):
     text = " ".join(map(str, range(30)))
     d = documents(spark, [(1, text), (1, text), (2, text)])
     assert sorted((r.doc_id, r.n_removed) for r in rlz_dedup.deduplicate(d, 20).collect()) == [(1, 0), (1, 30), (2, 30)]
+
+
+def test_rows_without_an_id_come_last_and_one_by_one(spark):
+    a, b = " ".join(map(str, range(30))), " ".join(map(str, range(40, 75)))
+    d = documents(spark, [(None, a), (None, a), (None, b), (7, a), (8, b + " x"), (None, None)])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, {f.ref_doc for f in r.factors}) for r in rlz_dedup.deduplicate(d, 20).collect())
+    assert got == [(False, 7, 30, 0, set()), (False, 8, 36, 0, set()), (True, 0, 0, 0, set()), (True, 0, 30, 30, {7}), (True, 0, 30, 30, {7}), (True, 0, 35, 35, {8})]
+    lone = documents(spark, [(None, a), (None, a)])
+    assert sorted((r.n_removed, [f.ref_doc for f in r.factors]) for r in rlz_dedup.deduplicate(lone, 20).collect()) == [(0, []), (30, [None])]

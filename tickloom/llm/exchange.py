@@ -30,9 +30,11 @@ POSTED_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys",
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id and text with their chunk number, hash-partitioned by chunk (null ids are one document's)."""
+    """doc_id, text, place (the id; for null ids 2^62 and a hash of the text, so that they are many documents after all others)
+    and the chunk number, a hash of the place."""
     n = 4 * partitions(docs)
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"))
+    place = F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+    return docs.select("doc_id", "text", place.alias("place")).withColumn("chunk", F.pmod(F.xxhash64("place"), F.lit(n)).cast("int"))
 
 
 def narrow(keys: np.ndarray, owners: int) -> np.ndarray:

@@ -1,8 +1,10 @@
 """Repeated passages by relative Lempel-Ziv parsing against all earlier text.
 
-The reference is the collection itself, in the order (doc_id, position). A document is parsed greedily into factors:
-a factor is the longest run of words that also stands, word for word, at an earlier place, and counts
-when it has at least ``window`` words. Every word inside such a factor is a repeat.
+The reference is the collection itself, in the order (doc_id, position). A document is parsed from left to right into factors:
+a factor begins at a window that also stands, word for word, at an earlier place, takes that window's first place as its
+reference, and goes on while the next window's first place is the next word there; where the first place lies elsewhere a new factor
+begins, so factors may overlap and be shorter than the longest possible match. Every word inside a factor is a repeat, and the
+words covered are the same as by the longest matches.
 
 Index and parse in two exchanges over chunks of documents (see ``exchange``):
 
@@ -11,12 +13,12 @@ Index and parse in two exchanges over chunks of documents (see ``exchange``):
 2. Reference blocks. The remaining windows are indexed by full 64-bit hash in the block that owns their range, each with
    its first place (doc_id, position) in every chunk; the block replies with the first place of all and a second hash.
 
-The parse then walks the documents: a factor begins at a window with an earlier place, and goes on while the next window's
-place is the next word of the same reference. A factor's windows, its two boundaries among them, are checked by a second
-hash against the reference's (80 bits in all). A window that repeats the document itself counts from its second place on.
+A factor's windows, its two boundaries among them, are checked by a second hash against the reference's (80 bits in all). A window
+that repeats the document itself counts from its second place on.
 
 Nothing is capped. Null texts and texts with fewer than ``window`` words are left as they are. Rows that share a
-doc_id are taken as one document after another in text-hash order within their chunk, so their windows count as earlier and later.
+doc_id are taken as one document after another in the order of their texts, so their windows count as earlier and later. Rows
+without an id come after all others, in the order of a hash of their text; as a factor's reference they are null.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ SEED = 8
 
 
 def _sorted(t: pa.Table) -> pa.Table:
-    """The chunk by doc_id (and text, for rows that share one), so that positions are ordered like places."""
-    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """The chunk by place (and text, for rows that share an id), so that positions are ordered like places."""
+    return t.sort_by([("place", "ascending"), ("text", "ascending")])
 
 
 def _pieces(t: pa.Table):
@@ -100,7 +102,7 @@ def _index(chunk: int, t: pa.Table, replies: pa.Table, window: int, owners: int)
     del places
     repeated = repeated[X.answers(replies) > 1]
     key, doc, pos, check = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
-    ids = t["doc_id"].fill_null(0).to_numpy()
+    ids = t["place"].to_numpy()
     for lo, w, at, seed in pieces:
         if not len(at) or not len(repeated):
             continue
@@ -171,7 +173,7 @@ def _parse(t: pa.Table, replies: pa.Table, window: int) -> pa.Table:
         far, (far_doc, far_pos, far_check) = np.concatenate(far), (np.concatenate(x) for x in zip(*place))
     else:
         far = np.zeros(0, U64)
-    ids = t["doc_id"].fill_null(0).to_numpy()
+    ids = t["place"].to_numpy()
     pieces, keys, texts, poss, checks = [], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)]
     for lo, hi, data, w in _pieces(t):
         at = _starts(w, window)
@@ -226,7 +228,7 @@ def _parse(t: pa.Table, replies: pa.Table, window: int) -> pa.Table:
         flat = np.delete(flat, offs[1:][full] - 1)  # the space after a text's last word
         offs = offs - np.concatenate(([0], np.cumsum(full)))
         kept = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))).cast(pa.string())
-        parts = pa.StructArray.from_arrays([pa.array(pos[b[fs]]), pa.array(pos[e[fs]] + np.int32(window)), pa.array(ref_doc[b[fs]]), pa.array(ref_pos[b[fs]])],
+        parts = pa.StructArray.from_arrays([pa.array(pos[b[fs]]), pa.array(pos[e[fs]] + np.int32(window)), pa.array(ref_doc[b[fs]], mask=ref_doc[b[fs]] >= 1 << 62), pa.array(ref_pos[b[fs]])],
                                            fields=list(FACTORS.value_type))
         per = np.concatenate(([0], np.cumsum(T.counts_by(text[b[fs]] - lo, hi - lo))))
         factors = pa.ListArray.from_arrays(pa.array(per, pa.int32()), parts).cast(FACTORS)
