@@ -13,6 +13,7 @@ from tickloom.operators import labels as lb
 from tickloom.operators import ledger as lg
 from tickloom.operators import metrics as mx
 from tickloom.operators import signals as sg
+from tickloom.operators import user_metrics as um
 from tickloom.operators.blocks import blocked, core
 from tickloom.plans import sweep as sw
 from tickloom.plans.inputs import bars, orders_daily, price_probability, risk_scores, trades
@@ -24,6 +25,19 @@ B = bars_cte()
 Q, S = {}, {}
 
 
+def user_metrics(s, sf):
+    """Python metrics and a column aggregate of the close's drawdown."""
+    d = mx.add_drawdown(cut(bars(s, sf)), "close")
+    return um.evaluate(d, {"ulcer": um.ULCER, "longest_under": um.LONGEST_UNDER, "worst": F.min("drawdown")}, size=512)
+
+
+Q["udf_user_metrics"] = user_metrics
+S["udf_user_metrics"] = f"""WITH {B}, x AS (SELECT *, close / nullif(max(close) OVER (PARTITION BY symbol ORDER BY bar), 0) - 1 AS dd FROM b),
+y AS (SELECT *, sum((coalesce(dd, 0) >= 0)::INT) OVER (PARTITION BY symbol ORDER BY bar) AS g FROM x), n AS (SELECT symbol, g, count(*) FILTER (dd < 0) AS k FROM y GROUP BY 1, 2),
+l AS (SELECT symbol, max(k)::DOUBLE AS longest_under FROM n GROUP BY 1)
+SELECT x.symbol, {r('sqrt(avg(dd * dd))', 'ulcer')}, any_value(longest_under) AS longest_under, {r('min(dd)', 'worst')} FROM x JOIN l ON l.symbol = x.symbol GROUP BY 1"""
+
+
 def sided(spark, sf, source=bars):
     """Bars with a simple level rule as the direction and a fixed notional."""
     side = F.when(F.col("close") > 300, 1).when(F.col("close") < 180, -1).otherwise(0)
