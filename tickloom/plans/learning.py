@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import feature_set_score
@@ -134,21 +136,27 @@ def fold_quality(scored: DataFrame) -> DataFrame:
     return join_safe(ret, auc(scored, keys=["fold"]), ["fold"]).select("fold", "rows", "n_pos", "auc", "pseudo_return").orderBy("fold")
 
 
-def walk_forward(data: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
+def together(jobs: Sequence[Callable[[], object]], workers: int = 4) -> list:
+    """Results of driver-side jobs in order, some at a time: while one fit waits for its last tasks the next ones use the cluster."""
+    spark = SparkSession.getActiveSession()
+    kept = inheritable_thread_target(spark) if spark else lambda job: job  # properties and tags go along
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(kept(job)) for job in jobs]]
+
+
+def walk_forward(data: DataFrame, features: Sequence[str], seed: int = 42, workers: int = 4) -> DataFrame:
     """Fit and score every fold: rows, AUC and pseudo-return of the test part.
 
     ``data`` carries ``fold`` and ``role``; it is written once because every fold
-    reads it.  Only the fits run one after another (each is distributed); the scored
+    reads it.  ``workers`` fits run at a time (each is distributed); the scored
     folds are one table and are judged together.
     """
     d = cut(data)
-    scored = None
-    for k in sorted(r[0] for r in d.select("fold").distinct().collect()):
-        part = d.filter(F.col("fold") == k)
-        model = fit_blend(part.filter("role = 'train'"), features, seed)
-        p = score_test(model, part.filter("role = 'test'")).select(F.lit(k).alias("fold"), "p", "label")
-        scored = p if scored is None else scored.unionByName(p)
-    return fold_quality(scored)
+    folds = sorted(r[0] for r in d.select("fold").distinct().collect())
+    part = {k: d.filter(F.col("fold") == k) for k in folds}
+    models = together([partial(fit_blend, part[k].filter("role = 'train'"), features, seed) for k in folds], workers)
+    scored = [score_test(m, part[k].filter("role = 'test'")).select(F.lit(k).alias("fold"), "p", "label") for k, m in zip(folds, models)]
+    return fold_quality(reduce(DataFrame.unionByName, scored))
 
 
 def score_test(model: Blend, test: DataFrame) -> DataFrame:
@@ -158,27 +166,24 @@ def score_test(model: Blend, test: DataFrame) -> DataFrame:
 
 
 def compare_models(data: DataFrame, features: Sequence[str], kinds: Sequence[str] = ("logistic", "forest", "boosting"),
-                   grid: Mapping[str, Sequence[Mapping]] | None = None) -> DataFrame:
+                   grid: Mapping[str, Sequence[Mapping]] | None = None, workers: int = 4) -> DataFrame:
     """Mean and deviation of the fold AUCs per model and setting.
 
     Folds come from ``data`` (fold, role): a random cross-validation would train on the future.
     """
     d = cut(data)
     folds = [r[0] for r in d.select("fold").distinct().orderBy("fold").collect()]
-    rows = None
-    for kind in kinds:
-        for i, params in enumerate((grid or {}).get(kind, [{}])):
-            for k in folds:
-                part = d.filter(F.col("fold") == k)
-                model = pipeline(features, kind, **params).fit(part.filter("role = 'train'").select(*features, "label"))
-                p = probability(model, part.filter("role = 'test'"), "p")
-                p = p.select(F.lit(kind).alias("model"), F.lit(i).alias("setting"), F.lit(k).alias("fold"), "p", "label")
-                rows = p if rows is None else rows.unionByName(p)
+    runs = [(kind, i, params, k) for kind in kinds for i, params in enumerate((grid or {}).get(kind, [{}])) for k in folds]
+    train = {k: d.filter((F.col("fold") == k) & (F.col("role") == "train")).select(*features, "label") for k in folds}
+    models = together([partial(pipeline(features, kind, **params).fit, train[k]) for kind, _, params, k in runs], workers)
+    scored = [probability(m, d.filter((F.col("fold") == k) & (F.col("role") == "test")), "p").select(
+        F.lit(kind).alias("model"), F.lit(i).alias("setting"), F.lit(k).alias("fold"), "p", "label") for m, (kind, i, _, k) in zip(models, runs)]
+    rows = reduce(DataFrame.unionByName, scored)
     return auc(rows, keys=["model", "setting", "fold"]).groupBy("model", "setting").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds")).orderBy("model", "setting")
 
 
 def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS), th_long: float = 0.55, th_short: float = 0.45,
-                      notional: float = 10_000.0) -> DataFrame:
+                      notional: float = 10_000.0, workers: int = 4) -> DataFrame:
     """Fit one model per named feature set and trade the last part of each symbol.
 
     ``missing`` names the features of a set that ``data`` has not.
@@ -186,10 +191,10 @@ def feature_set_sweep(data: DataFrame, sets: Sequence[str] = tuple(FEATURE_SETS)
     ``data``: symbol, ts, bar, close, label, role and the features.
     """
     d = cut(data)
+    found = {name: feature_set(name, d.columns) for name in sets}
+    models = together([partial(pipeline(cols, "logistic").fit, d.filter("role = 'train'").select(*cols, "label")) for cols, _ in found.values()], workers)
     out = None
-    for name in sets:
-        cols, missing = feature_set(name, d.columns)
-        model = pipeline(cols, "logistic").fit(d.filter("role = 'train'").select(*cols, "label"))
+    for model, (name, (cols, missing)) in zip(models, found.items()):
         test = probability(model, d.filter("role = 'test'"), "p")
         test = test.select(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("n_features"), F.lit(",".join(missing)).alias("missing"),
                            "symbol", "bar", "close", "p")

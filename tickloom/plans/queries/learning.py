@@ -11,6 +11,7 @@ from tickloom.operators import regimes as rg
 from tickloom.operators.filters import probability_gate
 from tickloom.plans import folds as fo
 from tickloom.plans import learning as ml
+from tickloom.plans.fold_table import fold_rows
 from tickloom.plans.inputs import bars, daily, price_probability
 from tickloom.plans.queries.indicators import LR, VW, eff, z
 from tickloom.plans.queries.sqlbase import DAILY, bars_cte, frame, r
@@ -83,10 +84,12 @@ x AS (SELECT symbol, bar, unnest(range(rk, (SELECT k FROM n))) AS fold, 'train'
 t AS (SELECT symbol, fold, min(bar) AS t0 FROM x WHERE role = 'test' GROUP BY 1, 2)
 SELECT x.symbol, x.fold::INT AS fold, role, count(*) AS n, min(bar) AS first_bar, max(bar) AS last_bar FROM x LEFT JOIN t ON x.symbol = t.symbol AND x.fold = t.fold WHERE role = 'test' OR t0 IS NULL OR bar + 3 < t0 GROUP BY 1, 2, 3"""
 Q["d22_rolling_folds"] = lambda s, sf: fold_report(fo.rolling_folds(bars(s, sf).select("symbol", "ts", "bar"), 400, 100, 150, purge=6))
-S["d22_rolling_folds"] = f"""WITH {B}, n AS (SELECT symbol, max(bar) AS mx FROM b GROUP BY 1), f AS (SELECT symbol, unnest(range(0, 50)) AS fold, mx FROM n),
+S["d22_rolling_folds"] = f"""WITH {B}, n AS (SELECT symbol, max(bar) AS mx FROM b GROUP BY 1), f AS (SELECT symbol, unnest(range(0, mx // 150 + 1)) AS fold, mx FROM n),
 g AS (SELECT * FROM f WHERE fold * 150 + 400 <= mx),
 x AS (SELECT b.symbol, bar, fold, CASE WHEN bar < fold * 150 + 400 THEN 'train' ELSE 'test' END AS role FROM b JOIN g ON b.symbol = g.symbol AND bar >= fold * 150 AND bar < fold * 150 + 500)
 SELECT symbol, fold::INT AS fold, role, count(*) AS n, min(bar) AS first_bar, max(bar) AS last_bar FROM x WHERE role = 'test' OR bar + 6 < fold * 150 + 400 GROUP BY 1, 2, 3"""
+Q["d22_table_function"] = lambda s, sf: fold_report(fold_rows(bars(s, sf).select("symbol", "ts", "bar"), 400, 100, 150, purge=6))
+S["d22_table_function"] = S["d22_rolling_folds"]
 Q["d22_split_folds"] = lambda s, sf: fold_report(fo.split_folds(bars(s, sf).select("symbol", "ts", "bar"), 3))
 S["d22_split_folds"] = f"""WITH {B}, n AS (SELECT symbol, count(*) AS n, count(*) // 4 AS w FROM b GROUP BY 1), f AS (SELECT *, unnest(range(0, 3)) AS fold FROM n),
 x AS (SELECT b.symbol, bar, fold, CASE WHEN bar < n - (3 - fold) * w THEN 'train' WHEN bar < n - (3 - fold) * w + w THEN 'test' END AS role FROM b JOIN f USING (symbol))
