@@ -12,6 +12,7 @@ from tickloom.operators import signals as sg
 from tickloom.operators.blocks import blocked, core
 from tickloom.operators.debounce import debounce, debounce_many
 from tickloom.operators.ema import span
+from tickloom.operators.warmup import with_warmup
 from tickloom.plans.inputs import bars, daily, event_signals, price_probability
 from tickloom.plans.queries.indicators import LR, MACDH, RSI0, eff, z
 from tickloom.plans.queries.sqlbase import DAILY, bars_cte, debounce_cte, ema_cte, frame, lag, r
@@ -215,6 +216,22 @@ def ev_out(d):
 
 Q["p1_date_range"] = lambda s, sf: ev_out(fl.date_range(event_signals(s, sf), "2024-01-05 00:00:00", "2024-01-09 12:00:00"))
 S["p1_date_range"] = f"WITH {EV} SELECT {EVC} FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-09 12:00:00'"
+
+
+def p1_warmup(s, sf):
+    """Features of nine days of January, reading only the bars before them that the features look back to."""
+    def feats(d):
+        d = blocked(d, back=60).withColumns({"ret_12": I.pct_change("close", 12), "mean_50": I.rolling("close", 50, "mean"), "dev_20": I.rolling("close", 20, "std")})
+        return core(d)
+
+    stored = cut(bars(s, sf).drop("bar"))
+    out = with_warmup(stored, "2024-01-12 06:00:00", "2024-01-20 12:00:00", 60, feats)
+    return out.select("symbol", "ts", "close", "ret_12", "mean_50", "dev_20")
+
+
+Q["p1_warmup_features"] = p1_warmup
+S["p1_warmup_features"] = f"""WITH {B}, x AS (SELECT *, close / nullif({lag('close', 12)}, 0) - 1 AS r12, {frame(50, 'avg(close)')} AS m50, {frame(20, 'stddev_samp(close)')} AS d20 FROM b)
+SELECT symbol, ts, {r('close', 'close')}, {r('r12', 'ret_12')}, {r('m50', 'mean_50')}, {r('d20', 'dev_20')} FROM x WHERE ts BETWEEN TIMESTAMP '2024-01-12 06:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"""
 Q["p2_session_window"] = lambda s, sf: ev_out(fl.session_window(event_signals(s, sf), "11:10", "18:30", "Europe/Moscow"))
 SESS = "strftime(ts + INTERVAL 3 HOUR, '%H:%M:%S') BETWEEN '11:10:00' AND '18:30:00'"
 S["p2_session_window"] = f"WITH {EV} SELECT {EVC} FROM ev WHERE {SESS}"
