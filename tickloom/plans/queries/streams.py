@@ -14,8 +14,10 @@ from tickloom.plans.queries.sqlbase import bars_cte, r
 from tickloom.plans.queries.signals import TREND, TREND_SQL
 from tickloom.session import cut, shared_dir
 from tickloom.streaming import bars as sb
+from tickloom.streaming.ordered import ordered_signals, rocksdb_state
 from tickloom.streaming.stateful import stateful_signals
 from tickloom.streaming.upsert import newest_model, refresh_batch, run_upsert
+from tickloom.streaming.versions import run_versions
 
 B = bars_cte()
 Q, S = {}, {}
@@ -98,8 +100,35 @@ def in_two_arrivals(s, sf, build, name):
     return result
 
 
+def r5_versions(s, sf):
+    hour = tick_stream(s, sf).withColumn("ts", F.date_trunc("hour", "ts"))
+    return run_versions(hour, place(s, "r5v"), place(s, "r5v-cp")).select("symbol", "ts", "price", "seq")
+
+
+Q["r5_versioned_upsert"] = r5_versions
+S["r5_versioned_upsert"] = S["r5_upsert_newest"]
+
+
+def r6_ordered(s, sf):
+    """All bars in an order that has nothing to do with time, then a heartbeat that moves the watermark past them."""
+    landing, out, cp = place(s, "landing"), place(s, "r6o"), place(s, "r6o-cp")
+    d = cut(bars(s, sf).drop("bar"))
+    last = d.agg(F.max("ts").alias("ts"))
+    build = lambda: ordered_signals(sb.file_stream(s, landing, d.schema), "60 days", TREND)
+    d.repartition(3, F.xxhash64("symbol", "ts")).write.parquet(landing)
+    with rocksdb_state(s):
+        sb.run_available(build(), out, cp)
+        beat = last.select(F.lit("(heartbeat)").alias("symbol"), (F.col("ts") + F.expr("interval 61 days")).alias("ts"),
+                           *[F.lit(1.0).alias(c) for c in d.columns if c not in ("symbol", "ts")])
+        beat.select(*d.columns).write.mode("append").parquet(landing)
+        result = sb.run_available(build(), out, cp)
+    return result.filter("symbol <> '(heartbeat)'")
+
+
+Q["r6_ordered_signals"] = lambda s, sf: r6_ordered(s, sf).select("symbol", "ts", "raw_dir", "signal", "late")
 Q["r6_stateful_signals"] = lambda s, sf: in_two_arrivals(s, sf, lambda b: stateful_signals(b, TREND), "r6").select("symbol", "ts", "raw_dir", "signal", "late")
 S["r6_stateful_signals"] = f"""WITH RECURSIVE {B}, {TREND_SQL} SELECT b.symbol, b.ts, tr.raw_dir, td.dir AS signal, false AS late FROM b JOIN tr USING (symbol, bar) JOIN td USING (symbol, bar)"""
+S["r6_ordered_signals"] = S["r6_stateful_signals"]
 
 Q["r7_drawdown_alert"] = lambda s, sf: in_two_arrivals(s, sf, lambda b: stateful_signals(b, TREND, limit=0.9), "r7").select("symbol", "ts", "peak", "drawdown", "alert")
 S["r7_drawdown_alert"] = f"""WITH {B}, x AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY bar) AS pk FROM b)

@@ -22,6 +22,11 @@ STATE = ("n long, last_us long, prev double, fast double, slow double, atr doubl
          "since long, peak double")
 
 
+def fresh() -> dict:
+    """The numbers of a symbol without a bar."""
+    return {"n": 0, "last_us": -1, "prev": 0.0, "fast": 0.0, "slow": 0.0, "atr": 0.0, "up": 0.0, "dn": 0.0, "held": 0, "since": -(10**9), "peak": 0.0}
+
+
 def _advance(s: dict, row, p: Trend, rsi_len: int, limit: float) -> tuple:
     """One bar: update the state in place and return the output fields."""
     c, h, low = row.close, row.high, row.low
@@ -47,7 +52,7 @@ def _advance(s: dict, row, p: Trend, rsi_len: int, limit: float) -> tuple:
     if raw != s["held"] and s["n"] - s["since"] >= p.gap:
         s["held"], s["since"] = raw, s["n"]
     s["peak"] = c if first else max(s["peak"], c)
-    dd = c / s["peak"] - 1.0
+    dd = c / s["peak"] - 1.0 if s["peak"] else 0.0
     s["prev"], s["n"] = c, s["n"] + 1
     return s["fast"], s["slow"], rsi, raw, s["held"], s["peak"], dd, dd < -limit, False
 
@@ -64,9 +69,7 @@ def stateful_signals(bars: DataFrame, p: Trend = Trend(), rsi_len: int = 14, lim
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(chunks)).sort_values("ts", kind="stable")
-        s = dict(zip(names, state.get)) if state.exists else {
-            "n": 0, "last_us": -1, "prev": 0.0, "fast": 0.0, "slow": 0.0, "atr": 0.0, "up": 0.0, "dn": 0.0, "held": 0,
-            "since": -(10**9), "peak": 0.0}
+        s = dict(zip(names, state.get)) if state.exists else fresh()
         out = []
         for row in pdf.itertuples():
             us = int(row.ts.value // 1000)
