@@ -266,7 +266,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_i
 
 
 def firsts(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` of each component: the smallest id (null ids last), of rows that repeat it any one."""
+    """One row of ``docs`` of each component: the smallest id (null ids last), of rows that repeat it the one with the smallest hash."""
     answered = _answered(docs, size, percent, id_col, text_col).where("first")
     # keys are one component's, except those of texts without words, whose rows all stay
     keys = cut(answered.groupBy("k1", "k2").agg(((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated")))
@@ -274,5 +274,6 @@ def firsts(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc
     rows = _keyed(docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     kept = rows.select("row", "k1", "k2").join(keys, ["k1", "k2"])
     if not keys.where("repeated").isEmpty():
-        kept = kept.where("not repeated").unionByName(kept.where("repeated").dropDuplicates(["k1", "k2"]))
+        kept = kept.where("not repeated").unionByName(kept.where("repeated").groupBy("k1", "k2").agg(
+            F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row", "k1", "k2", F.lit(True).alias("repeated")))
     return unpacked(kept, docs)
