@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents linked at 85 % of their four-word shingles."""
-    return ngram_join.firsts(docs, size=4, percent=85)
+    """One document of each group of documents linked at 80 % of their five-word shingles."""
+    return ngram_join.firsts(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
