@@ -10,6 +10,7 @@ from tickloom.operators.asof import carry_forward
 from tickloom.operators.blocks import blocked, core, prefix
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
 from tickloom.operators.metrics import add_drawdown
+from tickloom.operators.order_stats import Rolling, add_order_stats
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
 from tickloom.plans.inputs import bars, daily
 from tickloom.plans.queries.sqlbase import DAILY, bars_cte, ema_cte, frame, lag, r
@@ -78,6 +79,17 @@ S["w4_rolling"] = f"""WITH {B} SELECT symbol, bar, {r(frame(20, 'avg(close)'), '
  {r(frame(20, 'stddev_pop(close)'), 'p20')}, {r(frame(14, 'min(low)'), 'lo14')}, {r(frame(14, 'max(high)'), 'hi14')},
  {r(frame(10, 'sum(volume)', 1), 'v10')}, {r(frame(40, 'quantile_cont(close, 0.8)', 10), 'q80')}, {r(frame(15, 'quantile_cont(close, 0.5)'), 'med')} FROM b"""
 
+Q["w4_long_frames"] = on_bars(
+    2000,
+    lambda d: add_order_stats(d, {"q20": Rolling("volume", 2000, 0.2, 20), "med": Rolling("close", 2000, min_rows=100),
+                                  "q98": Rolling("high", 200, 0.98), "dev": Rolling("close", 199, None)}),  # an odd length: no sums that lie just between two roundings
+)
+S["w4_long_frames"] = f"""WITH {B}, m AS (SELECT symbol, bar, {frame(2000, 'quantile_cont(volume, 0.2)', 20)} AS q20, {frame(2000, 'quantile_cont(close, 0.5)', 100)} AS med,
+ {frame(200, 'quantile_cont(high, 0.98)')} AS q98, {frame(199, 'avg(close)')} AS mean FROM b),
+v AS (SELECT m.symbol, m.bar, avg(abs(b.close - mean)) AS dev FROM m JOIN b ON b.symbol = m.symbol AND b.bar BETWEEN m.bar - 198 AND m.bar
+ WHERE mean IS NOT NULL GROUP BY 1, 2)
+SELECT symbol, bar, {r('q20', 'q20')}, {r('med', 'med')}, {r('q98', 'q98')}, {r('dev', 'dev')} FROM m LEFT JOIN v USING (symbol, bar)"""
+
 
 def w5(spark, sf):
     q = exact_quantiles(daily(spark, sf), ["close", "volume"], [0.05, 0.5, 0.95])
