@@ -12,6 +12,7 @@ from tickloom.functions.scalars import clip, cut_bins
 from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, blocked, core, join_safe
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
+from tickloom.operators.order_stats import Rolling, add_order_stats
 from tickloom.operators.quantiles import exact_quantiles, quantile_columns
 from tickloom.schema import require_columns
 
@@ -76,8 +77,8 @@ def dynamic_regime(bars: DataFrame, mode: str = "full", window: int = 500, smoot
         }
     )
     if mode == "trailing":
-        lim = {n: I.rolling(x, window, "quantile", 30, q=q) for n, x, q in (("_qt", "_ts", 0.7), ("_qv", "_vl", 0.8), ("_qr", "_rg", 0.7))}
-        df = df.withColumns(lim)
+        lim = {n: Rolling(x, window, q, 30) for n, x, q in (("_qt", "_ts", 0.7), ("_qv", "_vl", 0.8), ("_qr", "_rg", 0.7))}
+        df = add_order_stats(df, lim)
     else:
         stats = df.filter("_core")
         q = exact_quantiles(stats, ["_ts", "_vl", "_rg"], [0.7, 0.8])

@@ -13,6 +13,7 @@ from tickloom.operators import indicators as I
 from tickloom.operators.blocks import KEYS, blocked, core
 from tickloom.operators.debounce import debounce
 from tickloom.operators.ema import Ema, add_emas, ema_back, span
+from tickloom.operators.order_stats import Rolling, add_order_stats
 from tickloom.schema import require_columns
 from tickloom.session import cut
 
@@ -176,9 +177,10 @@ def probability_signal(bars: DataFrame, p: str = "p", th_long: float | None = No
     lo, sh = thresholds(th_long, th_short)
     back = max(200 + risk.vol_lb + 1, ema_back([span(20), span(60)]))
     df = add_realized_vol(blocked(bars, back=back), risk.vol_lb, "vol")
-    df = df.withColumns(
-        {"_med": I.rolling("vol", 200, "quantile", 20, q=0.5), "_q20": I.rolling("vol", 200, "quantile", 20, q=0.2)}
-    )
+    if use_filters:
+        df = add_emas(df, [Ema("_f", "close", span(20)), Ema("_s", "close", span(60))])
+    # last of the steps over a block, so that all of them read one exchange
+    df = add_order_stats(df, {"_med": Rolling("vol", 200, 0.5, 20), "_q20": Rolling("vol", 200, 0.2, 20)})
     floor = clip(F.when(F.col("vol") >= F.col("_med"), risk.floor_volatile).otherwise(risk.floor_stable), 0.5, 0.99)
     conf = F.when(F.col(p) <= sh, 1 - F.col(p)).otherwise(F.col(p)) if short_confidence else F.col(p)
     df = df.withColumn("floor", floor)
@@ -187,7 +189,6 @@ def probability_signal(bars: DataFrame, p: str = "p", th_long: float | None = No
     df = df.withColumn("side", side)
     keep = F.col("side") != 0
     if use_filters:
-        df = add_emas(df, [Ema("_f", "close", span(20)), Ema("_s", "close", span(60))])
         trend = ((F.col("side") > 0) & (F.col("_f") > F.col("_s"))) | ((F.col("side") < 0) & (F.col("_f") < F.col("_s")))
         keep = keep & (F.col("vol") >= F.col("_q20")) & trend
     df = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))
@@ -206,12 +207,12 @@ def momentum_entries(bars: DataFrame, vol_lb: int = 48, z_thr: float = 1.0, use_
     """Entry flags: return z-score, average trend with a rising fast average, enough volume."""
     df = blocked(bars, back=max(ema_back([span(20), span(60)], 1), 100, vol_lb + 1))
     df = df.withColumn("_r", F.coalesce(I.pct_change("close"), F.lit(0.0)))
-    df = df.withColumns({"z": F.coalesce(I.zscore("_r", vol_lb, eps=None), F.lit(0.0)),
-                         "_vq": I.rolling(F.coalesce("volume", F.lit(0.0)), 100, "quantile", q=0.2)})
+    df = df.withColumns({"z": F.coalesce(I.zscore("_r", vol_lb, eps=None), F.lit(0.0)), "_v0": F.coalesce("volume", F.lit(0.0))})
     long, short = F.col("z") >= z_thr, F.col("z") <= -z_thr
     if use_filters:
         df = add_emas(df, [Ema("_f", "close", span(20)), Ema("_s", "close", span(60))])
         df = df.withColumn("_slope", F.col("_f") - I.lag("_f"))
+        df = add_order_stats(df, {"_vq": Rolling("_v0", 100, 0.2)})
         vol_ok = F.coalesce(F.col("volume") >= F.col("_vq"), F.lit(False))
         long = long & (F.col("_f") > F.col("_s")) & (F.col("_slope") > 0) & vol_ok
         short = short & (F.col("_f") < F.col("_s")) & (F.col("_slope") < 0) & vol_ok

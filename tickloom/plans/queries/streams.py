@@ -14,6 +14,7 @@ from tickloom.plans.queries.sqlbase import bars_cte, r
 from tickloom.plans.queries.signals import TREND, TREND_SQL
 from tickloom.session import cut, shared_dir
 from tickloom.streaming import bars as sb
+from tickloom.streaming import online_fit
 from tickloom.streaming.ordered import ordered_signals, rocksdb_state
 from tickloom.streaming.stateful import stateful_signals
 from tickloom.streaming.upsert import newest_model, refresh_batch, run_upsert
@@ -153,6 +154,21 @@ def r8(s, sf):
 Q["r8_model_refresh"] = r8
 
 
+def r8_online(s, sf):
+    """Learn labelled bars batch by batch, each read once, then score the bar stream with what was learned."""
+    feats = ["ret_3", "ret_12", "rsi_14", "zscore_24"]
+    d = lb.add_labels(X.basic_pack(bars(s, sf)), 3).withColumn("label", F.col("y_up").cast("double")).filter("label is not null")
+    land, models = place(s, "r8o-land"), place(s, "r8o-models")
+    d.select("symbol", "ts", *feats, "label").write.parquet(land)
+    stream = lambda: sb.file_stream(s, land, s.read.parquet(land).schema, files_per_batch=1)
+    q = stream().writeStream.foreachBatch(online_fit.learn_batch(models, feats)).option("checkpointLocation", place(s, "r8o-cp"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    return finish(s, online_fit.probability(online_fit.newest(s, models), stream()).select("symbol", "ts", "p"), "r8o")
+
+
+Q["r8_online_refresh"] = r8_online
+
+
 def r9(s, sf):
     day = risk_scores(s, sf).select(F.dayofmonth("ts").alias("dom"), "risk_score").groupBy("dom").agg(F.avg("risk_score").alias("risk"))
     t = tick_stream(s, sf).withColumn("dom", F.dayofmonth("ts"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import feature_set_score, sweep_score
@@ -12,14 +15,15 @@ from tickloom.operators import indicators as I
 from tickloom.operators import labels as lb
 from tickloom.operators import ledger as lg
 from tickloom.operators import metrics as mx
+from tickloom.operators import quantile_sketch as qs
 from tickloom.operators import signals as sg
 from tickloom.operators import user_metrics as um
-from tickloom.operators.blocks import blocked, core
+from tickloom.operators.blocks import blocked, core, join_safe
 from tickloom.plans import sweep as sw
 from tickloom.plans.inputs import bars, orders_daily, price_probability, risk_scores, trades
 from tickloom.plans.queries.bars import ORD
 from tickloom.plans.queries.sqlbase import bars_cte, debounce_cte, ema_cte, frame, lag, r
-from tickloom.session import cut
+from tickloom.session import cut, shared_dir
 
 B = bars_cte()
 Q, S = {}, {}
@@ -115,6 +119,28 @@ S["a16_distribution"] = f"""WITH {B}, {SIDED}, {EPI}, p AS (SELECT symbol, 'pnl_
 SELECT symbol, feature, count(v) AS n, {r('min(v)', 'min_x')}, {r('quantile_cont(v, 0.25)', 'p25')}, {r('quantile_cont(v, 0.5)', 'median_x')}, {r('quantile_cont(v, 0.75)', 'p75')}, {r('max(v)', 'max_x')} FROM p GROUP BY 1, 2"""
 
 EQ = "eq AS (SELECT symbol, bar, equity, peak, drawdown, coalesce(equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar) - 1, 0) AS ret FROM l)"
+
+def a16_sketches(s, sf):
+    """Days from the second to the third quarter of the bars from stored sketches; ``good``: all quartiles are within 1 % of the rows."""
+    d = bars(s, sf)
+    path = f"{shared_dir(s)}/tickloom/a16-{uuid.uuid4().hex}"
+    qs.write_days(qs.day_sketches(d, ["close", "volume"]), path)
+    first, last = d.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    quarter = (last - first) // 4
+    since, until = first + timedelta(days=quarter.days), last - timedelta(days=quarter.days)
+    merged = qs.merge(qs.read_days(s, path, str(since), str(until)))
+    found = qs.quantiles(merged, [0.25, 0.5, 0.75])
+    miss = qs.rank_misses(d.filter((F.to_date("ts") >= F.lit(since)) & (F.to_date("ts") < F.lit(until))), found)
+    good = miss.groupBy("symbol", "feature").agg((F.max("miss") <= 0.01).alias("good"))
+    return join_safe(merged.select("symbol", "feature", "n", "min_x", "max_x"), good, ["symbol", "feature"])
+
+
+Q["a16_sketched_range"] = a16_sketches
+S["a16_sketched_range"] = f"""WITH {B}, e AS (SELECT min(ts)::DATE AS a, max(ts)::DATE AS z FROM b),
+d AS (SELECT b.* FROM b, e WHERE ts::DATE >= a + ((z - a) // 4)::INT AND ts::DATE < z - ((z - a) // 4)::INT),
+l AS (SELECT symbol, 'close' AS feature, close AS x FROM d UNION ALL SELECT symbol, 'volume', volume FROM d)
+SELECT symbol, feature, count(x) AS n, {r('min(x)', 'min_x')}, {r('max(x)', 'max_x')}, true AS good FROM l GROUP BY 1, 2"""
+
 Q["a10_equity_metrics"] = lambda s, sf: mx.equity_metrics(lg.ledger(sided(s, sf)), 252.0 * 48, has_drawdown=True).withColumn("final_equity", F.round("final_equity", 2))
 S["a10_equity_metrics"] = f"""WITH {LED}, {EQ}, g AS (SELECT symbol, count(*) AS bars, arg_min(equity, bar) AS a, arg_max(equity, bar) AS z, min(drawdown) AS dd, stddev_samp(ret) AS sd, avg(ret) AS mu FROM eq GROUP BY 1)
 SELECT symbol, {r('z / a - 1', 'total_return')}, {r('dd', 'max_drawdown')}, {r('(z / a - 1) / abs(dd)', 'calmar')}, {r('sd * sqrt(252 * 48)', 'volatility_ann')},
