@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as fx
@@ -16,7 +18,8 @@ from tickloom.operators.warmup import with_warmup
 from tickloom.plans.inputs import bars, daily, event_signals, price_probability
 from tickloom.plans.queries.indicators import LR, MACDH, RSI0, eff, z
 from tickloom.plans.queries.sqlbase import DAILY, bars_cte, debounce_cte, ema_cte, frame, lag, r
-from tickloom.session import cut
+from tickloom.session import cut, shared_dir
+from tickloom.sources.block_store import load_blocks, save_blocks
 
 B = bars_cte()
 Q, S = {}, {}
@@ -140,6 +143,20 @@ rgm AS (SELECT rl.symbol, rl.bar, CASE WHEN pct > ql THEN 'high_vol' WHEN abs(f
 
 S["d8_regime"] = f"WITH RECURSIVE {B}, {regime_sql()} SELECT symbol, bar, regime FROM rgm"
 
+
+def s12_blocks(s, sf):
+    """Regimes and a long channel of bars that lie in a block table: two jobs' features from one read without a shuffle."""
+    name = f"bars_{uuid.uuid4().hex}"
+    back = max(rg.regime_back(RP), 200)
+    save_blocks(bars(s, sf), name, back, 8, path=f"{shared_dir(s)}/tickloom/{name}")
+    d = load_blocks(s, name, back).withColumns({"lo200": I.rolling("low", 200, "min"), "hi200": I.rolling("high", 200, "max")})
+    return core(rg.regime_raw(d, RP)).select("symbol", "bar", "regime", "lo200", "hi200")
+
+
+Q["s12_stored_blocks"] = s12_blocks
+S["s12_stored_blocks"] = f"""WITH RECURSIVE {B}, {regime_sql()} SELECT symbol, bar, regime, {r(frame(200, 'min(low)'), 'lo200')}, {r(frame(200, 'max(high)'), 'hi200')}
+FROM (SELECT symbol, bar, regime FROM rgm) JOIN (SELECT symbol, bar, low, high FROM b) USING (symbol, bar)"""
+
 Q["a17_regime_shares"] = lambda s, sf: rg.regime_shares(rg.detect_regime(bars(s, sf), RP))
 S["a17_regime_shares"] = f"""WITH RECURSIVE {B}, {regime_sql()} SELECT symbol, {', '.join(f"round(avg((regime = '{n}')::INT) * 100, 2) AS {n}" for n in rg.REGIME_NAMES)} FROM rgm GROUP BY symbol"""
 

@@ -19,6 +19,7 @@ from tickloom.operators import quantile_sketch as qs
 from tickloom.operators import signals as sg
 from tickloom.operators import user_metrics as um
 from tickloom.operators.blocks import blocked, core, join_safe
+from tickloom.operators.rollup import pnl_levels
 from tickloom.plans import sweep as sw
 from tickloom.plans.inputs import bars, orders_daily, price_probability, risk_scores, trades
 from tickloom.plans.queries.bars import ORD
@@ -119,6 +120,12 @@ S["a16_distribution"] = f"""WITH {B}, {SIDED}, {EPI}, p AS (SELECT symbol, 'pnl_
 SELECT symbol, feature, count(v) AS n, {r('min(v)', 'min_x')}, {r('quantile_cont(v, 0.25)', 'p25')}, {r('quantile_cont(v, 0.5)', 'median_x')}, {r('quantile_cont(v, 0.75)', 'p75')}, {r('max(v)', 'max_x')} FROM p GROUP BY 1, 2"""
 
 EQ = "eq AS (SELECT symbol, bar, equity, peak, drawdown, coalesce(equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar) - 1, 0) AS ret FROM l)"
+Q["a11_levels"] = lambda s, sf: pnl_levels(ep.trade_log(held(s, sf)), "pnl_abs", ["symbol", "direction"])
+S["a11_levels"] = f"""WITH {B}, {SIDED}, {EPI}, p AS (SELECT symbol, d AS direction, d * (x - e) - x * 0.0011 AS pnl FROM tl)
+SELECT symbol, direction, grouping_id(symbol, direction)::INT AS level, count(*) AS trades, {r('sum(pnl)', 'pnl_sum')}, {r('avg(pnl)', 'pnl_mean')},
+ {r('coalesce(stddev_samp(pnl), 0)', 'pnl_std')}, count_if(pnl > 0) AS wins, count_if(pnl < 0) AS losses, {r('avg((pnl > 0)::INT)', 'win_rate')},
+ {r('min(pnl)', 'pnl_min')}, {r('max(pnl)', 'pnl_max')} FROM p GROUP BY ROLLUP (symbol, direction)"""
+
 
 def a16_sketches(s, sf):
     """Days from the second to the third quarter of the bars from stored sketches; ``good``: all quartiles are within 1 % of the rows."""
