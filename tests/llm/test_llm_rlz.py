@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -21,6 +22,55 @@ def brute(texts, window):
     return out, words
 
 
+def greedy(words, window):
+    """Factors of every document by a loop: the first place of the window, carried on word by word."""
+    first, out = {}, {}
+    for i in sorted(words):
+        w = words[i]
+        for p in range(len(w) - window + 1):
+            first.setdefault(tuple(w[p:p + window]), (i, p))
+    for i, w in words.items():
+        out[i], p = [], 0
+        while p <= len(w) - window:
+            d, r = first[tuple(w[p:p + window])]
+            if (d, r) == (i, p):
+                p += 1
+                continue
+            n = window
+            while p + n < len(w) and r + n < len(words[d]) and w[p + n] == words[d][r + n]:
+                n += 1
+            out[i].append((p, p + n, d, r))
+            p += n - window + 1
+    return out
+
+
+@pytest.mark.parametrize("window,seed", [(20, 1), (9, 3), (5, 2), (3, 4)])
+def test_factors_equal_a_greedy_loop(spark, window, seed):
+    rng = random.Random(seed)
+    base = [" ".join(rng.choice("abcdefg") + str(rng.randrange(6)) for _ in range(60)) for _ in range(6)]
+    texts = []
+    for i in range(90):  # passages of passages, copies of copies, periods
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            x = rng.choice(base + [t for _, t in texts[-12:]]).split()
+            lo = rng.randrange(len(x)) if x else 0
+            w += x[lo:lo + rng.randrange(1, 50)] * rng.choice([1, 1, 1, 2, 4])
+        texts.append((i, " ".join(w[:400])))
+    words = {i: t.split() for i, t in texts}
+    want = greedy(words, window)
+    assert sum(map(len, want.values())) > 100
+    rows = rlz_dedup.deduplicate(documents(spark, texts), window).collect()
+    assert {r.doc_id: [(f.start, f.end, f.ref_doc, f.ref_start) for f in r.factors] for r in rows} == want
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == brute(texts, window)[0]
+
+
+def test_a_copy_is_one_factor_though_an_older_document_holds_its_middle(spark):
+    w = [str(i) for i in range(40)]
+    d = documents(spark, [(1, " ".join(w[10:25])), (2, " ".join(w)), (3, " ".join(w))])
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in rlz_dedup.deduplicate(d, 5).collect()}
+    assert got == {1: [], 2: [(10, 25, 1, 0)], 3: [(0, 40, 2, 0)]}
+
+
 @pytest.mark.parametrize("window,seed", [(20, 1), (9, 3), (5, 2)])
 def test_removed_words_equal_a_loop(spark, window, seed):
     texts = odd_texts(seed, 80)
