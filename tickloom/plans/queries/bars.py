@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import quality, relations
@@ -9,6 +11,8 @@ from tickloom.operators.blocks import index_bars, prefix
 from tickloom.operators.resample import dense_grid, resample, resample_cascade, resample_right
 from tickloom.plans.inputs import bars, daily, event_signals, orders_daily, table, ticks
 from tickloom.plans.queries.sqlbase import DAILY, bars_cte, r
+from tickloom.session import shared_dir
+from tickloom.sources import checked_write
 
 OHLC = "symbol, ts, " + ", ".join(r(c, c) for c in ("open", "high", "low", "close", "volume"))
 
@@ -98,6 +102,19 @@ A6 = f"""WITH {RAW} SELECT symbol, count(*) AS rows_out, count(*) - count(DISTIN
 FROM q GROUP BY symbol"""
 
 
+def of_write(bars_of, report):
+    """A report that reads what a checked write left instead of the bars."""
+    def run(spark, sf):
+        path = f"{shared_dir(spark)}/tickloom/checked-{uuid.uuid4().hex}"
+        checked_write.write_checked(bars_of(spark, sf), path)
+        return report(spark, path)
+
+    return run
+
+
+A6W = f"SELECT * EXCLUDE (rows_in, ratio_suspicious) FROM ({A6})"
+
+
 def a6_disorder(spark, sf):
     o = orders_seq(spark, sf)
     return quality.arrival_disorder(o, "seq", width=4096)
@@ -185,6 +202,9 @@ QUERIES = {
     "a6_arrival_disorder": a6_disorder,
     "a7_value_report": lambda s, sf: quality.value_report(daily(s, sf)),
     "a8_density": lambda s, sf: quality.density(bars(s, sf, "4h")),
+    "a6_report_of_write": of_write(_raw_quotes, checked_write.bar_report),
+    "a7_report_of_write": of_write(daily, checked_write.value_report),
+    "a8_report_of_write": of_write(lambda s, sf: bars(s, sf, "4h"), checked_write.density),
     "a9_trend_report": lambda s, sf: quality.trend_report(daily(s, sf)),
     "u1_union": u1_union,
     "u2_dedup_last": u2_dedup,
@@ -206,6 +226,9 @@ SQL = {
     "a6_arrival_disorder": A6B,
     "a7_value_report": A7,
     "a8_density": A8,
+    "a6_report_of_write": A6W,
+    "a7_report_of_write": A7,
+    "a8_report_of_write": A8,
     "a9_trend_report": A9,
     "u1_union": f"""WITH {DAILY}, {ORD} SELECT symbol, count(*) AS n, 0::BIGINT AS n_vol, {r('sum(close)', 's', 2)} FROM b GROUP BY 1
  UNION ALL SELECT symbol, count(*), count(volume), round(sum(close), 2) FROM o0 GROUP BY 1""",
