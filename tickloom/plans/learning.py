@@ -21,7 +21,7 @@ from tickloom.operators.blocks import blocked, core, join_safe
 from tickloom.operators.features import FEATURE_SETS, feature_set
 from tickloom.operators.ledger import ledger
 from tickloom.operators.metrics import auc, class_weights, core_pack
-from tickloom.session import cut
+from tickloom.session import cut, new_path
 
 
 def classifier(kind: str, seed: int = 42, weight: str | None = None, **params):
@@ -38,9 +38,23 @@ def classifier(kind: str, seed: int = 42, weight: str | None = None, **params):
     return est.setWeightCol(weight) if weight else est
 
 
+class StoredPipeline(Pipeline):
+    """A pipeline whose fitted model is written to the shared folder and read back, as ``cut`` does with a table.
+
+    A model straight from its fit holds its training summary, and the summary of a two-class model holds the session.
+    Spark would send both to every task that scores, which fails once the session has had an ``Observation``.
+    A stored model has the fitted numbers alone.
+    """
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        path = new_path(dataset.sparkSession)
+        super()._fit(dataset).save(path)
+        return PipelineModel.load(path)
+
+
 def pipeline(features: Sequence[str], kind: str, weight: str | None = None, seed: int = 42, **params) -> Pipeline:
     """Assemble, scale (centred, unit deviation), classify; training leaves out rows with a null feature."""
-    return Pipeline(stages=[
+    return StoredPipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
         classifier(kind, seed, weight, **params),

@@ -55,21 +55,27 @@ def cut(df: DataFrame) -> DataFrame:
     loops): the input is computed once, the passes read pruned Parquet columns,
     and a lost executor costs a re-read instead of the whole lineage.
     """
-    path = f"{shared_dir(df.sparkSession)}/tickloom/{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh name in the shared folder; a ``scope`` around the call owns what is written there."""
+    path = f"{shared_dir(spark)}/tickloom/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 _scopes: list[list[str]] = []
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Owns the tables that ``cut`` writes inside it and removes them at its end.
+    """Owns the tables and models that ``cut`` and ``new_path`` place inside it and removes them at its end.
 
-    Write the results that read them before the scope ends.  Without a scope the tables stay.
+    Write the results that read them before the scope ends.  Without a scope they stay.
     """
     made: list[str] = []
     _scopes.append(made)
