@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tickloom.operators.blocks import KEYS
+from tickloom.operators.quantiles import between
 from tickloom.schema import require_columns
 
 
@@ -102,7 +103,10 @@ def quantile_of_frames(x: np.ndarray, present: np.ndarray, spec: Rolling, tree:
     k = np.floor(pos).astype(np.int64)
     with np.errstate(invalid="ignore"):
         a, b = tree.kth(lo, hi, k), tree.kth(lo, hi, np.ceil(pos).astype(np.int64))
-        out[ok] = a + (b - a) * (pos - k)
+        f = pos - k
+        plain = (np.abs(a) < 1e290) & (np.abs(b) < 1e290)
+        mixed = np.where(plain, between(np.where(plain, a, 0.0), np.where(plain, b, 0.0), f), a * (1 - f) + b * f)
+        out[ok] = np.where(f == 0, a, mixed)
     return out, ok
 
 
