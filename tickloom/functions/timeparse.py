@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,36 @@ def parse_epoch(x: Column) -> Column:
     return F.timestamp_millis(F.round(ms).cast("long"))
 
 
+# A text that a format letter can stand for; a year may have a sign and more digits.
+_SHAPES = {"yyyy": "[+-]?[0-9]{4,}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}"}
+
+
+def text_shape(fmt: str) -> str | None:
+    """Regular expression that every text of the format matches, so that others need not be tried; None for letters not known here."""
+    out = ""
+    for quoted, letters, other in re.findall(r"'([^']+)'|(yyyy|MM|dd|HH|mm|ss|[A-Za-z]+)|(.)", fmt):
+        if letters and letters not in _SHAPES:
+            if set(letters) - set("SXxZ"):
+                return None
+            out += ".*"  # fractions and zones
+        else:
+            out += _SHAPES[letters] if letters else "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else re.escape(c) for c in quoted or other)
+    return f"^{out}$"
+
+
 def parse_text(x: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
+    """Time of the first format that fits.
+
+    A format that does not fit costs an exception per row, many times the price of a parse, so only
+    texts of its shape are given to it.
+    """
     s = F.trim(x.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+
+    def parsed(fmt: str) -> Column:
+        time, shape = F.try_to_timestamp(s, F.lit(fmt)), text_shape(fmt)
+        return time if shape is None else F.when(s.rlike(shape), time)
+
+    return F.coalesce(*[parsed(f) for f in formats])
 
 
 def _numeric(df: DataFrame, name: str) -> bool:
